@@ -1,0 +1,417 @@
+"""Each operator against a brute-force version, on rows that hold every odd case."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from sessionloom.llm import bpe, media, mixing, ppm, quality_rules, simhash, suffix_dedup, toxicity, training_order, url_filter
+from sessionloom.llm.components import components
+
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def as_set(df, *names):
+    return Counter(tuple(r[n] for n in names) for r in df.collect())
+
+
+def lower(text):
+    return (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+
+
+# -- quality rules
+
+
+def base_measures(text):
+    t = text or ""
+    w = SPLIT.findall(t)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    n = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(5)}
+    lines = [x for x in t.split("\n") if SPLIT.search(x)]
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures(docs, rows):
+    got = as_set(quality_rules.quality_rules(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert got == Counter((r[0], *base_measures(r[1])) for r in rows)
+
+
+def test_quality_removes_frequent_lines(spark):
+    common = "terms of use and privacy notice"
+    rows = [(i, f"{common}\nown words number {i} and nine more to stay here", "a") for i in range(12)] + [(99, common + "\n" + common, "a"), (100, common + "\n a b c d e f g h i j k", "b")]
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[0]["removed_words"] == 6 and out[0]["kept"]
+    assert not out[99]["kept"]
+    assert out[100]["removed_words"] == 0 and out[100]["kept"]
+
+
+def test_quality_copies_count_once(spark):
+    rows = [(i, "one line that is copied all over with ten words", "a") for i in range(50)]
+    assert all(r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
+# -- PPM
+
+
+def brute_ppm(train, text):
+    counts = defaultdict(Counter)
+    for t in train:
+        b = b"\xff" * 5 + t + b"\xff"
+        for i in range(5, len(b)):
+            for k in range(6):
+                counts[b[i - k : i]][b[i]] += 1
+    total, b = 0.0, b"\xff" * 5 + text + b"\xff"
+    for i in range(5, len(b)):
+        p, left, seen = 0.0, 1.0, set()
+        for k in range(5, -1, -1):
+            own = {s: n for s, n in counts[b[i - k : i]].items() if s not in seen}
+            if not own:
+                continue
+            t, q = sum(own.values()), len(own)
+            if b[i] in own:
+                p = left * own[b[i]] / (t + q)
+                break
+            left *= q / (t + q)
+            seen |= own.keys()
+        total += math.log10(p or left / (256 - len(seen)))
+    return total
+
+
+@pytest.mark.parametrize("most_words", [1 << 18, 20])
+def test_ppm(docs, rows, most_words):
+    short = docs.where("n_chars < 3000 or n_chars is null")
+    d = ppm.held_out(short)
+    got = ppm.score(d, ppm.train(d.where("not held_out").select("text"), most_words=most_words)).collect()
+    rows = [r for r in rows if r[4] is None or r[4] < 3000]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    train = [lower(r[1]) for r in rows if not held(r[0])]
+    c = Counter(w for t in train for w in [*t.split(), b"\n"])
+    room = c.total() + 0.5 * (len(c) + 1)
+    want = {}
+    for i, text, *_ in rows:
+        w = [*lower(text).split(), b"\n"]
+        want[i] = (held(i), len(w), sum(c[x] > 0 for x in w), c.total(), sum(math.log10((c[x] + 0.5) / room) for x in w), lower(text))
+    assert len(got) == len(rows)
+    for r in got:
+        h, n, known, total, base, text = want[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, n, known, total)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
+        if len(text) < 900:
+            assert r["score"] == pytest.approx(brute_ppm(train, text), rel=1e-4)
+
+
+def test_ppm_probabilities_add_up():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 101, 200).astype(np.uint8)) for _ in range(5)]
+    g, n = np.unique(ppm.grams(texts), return_counts=True)
+    tables = []
+    for k in range(2, ppm.ORDER + 1):
+        u, at = np.unique(g & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        tables.append((u, np.bincount(at, n)))
+    assert np.allclose((10.0 ** ppm.Trie(tables).log).sum(axis=1), 1, atol=1e-4)
+
+
+# -- URL filter
+
+
+def test_url_rules(spark):
+    rows = [
+        (1, "https://WWW.example.com/en/5?x#y", "www.example.com/en/", "allow"), (2, "http://blog.example.com/en/5", "example.com/en/", "block"),
+        (3, "http://a.net/es/1", "net/es/", "block"), (4, "http://a.net/de/1", None, None), (5, None, None, None), (6, "no scheme", None, None),
+        (7, "http://com", None, None), (8, "http://notexample.com/en/1", "com/", "allow"), (9, "http://a.com?q=/en/", None, None),
+    ]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.url_filter(pages, url_filter.labelled_urls(spark)).collect()}
+    for i, _, rule, verdict in rows:
+        assert got[i]["rule"] == rule and got[i]["verdict"] == (verdict or got[i]["verdict"])
+        assert got[i]["verdict"] in ("allow", "block")
+    assert (got[1]["host"], got[1]["path"], got[5]["host"], got[9]["path"]) == ("www.example.com", "/en/5", "", "")
+
+
+def test_url_model_tells_hosts_apart(spark):
+    pages = spark.createDataFrame([(1, "http://casino-win.example.org/fr/1"), (2, "http://museum.example.org/fr/1")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(pages, url_filter.labelled_urls(spark)).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
+# -- suffix-array dedup
+
+
+def brute_removed(texts, length):
+    data = [(t or "").encode() for t in texts]
+    count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - length + 1):
+            if count[d[i : i + length]] > 1:
+                gone[i : i + length] = True
+        left = bytes(np.frombuffer(d, np.uint8)[~gone])
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((len(d), int(gone.sum()), spans, hashlib.sha256(left).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("length,group", [(400, 4096), (150, 4096), (150, 1)])
+def test_suffix_dedup(docs, rows, length, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.repeated_starts, "__defaults__", (suffix_dedup.LENGTH, suffix_dedup.GRAM, group))
+    got = as_set(suffix_dedup.removed(docs, length), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == Counter((r[0], *x) for r, x in zip(rows, brute_removed([r[1] for r in rows], length)))
+
+
+def test_deep_shallow_orders_like_sort():
+    rng = np.random.default_rng(3)
+    stem = bytes(rng.integers(97, 99, 60).astype(np.uint8))
+    strings = [stem[: rng.integers(0, 60)] + bytes(rng.integers(97, 100, rng.integers(0, 40)).astype(np.uint8)) for _ in range(400)]
+    order = suffix_dedup.deep_shallow(strings, 8)
+    assert sorted(order) == list(range(400)) and [strings[i] for i in order] == sorted(strings)
+
+
+# -- mixing
+
+
+def test_mixing(docs, rows):
+    got = mixing.mix_sizes(docs).collect()
+    size = lambda t: len(SPLIT.findall(t or ""))
+    per = Counter()
+    for r in rows:
+        per[r[3]] += size(r[1])
+    sources = sorted(per, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, free, left = {}, set(sources), float(sum(per.values()))
+    while free:
+        over = {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 3 * per[s] + 1e-9}
+        if not over:
+            total = sum(weight[x] for x in free)
+            target |= {s: left * weight[s] / total for s in free}
+            break
+        for s in over:
+            target[s] = 3.0 * per[s]
+        left -= sum(3.0 * per[s] for s in over)
+        free -= over
+    source = {r[0]: r[3] for r in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == per[s] and r["target"] == pytest.approx(target[s])
+        rate = target[s] / per[s]
+        assert r["taken"] in (math.floor(rate) * r["size"], math.ceil(rate) * r["size"])
+    again = as_set(mixing.mix_sizes(docs.repartition(2)), "doc_id", "taken")
+    assert again == Counter((r["doc_id"], r["taken"]) for r in got)
+
+
+# -- training order
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 3, 17, 1000, 4097):
+        assert sorted(training_order.feistel(np.arange(n), n, 7).tolist()) == list(range(n))
+    assert training_order.feistel(np.arange(1000), 1000, 7).tolist() != training_order.feistel(np.arange(1000), 1000, 8).tolist()
+
+
+def test_training_order(spark, docs, rows, tmp_path):
+    order = training_order.materialise(docs, f"file://{tmp_path}/a", seq_len=16, per_shard=50)
+    got = training_order.read(spark, order).collect()
+    assert sorted(r["slot"] for r in got) == list(range(order.n))
+    parts = defaultdict(list)
+    for r in got:
+        parts[r["doc_id"]].append((r["part"], bytes(r["ids"])))
+    want = {r[0]: training_order.hashed_words(r[1]).tobytes() for r in rows}
+    seen = Counter(r[0] for r in rows)
+    for doc, p in parts.items():
+        assert b"".join(x for _, x in sorted(p)[:: seen[doc]]) == want[doc]
+    some = training_order.read(spark, order, 37, 120).collect()
+    assert sorted((r["slot"], bytes(r["ids"])) for r in some) == sorted((r["slot"], bytes(r["ids"])) for r in got if 37 <= r["slot"] < 120)
+    again = training_order.materialise(docs.repartition(2), f"file://{tmp_path}/b", seq_len=16, per_shard=50)
+    assert as_set(training_order.read(spark, again), "slot", "doc_id", "part") == as_set(training_order.read(spark, order), "slot", "doc_id", "part")
+
+
+# -- media
+
+
+def test_media(spark, docs, rows, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/m"
+    media.write_media(docs, path)
+    (tmp_path / "m" / "archive-left-over.bin").write_bytes(b"of a failed attempt")
+    got = media.measured(media.read_media(spark, path))
+    want = Counter()
+    for r in rows:
+        b = (r[1] or "").encode()
+        p = b.ljust(max(1, -(-len(b) // 192)) * 192)
+        want[r[0], len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
+    assert as_set(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == want
+    assert media.from_png(media.to_png(b"x" * 384)) == b"x" * 384
+
+
+def test_media_damaged_member_is_given_out_with_its_error(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/m"
+    media.write_media(docs.coalesce(1), path)
+    n = media.read_media(spark, path).count()
+    archive = next((tmp_path / "m").glob("archive-*.bin"))
+    data = bytearray(archive.read_bytes())
+    data[media.MEMBER.size + 20] ^= 1
+    archive.write_bytes(data)
+    rows = media.read_media(spark, path).collect()
+    assert len(rows) == n and [r["offset"] for r in rows if r["error"]] == [0]
+
+
+# -- SimHash
+
+
+def brute_fingerprint(text):
+    w = lower(text).split()
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def grouped(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {n: root(n) for n in nodes}
+
+
+def test_simhash(docs, rows):
+    got = as_set(simhash.near_duplicates(docs).selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) f", "component_id"), "doc_id", "f", "component_id")
+    fps = {r[0]: brute_fingerprint(r[1]) for r in rows}
+    distinct = sorted({*fps.values()})
+    group = grouped(distinct, [(a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 4])
+    least = {}
+    for d, f in fps.items():
+        if d is not None:
+            least[group[f]] = min(d, least.get(group[f], d))
+    assert got == Counter((r[0], f"{fps[r[0]]:016x}", least.get(group[fps[r[0]]])) for r in rows)
+
+
+def test_golay_keys_meet_every_link():
+    rng = np.random.default_rng(2)
+    patterns, count = simhash.error_patterns()
+    assert count.min() >= 1 and count.sum() == 1 + 23 + 253 + 1771 + 8855
+    a = rng.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000).astype(np.uint64)
+    b = a.copy()
+    for i in range(3000):
+        for bit in rng.choice(64, i % 5, replace=False):
+            b[i] ^= np.uint64(1) << np.uint64(bit)
+    one, two = simhash.segment_keys(a, patterns), simhash.segment_keys(b, patterns)
+    for i in range(3000):
+        shared = [bool({*x[i][x[i] >= 0]} & {*y[i][y[i] >= 0]}) for x, y in zip(one, two)]
+        assert sum(shared) >= 2
+
+
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(50)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    nodes = {x for p in links if p[0] != p[1] for x in p}
+    assert got == grouped(nodes, links_of(links))
+
+
+def links_of(links):
+    return [(a, b) for a, b in links if a != b]
+
+
+# -- BPE
+
+
+def test_bpe_like_tiktoken(docs, rows):
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = bpe.default_vocabulary()
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    want = Counter()
+    for r in rows:
+        ids = np.array(own.encode_ordinary(r[1] or ""), "<u4").tobytes()
+        want[r[0], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] += 1
+    assert as_set(bpe.round_trip(docs, path, pattern), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    c = bpe.codec(path, pattern)
+    for t in ("don't  stop\n\n ", "a\x1cb\x85c\xa0d", "² ³½ ٣ 你好, мир!", "ǅ'LL’ll", "  　x", "<|endoftext|>"):
+        assert np.frombuffer(next(c.encode([t])), "<u4").tolist() == own.encode_ordinary(t)
+
+
+# -- toxicity
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(3, 8)))
+    rows, labels = [(9000, None), (9001, ""), (9002, "grumpo " * 3), (9002, "grumpo " * 3), (None, "you grumpo")], []
+    for i in range(600):
+        bad = i % 6 == 0
+        w = [word() for _ in range(40)]
+        if bad:
+            for k in rng.integers(0, 40, 3):
+                w[k] = "grumpo" + word()
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    labels += [(None, 1), (7, None), (123456, 1)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(toxicity.labelled_sample(docs, known.where("doc_id is null or doc_id < 400"), toxicity.crc_mod(toxicity.F.col("doc_id"), 4) != 2))
+    got = toxicity.score_documents(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    score = {r["doc_id"]: r["score"] for r in got}
+    late = [i for i in range(400, 600)]
+    assert sum((score[i] >= 0.3) == (i % 6 == 0) for i in late) >= 190
+    assert score[9000] < 0.3 and score[9002] >= 0.3
+
+
+def test_toxicity_without_both_kinds(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    none = toxicity.train(toxicity.labelled_sample(docs, spark.createDataFrame([], "doc_id long, toxic int"), toxicity.F.lit(True)))
+    assert {r["score"] for r in toxicity.score_documents(docs, none).collect()} == {0.0}
+    assert toxicity.without_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 2
+
+
+# -- all
+
+
+@pytest.fixture(scope="session")
+def every(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    path, pattern = bpe.default_vocabulary()
+
+    def train_and_score(d):
+        d = ppm.held_out(d)
+        return ppm.score(d, ppm.train(d.where("not held_out").select("text")))
+
+    def through_media(d):
+        at = media.fresh_path(spark, "media")
+        media.write_media(d, at)
+        return media.measured(media.read_media(spark, at))
+
+    return {
+        "quality": quality_rules.quality_rules, "ppm": train_and_score, "suffix": suffix_dedup.removed, "cleaned": suffix_dedup.cleaned, "mix": mixing.mix_sizes, "repeated": mixing.repeated,
+        "order": lambda d: training_order.read(spark, training_order.materialise(d, training_order.fresh_path(spark, "order"))), "media": through_media, "simhash": simhash.near_duplicates,
+        "keep_one": simhash.keep_one, "bpe": lambda d: bpe.round_trip(d, path, pattern), "tokenised": lambda d: bpe.tokenised(d, path, pattern), "toxicity": lambda d: toxicity.without_toxic(d, labels),
+    }
+
+
+def test_empty_tables(every, empty, spark):
+    for name, f in every.items():
+        assert f(empty).count() == 0, name
+    assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string"), url_filter.labelled_urls(spark)).count() == 0
+
+
+def test_extra_columns(every, docs, clashing):
+    for name, f in every.items():
+        if name in ("cleaned", "repeated", "keep_one", "toxicity"):
+            assert f(clashing).columns == clashing.columns, name
+            continue
+        out = f(clashing)
+        names = [c for c in out.columns if c != "offset"]
+        digits = lambda x: tuple(f"{v:.9g}" if isinstance(v, float) else bytes(v) if isinstance(v, bytearray) else v for v in x)
+        assert Counter(map(digits, out.select(*names).collect())) == Counter(map(digits, f(docs).select(*names).collect())), name
