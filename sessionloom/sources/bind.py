@@ -1,0 +1,32 @@
+"""Bindings of the driver's tables to the session model."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tool_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as tool calls: id, session_id, tool, ts, amount, k, is_error."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("tool"), "ts", F.col("value").alias("amount"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"), (F.col("event_type") == "error").alias("is_error"),
+    )
+
+
+def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as messages: session_id, idx, role, content."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), "role", F.col("text").alias("content"))
+
+
+#: The same in SQL.
+STREAM = (
+    "s AS (SELECT event_id AS id, user_id AS session_id, event_type AS tool, ts, value AS amount, "
+    "CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type = 'error' AS is_error FROM events)"
+)
+DIALOGUE = "m AS (SELECT conv_id AS session_id, turn AS idx, role, text AS content FROM conversations)"
