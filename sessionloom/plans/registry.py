@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sessionloom.plans import flows, signals
+from sessionloom.plans import datasets, flows, live, ranking, signals, timeseries
 
-MODULES = (flows, signals)
+MODULES = (flows, signals, timeseries, ranking, datasets, live)
 
 
 def queries() -> dict:
