@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY_TIME = Window.partitionBy("session_id").orderBy("ts", "id")
-BY_IDX = Window.partitionBy("session_id").orderBy("idx")
+
+def by_time() -> WindowSpec:
+    """Rows of a session in order of time."""
+    return Window.partitionBy("session_id").orderBy("ts", "id")
+
+
+def by_idx() -> WindowSpec:
+    """Messages of a session in their order."""
+    return Window.partitionBy("session_id").orderBy("idx")
 
 
 def recoveries(stream: DataFrame) -> DataFrame:
     """Each failure with the next call of its session that is none."""
-    nxt = F.first(F.when(~F.col("is_error"), F.struct("id", "tool")), True).over(BY_TIME.rowsBetween(1, Window.unboundedFollowing))
+    nxt = F.first(F.when(~F.col("is_error"), F.struct("id", "tool")), True).over(by_time().rowsBetween(1, Window.unboundedFollowing))
     return stream.withColumn("_next", nxt).where("is_error and _next is not null").select("id", "session_id", F.col("_next.id").alias("next_id"), F.col("_next.tool").alias("next_tool"))
 
 
@@ -79,15 +87,15 @@ def violations(docs: DataFrame, rules: DataFrame, least: int = 2) -> DataFrame:
 
 def replay(stream: DataFrame, predicate: str, history: int = 5) -> DataFrame:
     """V5: does a SQL predicate over the last tools (``history``, an array) fire before each error?"""
-    d = stream.withColumn("history", F.collect_list("tool").over(BY_TIME.rowsBetween(-history, -1))).withColumn("_fires", F.expr(predicate))
+    d = stream.withColumn("history", F.collect_list("tool").over(by_time().rowsBetween(-history, -1))).withColumn("_fires", F.expr(predicate))
     return d.groupBy("session_id").agg(F.count_if("is_error").alias("errors"), F.count_if(F.col("is_error") & F.col("_fires")).alias("caught"), F.count_if(~F.col("is_error") & F.col("_fires")).alias("false_alarms"))
 
 
 def winning_path(stream: DataFrame) -> DataFrame:
     """Calls that neither failed nor repeat the one before, numbered, with their phase."""
     kept = stream.where("not is_error")
-    kept = kept.withColumn("_again", F.coalesce((F.lag("tool").over(BY_TIME) == F.col("tool")) & (F.lag("k").over(BY_TIME) == F.col("k")), F.lit(False))).where("not _again").drop("_again")
-    n = F.row_number().over(BY_TIME)
+    kept = kept.withColumn("_again", F.coalesce((F.lag("tool").over(by_time()) == F.col("tool")) & (F.lag("k").over(by_time()) == F.col("k")), F.lit(False))).where("not _again").drop("_again")
+    n = F.row_number().over(by_time())
     kept = kept.withColumn("step", n).withColumn("_all", F.count("*").over(Window.partitionBy("session_id")))
     done = (F.col("step") - 1) / F.col("_all")
     return kept.withColumn("phase", F.when(done < 0.3, "explore").when(done < 0.8, "implement").otherwise("verify")).drop("_all")
@@ -95,7 +103,7 @@ def winning_path(stream: DataFrame) -> DataFrame:
 
 def fixes(stream: DataFrame, ahead: int = 3) -> DataFrame:
     """An error and the first of the next ``ahead`` calls with its key that is clean."""
-    d = stream.withColumn("_rest", F.collect_list(F.struct("id", "k", "is_error")).over(BY_TIME.rowsBetween(1, ahead)))
+    d = stream.withColumn("_rest", F.collect_list(F.struct("id", "k", "is_error")).over(by_time().rowsBetween(1, ahead)))
     found = F.filter("_rest", lambda x: ~x["is_error"] & (F.abs(x["k"] - F.col("k")) <= 10))
     return d.where("is_error").withColumn("fix_id", F.get(found, 0)["id"]).where("fix_id is not null").select("id", "session_id", "fix_id")
 
@@ -103,13 +111,13 @@ def fixes(stream: DataFrame, ahead: int = 3) -> DataFrame:
 def topic_with_neighbours(messages: DataFrame, topic: str) -> DataFrame:
     """Messages on a topic with the one before and after, renumbered."""
     d = messages.withColumn("_hit", F.coalesce(F.col("content").rlike(topic), F.lit(False)))
-    d = d.withColumn("_near", F.max("_hit").over(BY_IDX.rowsBetween(-1, 1))).where("_near")
-    return d.withColumn("step", F.row_number().over(BY_IDX)).drop("_hit", "_near")
+    d = d.withColumn("_near", F.max("_hit").over(by_idx().rowsBetween(-1, 1))).where("_near")
+    return d.withColumn("step", F.row_number().over(by_idx())).drop("_hit", "_near")
 
 
 def windows_around(messages: DataFrame, pattern: str, n: int = 2, most: int = 5) -> DataFrame:
     """Q8: messages within ``n`` of a hit, for the first ``most`` hits of a session."""
-    hits = messages.where(F.col("content").rlike(pattern)).withColumn("_r", F.row_number().over(BY_IDX)).where(F.col("_r") <= most)
+    hits = messages.where(F.col("content").rlike(pattern)).withColumn("_r", F.row_number().over(by_idx())).where(F.col("_r") <= most)
     h = hits.select(F.col("session_id").alias("_sid"), F.col("idx").alias("hit_idx"))
     return messages.join(h, (F.col("session_id") == F.col("_sid")) & F.col("idx").between(F.col("hit_idx") - n, F.col("hit_idx") + n)).select("session_id", "hit_idx", "idx", "role")
 

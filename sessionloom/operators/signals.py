@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from sessionloom.functions import text as t
 
-BY_IDX = Window.partitionBy("session_id").orderBy("idx")
-BY_TIME = Window.partitionBy("session_id").orderBy("ts", "id")
+
+def by_time() -> WindowSpec:
+    """Rows of a session in order of time."""
+    return Window.partitionBy("session_id").orderBy("ts", "id")
+
+
+def by_idx() -> WindowSpec:
+    """Messages of a session in their order."""
+    return Window.partitionBy("session_id").orderBy("idx")
 
 
 def corrections(messages: DataFrame) -> DataFrame:
@@ -44,7 +52,7 @@ def sentiments(messages: DataFrame) -> DataFrame:
 def frustration(messages: DataFrame) -> DataFrame:
     """User messages at the end of three negative ones in a row, or with an escalation phrase."""
     m = messages.where("role = 'user'").withColumn("score", t.sentiment(F.col("content")))
-    three = (F.col("score") < 0) & (F.lag("score", 1).over(BY_IDX) < 0) & (F.lag("score", 2).over(BY_IDX) < 0)
+    three = (F.col("score") < 0) & (F.lag("score", 1).over(by_idx()) < 0) & (F.lag("score", 2).over(by_idx()) < 0)
     return m.withColumn("streak", F.coalesce(three, F.lit(False))).withColumn("escalated", t.any_of(F.col("content"), t.ESCALATION))
 
 
@@ -52,7 +60,7 @@ def positives(messages: DataFrame) -> DataFrame:
     """The first kind that fits each user message."""
     c = F.col("content")
     words = F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
-    prior = F.coalesce(F.max(F.col("role") == "assistant").over(BY_IDX.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    prior = F.coalesce(F.max(F.col("role") == "assistant").over(by_idx().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     kind = (
         F.when(t.any_of(c, t.CONFIRMATION), "confirmation").when(t.any_of(c, t.GRATITUDE), "gratitude")
         .when(F.col("_prior") & (words < 20) & (t.hits(c, t.POSITIVE) > 0) & (t.hits(c, t.NEGATIVE) == 0), "implicit_approval")
@@ -62,22 +70,22 @@ def positives(messages: DataFrame) -> DataFrame:
 
 def neighbours(messages: DataFrame) -> DataFrame:
     """Contents before and after, the last user message and the last assistant message."""
-    before = BY_IDX.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_idx().rowsBetween(Window.unboundedPreceding, -1)
     last = lambda role: F.last(F.when(F.col("role") == role, F.col("content")), True).over(before)
-    return messages.select("*", F.lag("content").over(BY_IDX).alias("before"), F.lead("content").over(BY_IDX).alias("after"), last("user").alias("last_user"), last("assistant").alias("last_assistant"))
+    return messages.select("*", F.lag("content").over(by_idx()).alias("before"), F.lead("content").over(by_idx()).alias("after"), last("user").alias("last_user"), last("assistant").alias("last_assistant"))
 
 
 def repeated_attempts(stream: DataFrame, reset: str) -> DataFrame:
     """The third call in a row of one tool; rows of the ``reset`` tool end a row, once per run."""
-    d = stream.withColumn("_new", (F.coalesce(F.lag("tool").over(BY_TIME), F.lit("")) != F.col("tool")).cast("int")).withColumn("_run", F.sum("_new").over(BY_TIME))
+    d = stream.withColumn("_new", (F.coalesce(F.lag("tool").over(by_time()), F.lit("")) != F.col("tool")).cast("int")).withColumn("_run", F.sum("_new").over(by_time()))
     d = d.withColumn("_n", F.row_number().over(Window.partitionBy("session_id", "_run").orderBy("ts", "id")))
     return d.where((F.col("_n") == 3) & (F.col("tool") != reset)).drop("_new", "_run", "_n")
 
 
 def quick_redo(stream: DataFrame, seconds: int) -> DataFrame:
     """Calls of the same tool within ``seconds`` of the one before."""
-    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(BY_TIME), F.col("ts"))
-    same = F.lag("tool").over(BY_TIME) == F.col("tool")
+    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(by_time()), F.col("ts"))
+    same = F.lag("tool").over(by_time()) == F.col("tool")
     return stream.withColumn("_gap", gap).withColumn("_same", same).where(F.col("_same") & (F.col("_gap") <= seconds * 1_000_000)).drop("_gap", "_same")
 
 
@@ -85,13 +93,13 @@ def reinvoked(stream: DataFrame, same: str = "k", other: str = "tool", back: int
     """One of the ``back`` rows before has the same message and another action."""
     hit = F.lit(False)
     for i in range(1, back + 1):
-        hit = hit | F.coalesce((F.lag(same, i).over(BY_TIME) == F.col(same)) & (F.lag(other, i).over(BY_TIME) != F.col(other)), F.lit(False))
+        hit = hit | F.coalesce((F.lag(same, i).over(by_time()) == F.col(same)) & (F.lag(other, i).over(by_time()) != F.col(other)), F.lit(False))
     return stream.withColumn("_hit", hit).where("_hit").drop("_hit")
 
 
 def approvals(stream: DataFrame, response: str, rejected: str = "k % 3 = 0") -> DataFrame:
     """Each call with the next response row of its session; none means approved; rates by tool."""
-    after = BY_TIME.rowsBetween(1, Window.unboundedFollowing)
+    after = by_time().rowsBetween(1, Window.unboundedFollowing)
     d = stream.withColumn("_no", F.first(F.when(F.col("tool") == response, F.expr(rejected)), True).over(after)).where(F.col("tool") != response)
     d = d.groupBy("tool").agg(F.count_if(~F.coalesce("_no", F.lit(False))).alias("approved"), F.count_if("_no").alias("rejected"))
     return d.withColumn("rate", F.round(F.coalesce(F.try_divide(F.col("approved").cast("double"), F.col("approved") + F.col("rejected")), F.lit(0.0)), 6))

@@ -7,8 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY_TIME = Window.partitionBy("session_id").orderBy("ts", "id")
+
+def by_time() -> WindowSpec:
+    """Rows of a session in order of time."""
+    return Window.partitionBy("session_id").orderBy("ts", "id")
 
 
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -127,8 +131,8 @@ def dense_daily(stream: DataFrame) -> DataFrame:
 
 def active_time(stream: DataFrame, active_min: int, rapid_min: int) -> DataFrame:
     """Per session the sum of short gaps, rapid repeats of one tool, and a label."""
-    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(BY_TIME), F.col("ts")) / 6e7
-    d = stream.withColumn("_gap", gap).withColumn("_same", F.lag("tool").over(BY_TIME) == F.col("tool"))
+    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(by_time()), F.col("ts")) / 6e7
+    d = stream.withColumn("_gap", gap).withColumn("_same", F.lag("tool").over(by_time()) == F.col("tool"))
     d = d.groupBy("session_id").agg(
         F.count("*").alias("n"), F.round(F.coalesce(F.sum(F.when(F.col("_gap") <= active_min, F.col("_gap"))), F.lit(0.0)), 4).alias("active_min"),
         F.count_if(F.col("_same") & (F.col("_gap") <= rapid_min)).alias("rapid"), F.count_if("is_error").alias("errors"),

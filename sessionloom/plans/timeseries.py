@@ -7,7 +7,12 @@ from sessionloom.plans.flows import RUNS, _events
 from sessionloom.sources.bind import STREAM, tool_stream
 
 W = "(PARTITION BY session_id ORDER BY ts, id)"
-RULES = F.array(F.concat(F.lit("a"), F.col("k") % 7), F.concat(F.lit("b"), F.col("k") % 5))
+
+
+def rules():
+    return F.array(F.concat(F.lit("a"), F.col("k") % 7), F.concat(F.lit("b"), F.col("k") % 5))
+
+
 RULES_SQL = "SELECT *, unnest(['a' || (k % 7), 'b' || (k % 5)]) AS rule FROM s"
 
 QUERIES = {
@@ -21,7 +26,7 @@ QUERIES = {
         r AS (SELECT row_number() OVER w AS rk, sum(e) OVER w / sum(n) OVER w AS rate FROM a WHERE f IS NOT NULL WINDOW w AS (ORDER BY f, session_id)) SELECT CAST(coalesce(min(CASE WHEN rate <= pre / 2 THEN rk END), max(rk)) AS BIGINT) AS sessions, round(max(pre), 6) AS pre_share FROM r, p""",
     ),
     "rule_with_without": (
-        lambda s, d: o.rule_rates(tool_stream(s, d), RULES),
+        lambda s, d: o.rule_rates(tool_stream(s, d), rules()),
         f"""WITH {STREAM}, x AS ({RULES_SQL}), r AS (SELECT rule, count(*) AS wn FROM x GROUP BY 1), b AS (SELECT rule, tool, count(*) AS wt FROM x GROUP BY 1, 2), t AS (SELECT tool, count(*) AS tn FROM s GROUP BY 1),
         j AS (SELECT rule, tool, wn, wt::DOUBLE / wn AS a, (tn - wt)::DOUBLE / nullif((SELECT count(*) FROM s) - wn, 0) AS o FROM r JOIN b USING (rule) JOIN t USING (tool) WHERE wn >= 50)
         SELECT rule, tool, wn AS with_n, round(a, 6) AS rate_with, round(o, 6) AS rate_without, round(100 * (a - o) / nullif(o, 0), 4) AS delta_pct FROM j""",
