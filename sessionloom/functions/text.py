@@ -64,7 +64,7 @@ def tokens(text: Column) -> Column:
 
 def hits(text: Column, words: tuple[str, ...]) -> Column:
     """Number of words of the text that are in the list."""
-    return F.size(F.filter(tokens(text), lambda w: w.isin(*words)))
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![{LETTERS}])(?:{'|'.join(words)})(?![{LETTERS}])"))
 
 
 def hits_sql(text: str, words: tuple[str, ...]) -> str:

@@ -78,9 +78,9 @@ def discipline(stream: DataFrame, flags: dict[str, Column]) -> DataFrame:
 
 def violations(docs: DataFrame, rules: DataFrame, least: int = 2) -> DataFrame:
     """V3, V4: rules of which a text holds ``least`` different terms; tokens meet by an equi-join."""
-    d = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-zà-ÿ]+"))).alias("term"))
+    d = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^a-zà-ÿ]+")).alias("term"))
     r = rules.select("rule", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = d.join(r, "term").groupBy("rule", "doc_id").agg(F.count("*").alias("terms")).where(F.col("terms") >= least)
+    hits = d.join(r, "term").groupBy("rule", "doc_id").agg(F.count_distinct("term").alias("terms")).where(F.col("terms") >= least)
     seen = hits.groupBy("rule").agg(F.count("*").alias("violations"), F.max("doc_id").alias("last"))
     return rules.select("rule").join(seen, "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).alias("violations"), "last", F.col("violations").isNull().alias("compliant"))
 
