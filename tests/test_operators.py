@@ -122,3 +122,8 @@ def test_handles_and_subagents(spark):
     assert [tuple(r) for r in d.select(a, n).collect()] == [("goose", "a:b"), ("claude", "plain"), ("claude", "odd:x")]
     p = spark.createDataFrame([("/x/s1/subagents/q.jsonl",), ("/x/s2/agent-9.jsonl",), ("/x/s3.jsonl",)], "p string")
     assert [r[0] for r in p.select(transcripts.subagent_parent(F.col("p"))).collect()] == ["s1", "s2", None]
+
+
+def test_state_labels(spark):
+    d = spark.createDataFrame([(1, "I was wrong, thank you, rollback"), (2, "plain"), (3, None)], "id long, text string")
+    assert sorted((r["id"], r["label"]) for r in signals.labels(d, "text").collect()) == [(1, "admission"), (1, "gratitude"), (1, "undo")]
