@@ -14,9 +14,9 @@ BLOCK = "array<struct<type:string,text:string,id:string,name:string,input:string
 MESSAGES = ("session_id", "file", "line", "block", "role", "content", "tool_name", "tool_input", "tool_output", "error", "ts", "tokens_in", "tokens_out", "model", "stop_reason", "is_sidechain")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """(file, line, value); the line number is the rank of the line's place in its file."""
-    d = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"))
+    d = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=glob).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"))
     return d.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("_at"))).drop("_at")
 
 
