@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Words and routes of the quality score.
 VERBS = ("run", "check", "verify", "add", "remove", "configure", "set", "use", "install", "create", "delete")
@@ -47,7 +49,7 @@ def merged_text(a: Column, b: Column) -> Column:
 def _bag(text: str, width: int = 256) -> np.ndarray:
     v = np.zeros(width, np.float32)
     for w in text.lower().split():
-        v[sum(w.encode()) * 31 % width] += 1
+        v[zlib.crc32(w.encode()) % width] += 1
     n = np.linalg.norm(v)
     return v / n if n else v
 
@@ -79,7 +81,7 @@ def consolidated(blocks: DataFrame, file: str, least: float) -> DataFrame:
     return blocks.select(file, "id", "text").groupBy(file).applyInPandas(run, f"{file} {kind[file]}, id long, text string")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 M / T of the matching blocks of two texts; null counts as empty."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=True).ratio() for x, y in zip(a, b)], dtype="float64")
@@ -104,7 +106,7 @@ def gold(invocations: DataFrame) -> DataFrame:
 
 def gold_replay(pairs: DataFrame, least: float = 0.3) -> DataFrame:
     """pairs(gold, prompt): share of the gold's terms that the prompt holds; no terms pass."""
-    terms = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
+    terms = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: x != ""))
     n, same = F.size(terms(F.col("gold"))), F.size(F.array_intersect(terms(F.col("gold")), terms(F.col("prompt"))))
     return pairs.withColumn("overlap", F.when(n > 0, same / n)).withColumn("passes", F.coalesce(F.col("overlap") >= least, F.lit(True)))
 
@@ -215,13 +217,13 @@ def validated(texts: DataFrame, text: str, banned: tuple[str, ...], sentences: i
 
 
 def slug_remap(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
-    """old(slug, member), new(slug, member): the new slug of best Jaccard at ``least`` or more, else null."""
+    """old(slug, member), new(slug, member): the new slug of best Jaccard at ``least`` or more (ties: the last), else null."""
     o, n = old.dropDuplicates(), new.dropDuplicates()
     size = lambda d, name: d.groupBy("slug").agg(F.count("*").alias(name))
     both = o.join(n.select(F.col("slug").alias("to"), "member"), "member").groupBy("slug", "to").agg(F.count("*").alias("both"))
     d = both.join(size(o, "a"), "slug").join(size(n, "b").withColumnRenamed("slug", "to"), "to")
     d = d.withColumn("jaccard", F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).where(F.col("jaccard") >= least)
-    best = d.groupBy("slug").agg(F.max_by(F.struct("to", F.round("jaccard", 6).alias("jaccard")), F.struct(F.col("jaccard"), -F.col("to"))).alias("_m"))
+    best = d.groupBy("slug").agg(F.max_by(F.struct("to", F.round("jaccard", 6).alias("jaccard")), F.struct("jaccard", "to")).alias("_m"))
     return o.select("slug").distinct().join(best, "slug", "left").select("slug", F.col("_m.to").alias("to"), F.col("_m.jaccard").alias("jaccard"))
 
 

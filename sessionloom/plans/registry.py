@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sessionloom.plans import datasets, flows, live, ranking, signals, timeseries
+from sessionloom.plans import curation, datasets, flows, live, ranking, signals, stores, timeseries
 
-MODULES = (flows, signals, timeseries, ranking, datasets, live)
+MODULES = (flows, signals, timeseries, ranking, datasets, curation, stores, live)
 
 
 def queries() -> dict:
