@@ -9,8 +9,8 @@ suffixes:
    offsets.  An anchor owns a run of window starts; the bytes that these
    windows span are its context.  There is about one anchor in 170 bytes.
 2. Counting.  An anchor whose string occurs once is settled (nothing goes); so
-   is one whose whole context occurs twice (all its windows go).  Only hashes
-   are shuffled for that.
+   is one whose whole context occurs twice (all its windows go).  A context
+   that one text holds many times is one row.  Only hashes are shuffled.
 3. Sorting.  What is left meets by anchor string, one row per different
    context, and the suffixes that start at the anchors are sorted: multikey
    quicksort to a shallow depth, blind tries for groups still equal there.
@@ -251,26 +251,38 @@ def _digest(data: bytes) -> int:
 
 
 def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, text) -> (doc, pos, first, last, gram, context): hashes only."""
+    """(doc, text) -> (doc, pos, first, last, n, gram, context): hashes only.
+
+    A context that a text holds n times is one row, for its first place.  All
+    its windows repeat; they come as rows without gram, whose first and last
+    are the ends of a run of window starts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 200):
-                doc, cols = [], [[], [], [], [], []]
+                doc, cols = [], [[], [], [], [], [], []]
                 for key, text in zip(b.column(0)[k : k + 200].to_pylist(), b.column(1)[k : k + 200].to_pylist()):
                     data = text.encode("utf-8", "surrogatepass")
-                    p, a, z = anchors(data, length, gram)
-                    doc += [key] * len(p)
-                    cols[0].append(p)
-                    cols[1].append(a)
-                    cols[2].append(z)
-                    cols[3] += [_digest(data[x : x + gram]) for x in p.tolist()]
-                    cols[4] += [xxhash.xxh3_128_digest(data[x : y + length]) for x, y in zip(a.tolist(), z.tolist())]
+                    p, a, z = (x.tolist() for x in anchors(data, length, gram))
+                    times: dict[bytes, list[int]] = {}
+                    for i, (x, y) in enumerate(zip(a, z)):
+                        times.setdefault(xxhash.xxh3_128_digest(data[x : y + length]), []).append(i)
+                    one = [at[0] for at in times.values()]
+                    runs = merged([(a[i], z[i]) for at in times.values() if len(at) > 1 for i in at])
+                    doc += [key] * (len(one) + len(runs))
+                    none = [None] * len(runs)
+                    cols[0] += [p[i] for i in one] + none
+                    cols[1] += [a[i] for i in one] + [x for x, _ in runs]
+                    cols[2] += [z[i] for i in one] + [y - 1 for _, y in runs]
+                    cols[3] += [len(at) for at in times.values()] + none
+                    cols[4] += [_digest(data[p[i] : p[i] + gram]) for i in one] + none
+                    cols[5] += [*times, *none]
                 if doc:
-                    p, a, z = (pa.array(np.concatenate(x).astype(np.int32)) for x in cols[:3])
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.binary()), p, a, z, pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], ["doc", "pos", "first", "last", "gram", "context"])
+                    kinds = (*[pa.int32()] * 4, pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc", "pos", "first", "last", "n", "gram", "context"])
 
-    return texts.mapInArrow(run, "doc binary, pos int, first int, last int, gram long, context binary")
+    return texts.mapInArrow(run, "doc binary, pos int, first int, last int, n int, gram long, context binary")
 
 
 def context_rows(todo: DataFrame, texts: DataFrame, ids: DataFrame, length: int) -> DataFrame:
@@ -358,8 +370,9 @@ def repeated_starts(texts: DataFrame, ids: DataFrame, length: int = LENGTH, gram
     """
     tune(texts.sparkSession)
     gram = max(8, min(gram, length // 2))
-    found = stored(anchor_rows(texts.select("doc", "text"), length, gram), "anchors")
-    same = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "first", "last")).alias("one"))
+    rows = stored(anchor_rows(texts.select("doc", "text"), length, gram), "anchors")
+    found, inside = rows.where("gram is not null"), rows.where("gram is null").select("doc", F.col("first").alias("low"), F.col("last").alias("high"))
+    same = found.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "pos", "first", "last")).alias("one"))
     by_gram = same.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open"))
     twice = same.where("n > 1").select("gram", "context")
     settled = found.join(twice, ["gram", "context"], "left_semi").select("doc", F.col("first").alias("low"), F.col("last").alias("high"))
@@ -367,7 +380,7 @@ def repeated_starts(texts: DataFrame, ids: DataFrame, length: int = LENGTH, gram
     rows = stored(context_rows(todo, texts, ids, length), "contexts")
     few = rows.where(F.col("kinds") <= group).drop("kinds").repartition("gram").sortWithinPartitions("gram")
     many = rows.where(F.col("kinds") > group).drop("kinds")
-    return settled.union(sorted_groups(few, length)).union(counted_windows(many, length)).distinct()
+    return settled.union(inside).union(sorted_groups(few, length)).union(counted_windows(many, length)).distinct()
 
 
 def runs_of(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

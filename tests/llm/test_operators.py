@@ -165,6 +165,16 @@ def test_suffix_dedup(docs, rows, length, group, monkeypatch):
     assert got == Counter((r[0], *x) for r, x in zip(rows, brute_removed([r[1] for r in rows], length)))
 
 
+def test_suffix_dedup_of_periodic_texts(spark):
+    """A context that one text holds many times is counted once and still goes whole."""
+    line = "the same line, over and over again, of an odd length\n"
+    texts = [line * 40, "head " + line * 9 + " tail", line * 3, "x" * 199, "x" * 200, "abc" * 100 + "abd" * 100]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length in (100, 200):
+        got = as_set(suffix_dedup.removed(d, length), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == Counter((i, *x) for i, x in enumerate(brute_removed(texts, length)))
+
+
 def test_deep_shallow_orders_like_sort():
     rng = np.random.default_rng(3)
     stem = bytes(rng.integers(97, 99, 60).astype(np.uint8))
