@@ -178,7 +178,7 @@ def active_sessions(stream: DataFrame, root: Column, as_of: str, minutes: int) -
 def tail(stream: DataFrame, n: int) -> DataFrame:
     """The last n rows of each session."""
     w = Window.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("id").desc())
-    return stream.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
+    return stream.withColumn("back", F.row_number().over(w).cast("long")).where(F.col("back") <= n)
 
 
 def rolled_up(usage: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def snippets(docs: DataFrame, group: str, n: int, order: str = "doc_id", text: s
     """K4: the first n snippets of 200 characters of a group, no two with the same first 80."""
     d = docs.where(F.trim(text) != "").withColumn("snippet", F.substring(text, 1, 200)).withColumn("_p", F.substring(text, 1, 80))
     one = d.groupBy(group, "_p").agg(F.min(order).alias(order), F.min_by("snippet", order).alias("snippet"))
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("rank") <= n).drop("_p")
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("long")).where(F.col("rank") <= n).drop("_p")
 
 
 def type_analysis(rows: DataFrame, kind: str, tool: str, k: int = 3) -> DataFrame:

@@ -23,7 +23,7 @@ def latest_of(rows: DataFrame, kind: str, n: int) -> DataFrame:
     """Q18: the latest n rows of each type with the type's count."""
     counts = rows.groupBy(kind).agg(F.count("*").alias("n"))
     w = Window.partitionBy(kind).orderBy(F.col("ts").desc(), F.col("id").desc())
-    newest = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    newest = rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
     return newest.join(counts, kind)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sessionloom.sources import agents, markdown
 from sessionloom.sources.bind import dialogue
 
-PATTERN, TERMS = r"\bque\b|password", ("tion", "the")
+PATTERN, TERMS = r"[ ,]que[ .,]|password", ("tion", "the")
 
 
 def _lines(d, file, value):

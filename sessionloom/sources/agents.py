@@ -159,12 +159,12 @@ def fan_in(*records: DataFrame) -> DataFrame:
 
 
 def matching(text: Column, pattern: str, case_sensitive: bool = False) -> Column:
-    """Q1: a regular expression; one that does not compile is taken as plain text."""
+    """Q1: a regular expression over Unicode classes; one that does not compile is taken as plain text."""
     try:
         re.compile(pattern)
     except re.error:
         pattern = re.escape(pattern)
-    return F.coalesce(text.rlike(pattern if case_sensitive else f"(?i){pattern}"), F.lit(False))
+    return F.coalesce(text.rlike(f"(?U){pattern}" if case_sensitive else f"(?iU){pattern}"), F.lit(False))
 
 
 def search(records: DataFrame, pattern: str, terms: tuple[str, ...] = (), case_sensitive: bool = False, per_agent: int | None = None) -> DataFrame:
