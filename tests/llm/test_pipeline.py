@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import SCHEMA, prose
-from test_operators import brute_fingerprint, brute_removed, grouped
+from test_ten_operators import brute_fingerprint, brute_removed, grouped
 
 from sessionloom.llm import bpe
 
