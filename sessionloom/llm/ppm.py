@@ -6,8 +6,11 @@ symbol's probability starts at the longest known context (five bytes at
 most); an unseen symbol escapes to the next shorter one with probability
 q / (T + q) for q different followers in T, and there the symbols already seen
 above are excluded from both counts; below order zero the rest is uniform.
-Contexts of three bytes and more enter the trie only if they are frequent
-enough for it to stay within a fixed size; shorter ones always do.
+Every context counts, so the trie grows with the training part.  It is dealt
+to slices by a hash of the last three bytes of context; only the counts of two
+bytes of context (2^24 strings at most) go to all tasks.  Documents are taken
+in batches: the different strings of a batch meet the counts in their slices,
+and their code lengths come back to the batch.
 
 Beside it stands the smoothed unigram word score.  Word counts are joined, not
 broadcast: only words above a count that bounds their number go to the tasks,
@@ -21,8 +24,10 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,13 @@ END = b"\n"
 #: Entries that a task holds before it passes them on.
 FLUSH = 400_000
 COUNTS = "word binary, gram long, n long"
+#: Different strings of the training part in a slice, about; strings and bytes of text after which a batch of documents ends.
+SLICE, BATCH, BATCH_BYTES = 1 << 15, 1 << 20, 12 << 20
+#: Bytes of text whose strings are made at once, and strings that a slice answers at once.
+CHUNK, ASKED = 1 << 20, 1 << 20
+#: The slice of a document's own row: after all slices.
+TEXT = (1 << 31) - 1
+PACKS = "batch long, slice int, row long, doc_id long, held_out boolean, text binary, grams binary"
 
 
 def _lower(text: str | None) -> bytes:
@@ -115,7 +127,7 @@ def bound_for(counts: DataFrame, most: int) -> int:
 
 
 class Trie:
-    """Contexts as rows of follower counts; log10 probabilities by row and symbol.
+    """A whole model in one place, for small ones: contexts as rows of follower counts; log10 probabilities by row and symbol.
 
     Rows stand order after order, from one byte to ORDER bytes.  ``index`` has the
     row of the longest known context of up to three bytes; ``child`` leads from a
@@ -197,8 +209,137 @@ class Trie:
         return np.add.reduceat(cost, np.cumsum(n + ORDER) - (n + ORDER))
 
 
-def train(texts: DataFrame, most_words: int = 1 << 18, most_contexts: int = 1 << 15) -> dict:
-    """texts(text) -> the model: stored counts, totals, frequent words, trie tables; all of bounded size but the stored counts."""
+def _low(order: int) -> int:
+    """Mask of a string of ``order`` bytes of context and a symbol."""
+    return (1 << 8 * (order + 1)) - 1
+
+
+class Level:
+    """The strings of one order and their contexts, sorted; what is left of the next shorter context beside each."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, order: int, shorter: Level | None):
+        self.grams, self.n, self.order = grams, n.astype(np.float64), order
+        c = grams >> 8
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
+        self.contexts = c[first]
+        self.kinds = np.diff(np.concatenate([first, [len(c)]])).astype(np.float64)
+        self.total = np.add.reduceat(self.n, first) if len(c) else np.empty(0)
+        if shorter is not None and len(c):
+            up = np.searchsorted(shorter.contexts, self.contexts & (_low(order - 1) >> 8))
+            there = shorter.n[np.searchsorted(shorter.grams, grams & _low(order - 1))]
+            self.left_total = shorter.total[up] - np.add.reduceat(there, first)
+            self.left_kinds = shorter.kinds[up] - self.kinds
+
+    @staticmethod
+    def under(longer: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of that order that longer ones end with, and their counts."""
+        u, at = np.unique(longer & _low(order), return_inverse=True)
+        return u, np.bincount(at, n, len(u))
+
+
+def short_levels(pairs: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels 0, 1 and 2 from the strings of two bytes of context."""
+    levels = []
+    for order in range(3):
+        levels.append(Level(*Level.under(pairs, n, order), order, levels[-1] if levels else None))
+    return levels
+
+
+def code_lengths(asked: np.ndarray, short: list[Level], grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 P of the last byte of each string after the others.
+
+    ``grams`` holds every string of the training part that shares its last three
+    bytes of context with one of ``asked``.  A context's followers are followers
+    of every shorter one, so those seen above are the ones of the context before.
+    """
+    levels = list(short)
+    for order in range(3, ORDER + 1):
+        levels.append(Level(*Level.under(grams, n, order), order, levels[-1]))
+    out = np.zeros(len(asked))
+    open_, left, above, before = np.arange(len(asked)), np.ones(len(asked)), np.full(len(asked), -1), None
+    for level in reversed(levels):
+        if not len(level.grams):
+            before, above = level, np.full(len(open_), -1)
+            continue
+        g = asked[open_] & _low(level.order)
+        row = np.minimum(np.searchsorted(level.contexts, g >> 8), len(level.contexts) - 1)
+        row = np.where(level.contexts[row] == g >> 8, row, -1)
+        at = np.minimum(np.searchsorted(level.grams, g), len(level.grams) - 1)
+        found = level.grams[at] == g
+        t, q = np.where(row >= 0, level.total[row], 0.0), np.where(row >= 0, level.kinds[row], 0.0)
+        if before is not None and len(before.grams):
+            t, q = np.where(above >= 0, before.left_total[above], t), np.where(above >= 0, before.left_kinds[above], q)
+        full = np.maximum(t + q, 1)
+        out[open_[found]] = left[found] * level.n[at[found]] / full[found]
+        left = np.where(t > 0, left * q / full, left)[~found]
+        open_, above, before = open_[~found], row[~found], level
+    out[open_] = left / (256 - len(short[0].grams))  # some bytes are in no UTF-8 text, so it isn't zero
+    return np.log10(out)
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """Sorted strings as their six bytes, place by place."""
+    return zlib.compress(np.ascontiguousarray(grams.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    places = np.frombuffer(zlib.decompress(data), np.uint8).reshape(ORDER + 1, -1)
+    out = np.zeros((places.shape[1], 8), np.uint8)
+    out[:, : ORDER + 1] = places.T
+    return out.view("<i8").ravel()
+
+
+class Costs:
+    """Costs by string, in open addressing; only strings that are in it are asked for."""
+
+    def __init__(self, grams: np.ndarray, costs: np.ndarray):
+        self.bits = max(4, len(grams).bit_length() + 1)
+        self.keys, self.costs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        place = self._place(grams)
+        while len(grams):
+            free = self.keys[place] < 0
+            self.keys[place[free]] = grams[free]
+            there = self.keys[place] == grams
+            self.costs[place[there]] = costs[there]
+            grams, costs, place = grams[~there], costs[~there], self._next(place[~there])
+
+    def _place(self, grams: np.ndarray) -> np.ndarray:
+        return (grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _next(self, place: np.ndarray) -> np.ndarray:
+        return (place + 1) & ((1 << self.bits) - 1)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        place = self._place(grams)
+        away = np.flatnonzero(self.keys[place] != grams)
+        while len(away):
+            place[away] = self._next(place[away])
+            away = away[self.keys[place[away]] != grams[away]]
+        return self.costs[place]
+
+
+def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in order, CHUNK bytes at a time, or one text."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > CHUNK:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+def slice_of(grams, n: int):
+    """Of strings as integers, or a Column of them: by the last three bytes of context."""
+    if isinstance(grams, np.ndarray):
+        return (((grams >> 8) & 0xFFFFFF) * 2654435769 >> 20) % n
+    return (F.shiftright(F.shiftright(grams, 8).bitwiseAND(0xFFFFFF) * 2654435769, 20) % n).cast("int")
+
+
+def train(texts: DataFrame, most_words: int = 1 << 18) -> dict:
+    """texts(text) -> the model: stored counts of words and strings; totals, frequent words, strings of two bytes of context, all of bounded size."""
     tune(texts.sparkSession)
     raw = texts.select(F.col("text").cast("string")).mapInArrow(count_rows, COUNTS)
     counts = stored(raw.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
@@ -206,78 +347,190 @@ def train(texts: DataFrame, most_words: int = 1 << 18, most_contexts: int = 1 <<
     total, types = word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = bound_for(word, most_words)
     frequent = word.where(F.col("n") >= least).toArrow()
-    tables, floor = [], 1
-    for k in range(2, ORDER + 1):
-        strings = gram.groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        if k > 2:
-            strings = stored(strings, f"order-{k}")
-            contexts = strings.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("n"))
-            floor = max(floor, bound_for(contexts, most_contexts))  # a kept context's suffixes and beginnings are kept
-            kept = contexts.where(F.col("n") >= floor).select("context")
-            strings = strings.join(F.broadcast(kept), F.shiftright("gram", 8) == F.col("context"), "left_semi")
-        t = strings.select("gram", "n").toArrow()
-        tables.append((t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.float64)))
+    pairs = gram.groupBy(F.col("gram").bitwiseAND(_low(2)).alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("longer")).toArrow()
     return {
-        "words": word, "total": total, "types": types, "least": least, "tables": tables,
+        "words": word, "total": total, "types": types, "least": least, "grams": gram, "n_grams": sum(pairs.column(2).to_pylist()),
+        "pairs": (pairs.column(0).to_numpy().astype(np.int64), pairs.column(1).to_numpy().astype(np.float64)),
         "frequent": (frequent.column(0).to_pylist(), frequent.column(1).to_numpy()),
     }
 
 
-#: The last model a Python worker has built, by its broadcast's id.
-_PREPARED: dict[str, tuple[Trie, dict[bytes, float]]] = {}
+#: What a Python worker has last made of a broadcast, by its name.
+_PREPARED: dict[str, object] = {}
 
 
-def _prepared(sent, room: float) -> tuple[Trie, dict[bytes, float]]:
+def _prepared(sent, make):
     name = f"{sent._path}"
     if name not in _PREPARED:
         _PREPARED.clear()
-        (keys, n), tables = sent.value
-        _PREPARED[name] = Trie(tables), dict(zip(keys, np.log10((n + 0.5) / room).tolist()))
+        _PREPARED[name] = make(*sent.value)
     return _PREPARED[name]
 
 
+def packs(docs: DataFrame, slices: int) -> DataFrame:
+    """docs(doc_id, text, held_out) -> each document with its batch, and the different strings of each batch by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = batch = TaskContext.get().partitionId() << 33
+        kept, new, size = np.empty(0, np.int64), [], 0
+
+        def strings() -> np.ndarray:
+            out = np.unique(np.concatenate([kept, *new]))
+            new.clear()
+            return out
+
+        def ended() -> pa.RecordBatch:
+            s = slice_of(kept, slices)
+            order = np.argsort(s, kind="stable")
+            g, s = kept[order], s[order]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            parts = [packed(x) for x in np.split(g, first[1:])]
+            no = pa.nulls(len(parts))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(parts), batch)), pa.array(s[first], pa.int32()), no.cast(pa.int64()), no.cast(pa.int64()), no.cast(pa.bool_()),
+                    no.cast(pa.binary()), pa.array(parts, pa.binary()),
+                ],
+                ["batch", "slice", "row", "doc_id", "held_out", "text", "grams"],
+            )
+
+        for b in batches:
+            at = 0
+            for texts in chunks([_lower(x) for x in b.column(1).to_pylist()]):
+                m = len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(m, batch)), pa.array(np.full(m, TEXT), pa.int32()), pa.array(np.arange(row, row + m)), b.column(0).slice(at, m).cast(pa.int64()), b.column(2).slice(at, m),
+                        pa.array(texts, pa.binary()), pa.nulls(m, pa.binary()),
+                    ],
+                    ["batch", "slice", "row", "doc_id", "held_out", "text", "grams"],
+                )
+                at, row, size = at + m, row + m, size + sum(map(len, texts))
+                new.append(np.unique(grams(texts)))
+                if sum(map(len, new)) > BATCH // 2:
+                    kept = strings()
+                if len(kept) > BATCH or size > BATCH_BYTES:
+                    kept = strings()
+                    yield ended()
+                    kept, size, batch = kept[:0], 0, batch + 1
+        kept = strings()
+        if len(kept):
+            yield ended()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out").mapInArrow(run, PACKS)
+
+
+def answers(asked: DataFrame, model: dict, slices: int) -> DataFrame:
+    """asked(batch, slice, grams) -> + costs: the strings of each batch and slice with their code lengths."""
+    sent = asked.sparkSession.sparkContext.broadcast(model["pairs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = _prepared(sent, short_levels)
+        own, known, n, held = None, [], [], []
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            known[:], n[:] = [np.concatenate([np.empty(0, np.int64), *known])], [np.concatenate([np.empty(0, np.int64), *n])]
+            parts = [unpacked(x) for _, x in held]
+            u = np.unique(np.concatenate(parts))
+            costs = code_lengths(u, short, known[0], n[0]).astype("<f4")
+            back = [costs[np.searchsorted(u, x)].tobytes() for x in parts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in held], pa.int64()), pa.array([own] * len(held), pa.int32()), pa.array([x for _, x in held], pa.binary()), pa.array(back, pa.binary())],
+                ["batch", "slice", "grams", "costs"],
+            )
+            held.clear()
+
+        size = 0
+        for b in batches:
+            s = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1), len(s)] if len(s) else [0]
+            for low, high in zip(edges, edges[1:]):
+                part = b.slice(low, high - low)
+                if s[low] != own:
+                    yield from answered()
+                    own, known, n, size = s[low], [], [], 0
+                counted = int(np.searchsorted(part.column(1).to_numpy(), 0))
+                if counted:
+                    known.append(part.column(2).slice(0, counted).to_numpy())
+                    n.append(part.column(3).slice(0, counted).to_numpy())
+                for k, x in zip(part.column(1).slice(counted).to_pylist(), part.column(4).slice(counted).to_pylist()):
+                    held.append((k, x))
+                    size += len(x) // 2
+                    if size > ASKED:
+                        yield from answered()
+                        size = 0
+        yield from answered()
+
+    counted = model["grams"].select(slice_of(F.col("gram"), slices).alias("slice"), F.lit(-1).cast("long").alias("batch"), "gram", "n", F.lit(None).cast("binary").alias("grams"))
+    put = asked.select("slice", "batch", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("long").alias("n"), "grams")
+    dealt = counted.unionByName(put).repartition("slice").sortWithinPartitions("slice", "batch")
+    return dealt.mapInArrow(run, "batch long, slice int, grams binary, costs binary")
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs(doc_id, text, held_out) -> + n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     tune(spark)
     total, types = model["total"], model["types"]
     room = total + 0.5 * (types + 1)
-    sent = spark.sparkContext.broadcast((model["frequent"], model["tables"]))
+    sent = spark.sparkContext.broadcast(model["frequent"])
     every_word = model["least"] <= 1
+    slices = max(1, -(-model["n_grams"] // SLICE))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def frequent(keys: list[bytes], n: np.ndarray) -> dict[bytes, float]:
+        return dict(zip(keys, np.log10((n + 0.5) / room).tolist()))
 
-        trie, logs = _prepared(sent, room)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = _prepared(sent, frequent).get
         unseen = float(np.log10(0.5 / room))
-        get, row = logs.get, TaskContext.get().partitionId() << 33
+        own, strings, costs, table_ = None, [], [], None
         for b in batches:
-            texts = [_lower(x) for x in b.column(1).to_pylist()]
-            scores = np.concatenate([np.zeros(0), *(trie.score(texts[k : k + 200]) for k in range(0, len(texts), 200))])
-            tokens, known, base, rare, times = [], [], [], [], []
-            for t in texts:
-                parts = [*t.split(), END]
-                found = list(map(get, parts))
-                odd = Counter(w for w, x in zip(parts, found) if x is None)
-                missing = odd.total()
-                tokens.append(len(parts))
-                known.append(len(parts) - missing)
-                base.append(sum(filter(None, found)) + (missing * unseen if every_word else 0.0))
-                rare.append([] if every_word else [xxhash.xxh64_intdigest(w, 42) - (1 << 63) for w in odd])
-                times.append([] if every_word else list(odd.values()))
-            rows = np.arange(row, row + len(texts))
-            row += len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows, pa.int64()), b.column(0).cast(pa.int64()), b.column(2), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
-                ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
-            )
-
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out").mapInArrow(
-        run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
-    )
+            at = 0
+            for (batch, told), run_ in groupby(zip(b.column(0).to_pylist(), (x != TEXT for x in b.column(1).to_pylist()))):
+                part = b.slice(at, m := sum(1 for _ in run_))
+                at += m
+                if batch != own:
+                    own, strings, costs, table_ = batch, [], [], None
+                if told:
+                    strings += map(unpacked, part.column(5).to_pylist())
+                    costs += (np.frombuffer(x, "<f4") for x in part.column(6).to_pylist())
+                    continue
+                if table_ is None:
+                    table_ = Costs(np.concatenate(strings), np.concatenate(costs))
+                    strings, costs = [], []
+                texts = part.column(4).to_pylist()
+                scores = [np.zeros(0)]
+                for some in chunks(texts):
+                    n = np.array([len(t) + 1 for t in some])
+                    scores.append(np.add.reduceat(table_.of(grams(some)), np.cumsum(n) - n, dtype=np.float64))
+                tokens, known, base, rare, times = [], [], [], [], []
+                for t in texts:
+                    parts = [*t.split(), END]
+                    found = list(map(get, parts))
+                    odd = Counter(w for w, x in zip(parts, found) if x is None)
+                    missing = odd.total()
+                    tokens.append(len(parts))
+                    known.append(len(parts) - missing)
+                    base.append(sum(filter(None, found)) + (missing * unseen if every_word else 0.0))
+                    rare.append([] if every_word else [xxhash.xxh64_intdigest(w, 42) - (1 << 63) for w in odd])
+                    times.append([] if every_word else list(odd.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(2), part.column(3), part.column(7), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
+                        pa.array(base, pa.float64()), pa.array(np.concatenate(scores)), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
+                    ],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
+                )
+
+    each = stored(packs(docs, slices), "packs")
+    told = answers(each.where(F.col("slice") != TEXT).select("batch", "slice", "grams"), model, slices)
+    both = each.where(F.col("slice") == TEXT).drop("grams").unionByName(told, allowMissingColumns=True)
+    dealt = both.select("batch", "slice", "row", "doc_id", "text", "grams", "costs", "held_out").repartition("batch").sortWithinPartitions("batch", "slice", "row")
+    out = dealt.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>")
     names = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"]
     if every_word:
         return out.select(*names)

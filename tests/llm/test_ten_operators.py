@@ -117,6 +117,29 @@ def test_ppm_probabilities_add_up():
     assert np.allclose((10.0 ** ppm.Trie(tables).log).sum(axis=1), 1, atol=1e-4)
 
 
+def test_ppm_keeps_every_context(spark):
+    """More contexts than any table of 2^15 holds, most of them seen once."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 4000).astype(np.uint8)) for _ in range(40)]
+    asked = [texts[7][:300], texts[20][100:400], b"zz" + texts[3][50:200]]
+    docs = spark.createDataFrame([(i, t.decode(), False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    model = ppm.train(docs.select("text"))
+    ours = spark.createDataFrame([(i, t.decode(), True) for i, t in enumerate(asked)], docs.schema)
+    got = {r["doc_id"]: r["score"] for r in ppm.score(ours, model).collect()}
+    for i, t in enumerate(asked):
+        assert got[i] == pytest.approx(brute_ppm(texts, t), rel=1e-5)
+
+
+def test_ppm_does_not_depend_on_slices_and_batches(docs, monkeypatch):
+    d = ppm.held_out(docs)
+    model = ppm.train(d.where("not held_out").select("text"))
+    scores = lambda: sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 3)) for r in ppm.score(d, model).collect())
+    want = scores()
+    for name, value in (("SLICE", 50), ("BATCH", 500), ("BATCH_BYTES", 2000), ("CHUNK", 1000), ("ASKED", 100)):
+        monkeypatch.setattr(ppm, name, value)
+    assert scores() == want
+
+
 # -- URL filter
 
 
