@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +45,84 @@ def duplicate_pairs(items: DataFrame, block: str, least: float) -> DataFrame:
     return d.where(F.col("score") >= least).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round("score", 5).alias("score"))
 
 
+#: Different vectors of a block, and rows of a block that are compared at once.
+BLOCK, ROWS = 8192, 512
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, dim, id, copies, vec) in order of block and dim -> one row for each block."""
+    own, ids, copies, vecs = None, [], [], []
+
+    def row() -> pa.RecordBatch:
+        data = [np.concatenate(x).tobytes() for x in (ids, copies, vecs)]
+        return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int64()), pa.array([own[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["block", "dim", "ids", "copies", "vecs"])
+
+    for b in batches:
+        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        edges = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]] + [len(keys)]
+        for low, high in zip(edges, edges[1:]):
+            if keys[low] != own:
+                if own is not None:
+                    yield row()
+                own, ids, copies, vecs = keys[low], [], [], []
+            part = b.slice(low, high - low)
+            ids.append(part.column(2).to_numpy())
+            copies.append(part.column(3).to_numpy())
+            vecs.append(part.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float32))
+    if own is not None:
+        yield row()
+
+
+def _block_pairs(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                (ia, na, va), (ib, nb, vb) = ((np.frombuffer(r[f"ids_{k}"], np.int64), np.frombuffer(r[f"copies_{k}"], np.int64), np.frombuffer(r[f"vecs_{k}"], np.float32).reshape(-1, r["dim"]).astype(np.float64)) for k in "ab")
+                # sums run in order of place, as the SQL's do, so that rounded scores are equal
+                norm_a, norm_b = (np.sqrt(sum((v[:, k] * v[:, k] for k in range(r["dim"])), np.zeros(len(v)))) for v in (va, vb))
+                near_b = vb / norm_b[:, None]
+                for k in range(0, len(ia), ROWS):
+                    x, y = np.nonzero((va[k : k + ROWS] / norm_a[k : k + ROWS, None]) @ near_b.T >= least - 1e-9)
+                    x = x + k
+                    once = ia[x] < ib[y] if r["i"] == r["j"] else np.ones(len(x), bool)
+                    x, y = x[once], y[once]
+                    score = sum((va[x, d] * vb[y, d] for d in range(r["dim"])), np.zeros(len(x))) / (norm_a[x] * norm_b[y])
+                    hit = score >= least
+                    x, y, score = x[hit], y[hit], score[hit]
+                    turn = ia[x] > ib[y]
+                    columns = [np.where(turn, ib[y], ia[x]), np.where(turn, ia[x], ib[y]), np.where(turn, nb[y], na[x]), np.where(turn, na[x], nb[y]), score]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "copies_a", "copies_b", "score"])
+
+    return run
+
+
+def all_duplicate_pairs(items: DataFrame, least: float) -> DataFrame:
+    """C10 over all rows: items(id, vec) -> pairs of different vectors at ``least`` or more, and the copies of each.
+
+    Equal vectors are one, which stands by its least id; ``equal`` rows give its
+    other ids.  All pairs of ids follow from both.  Blocks of vectors meet each
+    other once, as arrays.  Null and zero vectors and those that hold nulls or
+    NaN are in no pair; vectors of different lengths are not compared.
+    """
+    spark = items.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    sound = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)) & F.exists("vec", lambda x: x != 0)
+    rows = items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).where(sound)
+    one = rows.groupBy("vec").agg(F.min("id").alias("a"), F.count("*").alias("copies"))
+    blocks = max(1, -(-one.count() // BLOCK))
+    packed = (
+        one.select(F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("block"), F.size("vec").alias("dim"), F.col("a").alias("id"), "copies", "vec")
+        .repartition("block").sortWithinPartitions("block", "dim").mapInArrow(_blocks, "block long, dim int, ids binary, copies binary, vecs binary")
+    )
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("ids", "copies", "vecs")]
+    first = packed.select("dim", F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"), *side("a"))
+    second = packed.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), *side("b"))
+    met = first.join(second, ["dim", "i", "j"]).mapInArrow(_block_pairs(least), "a long, b long, copies_a long, copies_b long, score double")
+    near = met.select("a", "b", "copies_a", "copies_b", F.round("score", 5).alias("score"), F.lit(False).alias("equal"))
+    same = rows.join(one.where("copies > 1"), "vec").where("id <> a").select("a", F.col("id").alias("b"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"), F.lit(1.0).alias("score"), F.lit(True).alias("equal"))
+    return near.unionByName(same)
+
+
 def jaccard_pairs(items: DataFrame, least: float) -> DataFrame:
     """Pairs of different token sets at ``least`` or more, through the rarest-first prefix of each set.
 

@@ -43,6 +43,11 @@ QUERIES = {
         lambda s, d: c.duplicate_pairs(_vectors(s, d), "label", 0.3),
         f"WITH {V} SELECT a.id AS a, b.id AS b, round({COS}, 5) AS score FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE {COS} >= 0.3",
     ),
+    "duplicate_vector_pairs_all": (
+        lambda s, d: c.all_duplicate_pairs(_vectors(s, d), 0.3),
+        f"""WITH {V}, u AS (SELECT v, min(id) AS id, count(*) AS copies FROM v GROUP BY v) SELECT a.id AS a, b.id AS b, a.copies AS copies_a, b.copies AS copies_b, round({COS}, 5) AS score, false AS equal FROM u a JOIN u b ON a.id < b.id WHERE {COS} >= 0.3
+        UNION ALL SELECT u.id, v.id, u.copies, u.copies, 1.0, true FROM v JOIN u ON u.v = v.v WHERE v.id <> u.id""",
+    ),
     "cluster_summary_by_label": (
         lambda s, d: _vectors(s, d).groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.round(F.avg(F.col("vec")[0].cast("double")), 5).alias("mean0")),
         f"WITH {V} SELECT label, count(*) AS n, min(id) AS first_id, max(id) AS last_id, round(avg(v[1]), 5) AS mean0 FROM v GROUP BY 1",

@@ -127,3 +127,29 @@ def test_handles_and_subagents(spark):
 def test_state_labels(spark):
     d = spark.createDataFrame([(1, "I was wrong, thank you, rollback"), (2, "plain"), (3, None)], "id long, text string")
     assert sorted((r["id"], r["label"]) for r in signals.labels(d, "text").collect()) == [(1, "admission"), (1, "gratitude"), (1, "undo")]
+
+
+def test_duplicate_pairs_cross_labels(spark, monkeypatch):
+    """Equal and near vectors under different labels; in blocks of any size."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 8)).astype(np.float32)
+    v[[7, 30, 59]] = v[2]
+    v[41] = 0
+    rows = [(i, i % 7, x.tolist()) for i, x in enumerate(v)] + [(90, 0, None), (91, 1, [1.0, 2.0])]
+    d = spark.createDataFrame(rows, "id long, label long, vec array<float>")
+    want = set()
+    for i in range(60):
+        for k in range(i + 1, 60):
+            x, y = v[i].astype(float), v[k].astype(float)
+            if x.any() and y.any() and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.3:
+                want.add((i, k))
+    assert any(i % 7 != k % 7 for i, k in want)
+    for block in (similarity.BLOCK, 9):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        got = similarity.all_duplicate_pairs(d, 0.3).collect()
+        of = {i: {i} for i in range(60)}
+        for r in got:
+            if r["equal"]:
+                of[r["a"]].add(r["b"])
+        pairs = {(min(x, y), max(x, y)) for r in got if not r["equal"] for x in of[r["a"]] for y in of[r["b"]]}
+        assert pairs | {(x, y) for s in of.values() for x in s for y in s if x < y} == want
