@@ -10,8 +10,11 @@ and a reader goes on from any slot.
 A shard is written under a name of its own attempt and then renamed; its bytes
 depend on the input and key alone, so a repeated task writes the same shard.
 
-Defined cases: null and blank texts are one sequence that holds the end id
-only; null doc_ids are marked in the record; repeated rows get slots each; an
+The query's ids are those of a byte-level BPE vocabulary, shifted past the
+reserved ones, so every text can be had back from the shards.
+
+Defined cases: null and empty texts are one sequence that holds the end id
+only (with ``hashed_words``, blank ones too); null doc_ids are marked in the record; repeated rows get slots each; an
 empty table gives no shards and an empty result; extra columns are ignored.
 """
 
@@ -29,6 +32,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.llm import bpe
 from sessionloom.llm.common import fresh_path, stored, table, tune
 
 PAD, END = 0, 1
@@ -79,6 +83,25 @@ def hashed_words(text: str | None) -> np.ndarray:
     return np.array([*ids, END], dtype="<u2")
 
 
+def bpe_ids(path: str, pattern: str):
+    """text -> ids of the BPE vocabulary of a rank file, and the end id; the codec is made in the worker."""
+    most = max(bpe.read_ranks(path).values()) + RESERVED
+    if most > 0xFFFF:
+        raise ValueError(f"id {most} does not fit 16 bits")
+
+    def encode(text: str | None) -> np.ndarray:
+        ids = np.frombuffer(next(bpe.codec(path, pattern).encode([text])), "<u4")
+        return np.append(ids + RESERVED, END).astype("<u2")
+
+    return encode
+
+
+def bpe_text(ids: bytes, path: str, pattern: str) -> bytes:
+    """The UTF-8 text of a document's ids, its parts joined in order."""
+    held = np.frombuffer(ids, "<u2")
+    return bpe.codec(path, pattern).decode((held[held >= RESERVED].astype("<u4") - RESERVED).tobytes())
+
+
 def record(doc: int | None, part: int, ids: bytes, seq_len: int) -> bytes:
     return HEADER.pack(doc or 0, doc is not None, part, len(ids) // 2) + ids.ljust(2 * seq_len, b"\0")
 
@@ -201,5 +224,5 @@ def read(spark: SparkSession, order: Order, first: int = 0, last: int | None = N
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every slot as it is read back: its document, part, number of ids and their sha256."""
-    order = materialise(table(spark, sf_dir, "documents"), fresh_path(spark, "training-order"))
+    order = materialise(table(spark, sf_dir, "documents"), fresh_path(spark, "training-order"), encode=bpe_ids(*bpe.default_vocabulary()))
     return read(spark, order).select("slot", "doc_id", "part", (F.octet_length("ids") / 2).cast("long").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))

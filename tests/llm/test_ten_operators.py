@@ -265,6 +265,21 @@ def test_training_order(spark, docs, rows, tmp_path):
     assert as_set(training_order.read(spark, again), "slot", "doc_id", "part") == as_set(training_order.read(spark, order), "slot", "doc_id", "part")
 
 
+def test_training_order_query_gives_texts_back(spark, rows, tmp_path, monkeypatch):
+    """What the registered query writes decodes to every text, white space and rare words with it."""
+    texts = [*(r[1] for r in rows), "  two  spaces\tand a tab\n", "cA\u0301se \U0001f600 漢字"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    orders, materialise = [], training_order.materialise
+    monkeypatch.setattr(training_order, "materialise", lambda *a, **k: orders.append(materialise(*a, **k)) or orders[-1])
+    out = {r["slot"]: r for r in training_order.query(spark, str(tmp_path)).collect()}
+    parts = defaultdict(dict)
+    for r in training_order.read(spark, orders[0]).collect():
+        assert out[r["slot"]]["ids_sha256"] == hashlib.sha256(bytes(r["ids"])).hexdigest()
+        parts[r["doc_id"]][r["part"]] = bytes(r["ids"])
+    for i, text in enumerate(texts):
+        assert training_order.bpe_text(b"".join(parts[i][k] for k in sorted(parts[i])), *bpe.default_vocabulary()) == (text or "").encode()
+
+
 # -- media
 
 
