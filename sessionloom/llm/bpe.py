@@ -4,7 +4,7 @@ A rank file becomes a sentencepiece BPE model: every byte is mapped to one
 printable character, each token is a piece scored by its negative rank,
 normalisation is the identity.  Merging the best-scored pair first is then the
 rank order of byte-level BPE.  Texts are split into pre-tokens; different
-pre-tokens of a batch are encoded once and remembered, in bounded memory.
+parts of a batch are encoded once and remembered, in bounded memory.
 
 Defined cases: null and empty texts have no ids; any text is encoded whole;
 repeated rows are encoded each; an empty table gives an empty result; extra
@@ -17,18 +17,25 @@ import base64
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import table, tune
 
-#: Remembered pre-tokens of one Python worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Parts that one Python worker remembers; beyond it the memory starts anew.
+REMEMBERED = 1_000_000
+#: Characters of text that are encoded at once, or one text; ids that are decoded at once.
+AT_ONCE = 1 << 22
+#: Stand before a text's first part, and before a mark that follows a letter: no space belongs to these; nor to a line end.
+MARKS = "\x00\x01\n"
 
 
 def byte_map() -> list[str]:
@@ -87,42 +94,148 @@ def splitter(pattern: str):
     return split
 
 
+def _is_text(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Codec:
-    """Encodes texts to little-endian unsigned 32-bit ids, and decodes them."""
+    """Encodes texts to little-endian unsigned 32-bit ids, and decodes them.
+
+    A text is taken apart where patterns like the default one begin a pre-token
+    whatever stands before: at a space that a non-space follows, at a line end,
+    and between a letter and a mark.  The parts are made distinct batch by
+    batch; only those not met lately are split by the pattern and merged.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(ranks))
-        self.ranks, self.split = ranks, splitter(pattern)
+        self.split = splitter(pattern)
         self.chars = {b: c for b, c in enumerate(byte_map())}
         back = {c: b for b, c in self.chars.items()}
-        self.bytes = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(ranks))]
-        self.by_place = [r for _, r in sorted((r, r) for r in ranks.values())]
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        for p, r, ids in zip(pieces, raw, self.model.encode([r.decode("latin-1").translate(self.chars) for r in raw], num_threads=1)):
-            whole = self.ranks.get(r)  # a pre-token that is a token is not merged
-            places = [whole] if whole is not None else [self.by_place[i] for i in ids]
-            self.known[p] = struct.pack(f"<{len(places)}I", *places)
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            pieces = self.split(text) if text else []
-            try:
-                yield b"".join(map(self.known.__getitem__, pieces))
-            except KeyError:
-                self.learn([*{p: None for p in pieces if p not in self.known}])
-                if not all(p in self.known for p in pieces):
-                    self.learn([*dict.fromkeys(pieces)])
-                yield b"".join(map(self.known.__getitem__, pieces))
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        self.by_place = sorted(ranks.values())
+        self.in_order = self.by_place == [*range(len(ranks))]
+        tokens = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(ranks))]
+        self.length = np.zeros(max(self.by_place, default=0) + 1, np.int64)
+        self.length[self.by_place] = [len(t) for t in tokens]
+        self.start = np.cumsum(self.length) - self.length
+        self.pool = np.frombuffer(b"".join(tokens), np.uint8)
+        self.whole = {t.decode(): (r,) for t, r in ranks.items() if _is_text(t)}  # pre-tokens that are tokens aren't merged
+        self.forget()
+
+    def forget(self) -> None:
+        """Nothing is known but the tokens that are words."""
+        words = [(t[1:], i) for t, (i,) in self.whole.items() if t[0] == " " and t[1:].isalpha()]
+        self.known = {w: k for k, (w, _) in enumerate(words)}
+        self.ids, self.ends = array("I", [i for _, i in words]), array("q", range(len(words) + 1))
+
+    def merged(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each pre-token, none of them a token."""
+        if not pieces:
+            return []
+        chars = self.chars
+        out = self.model.encode([p.encode("utf-8", "surrogatepass").decode("latin-1").translate(chars) for p in pieces], num_threads=1)
+        return out if self.in_order else [[self.by_place[i] for i in ids] for ids in out]
+
+    def add(self, keys: list[str], ids: list[list[int]]) -> None:
+        self.known.update(zip(keys, range(len(self.ends) - 1, len(self.ends) - 1 + len(keys))))
+        self.ids.extend(chain.from_iterable(ids))
+        self.ends.extend(islice(accumulate(map(len, ids), initial=self.ends[-1]), 1, None))
+
+    def learn(self, keys: list[str]) -> None:
+        """Parts that are not known yet; one that may not be taken by itself gets place -1."""
+        words = [k for k in keys if k.isalpha()]
+        self.add(words, self.merged([" " + k for k in words]))
+        others = {}
+        for k in keys:
+            if k.isalpha():
+                continue
+            own = k[1:] if k[:1] in MARKS else k
+            if own and (own.isspace() or own[0].isspace() or own[-1].isspace() or len(own.split()) > 1) or not own and k not in ("\n", MARKS[0]):
+                self.known[k] = -1
+            else:
+                others[k] = self.split(own if k[0] in MARKS[:2] else k if k[0] == "\n" else " " + k)
+        ids = self.pieces(chain.from_iterable(others.values()))
+        self.add([*others], [[*chain.from_iterable(ids[p] for p in x)] for x in others.values()])
+
+    def pieces(self, pieces: Iterable[str]) -> dict[str, Sequence[int]]:
+        """The ids of each different pre-token."""
+        ids = {p: self.whole.get(p) for p in pieces}
+        todo = [p for p, x in ids.items() if x is None]
+        return ids | dict(zip(todo, self.merged(todo)))
+
+    def places(self, keys: list[str]) -> np.ndarray:
+        out = list(map(self.known.get, keys))
+        missing = [j for j, x in enumerate(out) if x is None]
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.forget()
+            missing = range(len(keys))
+        self.learn([keys[j] for j in missing])
+        for j in missing:
+            out[j] = self.known[keys[j]]
+        return np.array(out, np.int64)
+
+    def by_pattern(self, text: str) -> np.ndarray:
+        """Ids of any text, by the pattern alone."""
+        pieces = self.split(text)
+        ids = self.pieces(pieces)
+        return np.fromiter((i for p in pieces for i in ids[p]), "<u4")
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size < AT_ONCE):
+                size += len(texts[end] or "")
+                end += 1
+            yield from self._batch(texts[at:end])
+            at = end
+
+    def _batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        rows, marked = [], []
+        for i, x in enumerate(texts):
+            if not x:
+                out[i] = np.empty(0, "<u4")
+            elif "\x00" in x or "\x01" in x or "\n\n\n" in x or "\n\n " in x or x.endswith("\n\n"):
+                out[i] = self.by_pattern(x)
+            else:
+                rows.append(i)
+                marked.append("\x00" + x.replace("\n", " \n"))
+        try:
+            parts = pc.split_pattern(pc.replace_substring_regex(pa.array(marked, pa.large_string()), r"(\pL)([.,;:!?])", "\\1 \x01\\2"), " ")
+        except UnicodeEncodeError:  # a lone surrogate
+            for i in rows:
+                out[i] = self.by_pattern(texts[i])
+            return out
+        flat = parts.flatten().dictionary_encode()
+        place = self.places(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
+        edges = parts.offsets.to_numpy()
+        odd = np.concatenate([[0], np.cumsum(place < 0)])[edges]
+        ends = np.frombuffer(self.ends, np.int64)
+        start, length = np.append(ends[:-1], 0), np.append(np.diff(ends), 0)  # place -1: nothing
+        ids = gathered(np.frombuffer(self.ids, "<u4"), start, length, place)
+        last = np.concatenate([[0], np.cumsum(length[place])])[edges]
+        del ends
+        for n, i in enumerate(rows):
+            out[i] = self.by_pattern(texts[i]) if odd[n + 1] > odd[n] else ids[last[n] : last[n + 1]]
+        return out
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(gathered(self.pool, self.start, self.length, ids[k : k + AT_ONCE]).tobytes() for k in range(0, len(ids), AT_ONCE))
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """pool[start[p] : start[p] + length[p]] for each p in place, joined."""
+    n = length[place]
+    end = np.cumsum(n)
+    return pool[np.repeat(start[place] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -149,8 +262,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             n, one, two = [], [], []
             for ids in c.encode(b.column(1).to_pylist()):
-                n.append(len(ids) // 4)
-                one.append(hashlib.sha256(ids).hexdigest())
+                n.append(len(ids))
+                one.append(hashlib.sha256(np.ascontiguousarray(ids)).hexdigest())
                 two.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -167,9 +280,9 @@ def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 ids = list(c.encode(part.column(1).to_pylist()))
-                n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                n = pa.array([len(x) for x in ids], pa.int64())
                 back = pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.binary()), back], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array([x.tobytes() for x in ids], pa.binary()), back], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
     tune(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Maps the bytes A-Z to a-z and leaves every other byte alone.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Spark's own switch: shuffle files go at the end of the query that made them.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +34,12 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary one set.
+    Only in local mode may a temporary one stand in; on a cluster it must be named.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,14 +49,39 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files: for results that are written or small, and are not computed again."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
+
+
+def stored(df: DataFrame, what: str = "table", over: list[str] | None = None, **options: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives lost executors.
+
+    ``over`` gets the path, for dropped() once nothing reads the table any more.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path, **options)
+    if over is not None:
+        over.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(over: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in over:
+        fs, folder = pyarrow.fs.FileSystem.from_uri(path)
+        fs.delete_dir(folder)
+    over.clear()
+
+
 def words(text: Column) -> Column:
     """Words of a text, in order; null and blank texts have none.  JVM-side, no lambda."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
