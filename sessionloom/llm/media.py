@@ -1,12 +1,15 @@
 """Media columns: archives of lossless images behind a custom Spark data source.
 
 Writing: each task appends its members to one archive file in the shared
-folder; the commit lists the archives with the offsets at which a reader may
-begin.  Files of failed or repeated attempts are in no list and are not read.
-Reading: the plan cuts every archive into byte ranges at those offsets; each
-range is streamed as Arrow batches of payloads, and a member that cannot be
-read, or whose checksum is wrong, is tried again by its own offset before it
-is given out with an error in place of its bytes.
+folder, and beside it writes an index of where each member lies; the commit
+lists the archives.  Files of failed or repeated attempts are in no list and
+are not read.
+Reading: the plan cuts every archive into byte ranges; a range takes the
+members that begin in it, found in the index, reads them in large blocks and
+streams them as Arrow batches.  A member that cannot be read, or whose
+checksum is wrong, is tried again alone by its own offset before it is given
+out with an error in place of its bytes; no other member depends on it.  An
+index entry that is damaged is taken from the member's own header instead.
 
 A payload is stored as a grey 8-bit PNG of 192 columns.
 
@@ -17,6 +20,7 @@ empty list and reads as no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import struct
@@ -24,6 +28,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +41,11 @@ from sessionloom.llm.common import fresh_path, table, tune
 
 WIDTH = 192
 LEVEL = 1
-#: Before each member: mark, doc_id known, doc_id, bytes before filling up, length, crc32 of the stored bytes.
-MEMBER = struct.Struct("<4s?xxxqQQI")
-MARK = b"MBR1"
-LIST = "_members.json"
-#: Bytes of an archive that one read task takes.
-RANGE = 8 << 20
+#: In the index and before each member: offset of this header, length of the stored bytes, doc_id, bytes before filling up, crc32 of the stored bytes, doc_id known, crc32 of the above.
+ENTRY = struct.Struct("<QQqQI?3xI")
+LIST = "_archives.json"
+#: Bytes of an archive that one read task takes, and that it reads at once.
+RANGE, BLOCK = 8 << 20, 4 << 20
 TRIES = 3
 MEMBERS = "doc_id long, offset long, n_bytes long, media binary, error string"
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -90,18 +94,41 @@ def feature(payload: bytes) -> str:
     return f"{WIDTH}x{len(pixels)} mean={pixels.mean():.4f} sd={pixels.std():.4f} ahash={bits}"
 
 
+class Member(NamedTuple):
+    offset: int
+    length: int
+    doc: int | None
+    n_bytes: int
+    crc: int
+
+    def packed(self) -> bytes:
+        head = ENTRY.pack(self.offset, self.length, self.doc or 0, self.n_bytes, self.crc, self.doc is not None, 0)[:-4]
+        return head + struct.pack("<I", zlib.crc32(head))
+
+    @staticmethod
+    def unpacked(data: bytes) -> Member | None:
+        """Nothing if the checksum is wrong."""
+        if len(data) != ENTRY.size or zlib.crc32(data[:-4]) != int.from_bytes(data[-4:], "little"):
+            return None
+        offset, length, doc, n, crc, known, _ = ENTRY.unpack(data)
+        return Member(offset, length, doc if known else None, n, crc)
+
+
 @dataclass
 class Range(InputPartition):
+    """The members of an archive that begin at start..stop-1; its size and number of members."""
+
     path: str
     start: int
     stop: int
+    members: int
 
 
 @dataclass
 class Written(WriterCommitMessage):
     archive: str | None
     size: int
-    starts: list[int]
+    members: int
 
 
 class ArchiveWriter(DataSourceArrowWriter):
@@ -110,27 +137,36 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = pyarrow.fs.FileSystem.from_uri(self.path)
-        name, out, at, starts = f"archive-{uuid.uuid4().hex}.bin", None, 0, [0]
-        for b in iterator:
-            for doc, n, media in zip(*(b.column(k).to_pylist() for k in ("doc_id", "n_bytes", "media"))):
-                if out is None:
-                    fs.create_dir(folder, recursive=True)
-                    out = fs.open_output_stream(f"{folder}/{name}")
-                if at - starts[-1] >= RANGE:
-                    starts.append(at)
-                out.write(MEMBER.pack(MARK, doc is not None, doc or 0, n, len(media), zlib.crc32(media)))
-                out.write(media)
-                at += MEMBER.size + len(media)
+        name, out, at = f"archive-{uuid.uuid4().hex}.bin", None, 0
+        index, n, firsts = bytearray(), 0, [0]  # firsts: for each range the number of its first member
+        try:
+            for b in iterator:
+                for doc, size, media in zip(*(b.column(k).to_pylist() for k in ("doc_id", "n_bytes", "media"))):
+                    if out is None:
+                        fs.create_dir(folder, recursive=True)
+                        out = fs.open_output_stream(f"{folder}/{name}")
+                    while at >= len(firsts) * RANGE:
+                        firsts.append(n)
+                    head = Member(at, len(media), doc, size, zlib.crc32(media)).packed()
+                    out.write(head)
+                    out.write(media)
+                    index += head
+                    at, n = at + len(head) + len(media), n + 1
+        finally:
+            if out is not None:
+                out.close()
         if out is None:
-            return Written(None, 0, [])
-        out.close()
-        return Written(name, at, starts)
+            return Written(None, 0, 0)
+        firsts += [n] * (-(-at // RANGE) + 1 - len(firsts))
+        with fs.open_output_stream(f"{folder}/{name}.index") as side:
+            side.write(bytes(index) + np.array(firsts, "<u8").tobytes())
+        return Written(name, at, n)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, folder = pyarrow.fs.FileSystem.from_uri(self.path)
         fs.create_dir(folder, recursive=True)
         with fs.open_output_stream(f"{folder}/{LIST}") as out:
-            out.write(json.dumps([[m.archive, m.size, m.starts] for m in messages if m and m.archive]).encode())
+            out.write(json.dumps([[m.archive, m.size, m.members] for m in messages if m and m.archive]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         """Nothing is listed, so nothing is read."""
@@ -144,39 +180,75 @@ class ArchiveReader(DataSourceReader):
         fs, folder = pyarrow.fs.FileSystem.from_uri(self.path)
         with fs.open_input_stream(f"{folder}/{LIST}") as f:
             listed = json.loads(f.read())
-        ranges = [Range(f"{folder}/{a}", low, high) for a, size, starts in sorted(listed) for low, high in zip(starts, [*starts[1:], size])]
-        return ranges or [Range("", 0, 0)]
+        ranges = [Range(f"{folder}/{a}", k, min(k + RANGE, size), n) for a, size, n in sorted(listed) for k in range(0, size, RANGE)]
+        return ranges or [Range("", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if not partition.stop:
+            return
         fs, _ = pyarrow.fs.FileSystem.from_uri(self.path)
-        at, rows, size = partition.start, [], 0
-        f = fs.open_input_file(partition.path) if partition.stop else None
-        while at < partition.stop:
-            doc, n, media, length, error = None, None, None, 0, None
-            for attempt in range(TRIES):
-                try:
-                    if attempt:  # by its own offset, on a new handle
-                        f = fs.open_input_file(partition.path)
-                    mark, known, number, n, length, crc = MEMBER.unpack(f.read_at(MEMBER.size, at))
-                    if mark != MARK:
-                        raise ValueError(f"no member at {at}")
-                    media = f.read_at(length, at + MEMBER.size)
-                    if len(media) != length or zlib.crc32(media) != crc:
-                        raise ValueError(f"member at {at} is damaged")
-                    doc, error = number if known else None, None
+        group: list[Member | None] = []
+        size = 0
+        for m in self.members(fs, partition):
+            group.append(m)
+            size += m.length + ENTRY.size if m else 0
+            if size > BLOCK:
+                yield self.batch(self.payloads(fs, partition.path, group))
+                group, size = [], 0
+        if group:
+            yield self.batch(self.payloads(fs, partition.path, group))
+
+    @staticmethod
+    def read_at(fs: pyarrow.fs.FileSystem, path: str, at: int, size: int) -> bytes:
+        """Bytes of a file, on a new handle for each try."""
+        for left in range(TRIES - 1, -1, -1):
+            try:
+                with fs.open_input_file(path) as f:
+                    return f.read_at(size, at)
+            except OSError:
+                if not left:
+                    raise
+        return b""
+
+    def members(self, fs: pyarrow.fs.FileSystem, p: Range) -> Iterator[Member | None]:
+        """What the index says of the range's members; None for one that neither it nor a header tells of."""
+        first, last = np.frombuffer(self.read_at(fs, f"{p.path}.index", p.members * ENTRY.size + 8 * (p.start // RANGE), 16), "<u8").tolist()
+        data = self.read_at(fs, f"{p.path}.index", first * ENTRY.size, (last - first) * ENTRY.size)
+        end = p.start if p.start == 0 else None
+        for k in range(0, len(data), ENTRY.size):
+            m = Member.unpacked(data[k : k + ENTRY.size])
+            if m is None and end is not None:
+                m = Member.unpacked(self.read_at(fs, p.path, end, ENTRY.size))
+            end = m.offset + ENTRY.size + m.length if m else None
+            yield m
+
+    def payloads(self, fs: pyarrow.fs.FileSystem, path: str, group: list[Member | None]) -> list[tuple]:
+        """Rows of neighbouring members: read at once, those that fail again one by one."""
+        known = [m for m in group if m]
+        at, block = (known[0].offset, b"") if known else (0, b"")
+        if known:
+            with contextlib.suppress(OSError), fs.open_input_file(path) as f:
+                block = f.read_at(known[-1].offset + ENTRY.size + known[-1].length - at, at)
+        rows = []
+        for m in group:
+            if m is None:
+                rows.append((None, None, None, None, "the index entry is damaged, and no header could be found"))
+                continue
+            begin, error = m.offset + ENTRY.size - at, None
+            media = block[begin : begin + m.length]
+            for _ in range(TRIES):
+                if len(media) == m.length and zlib.crc32(media) == m.crc:
+                    error = None
                     break
-                except (OSError, ValueError, struct.error) as e:
-                    media, error = None, str(e)
-            rows.append((doc, at, n, media, error))
-            if error and error.startswith("no member"):
-                break  # where the next one begins isn't known
-            size += length
-            at += MEMBER.size + length
-            if size > 4 << 20:
-                yield self.batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield self.batch(rows)
+                error = f"member at {m.offset} is damaged"
+                try:
+                    media = self.read_at(fs, path, m.offset + ENTRY.size, m.length)
+                except OSError as e:
+                    error = str(e)
+            if error and len(media) == m.length and zlib.crc32(media) == m.crc:
+                error = None
+            rows.append((m.doc, m.offset, m.n_bytes, None if error else media, error))
+        return rows
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:
