@@ -11,9 +11,10 @@ for fitting; everything is scored.
 
 Defined cases: null and blank texts have all features zero and get a score
 like any other; labels that are null or of no document are left out; repeated
-rows are scored each and fitted once; with labels of one kind only, every
-score is that kind's smoothed share; an empty table gives an empty result;
-extra columns are ignored.
+rows are scored each and fitted once; with fewer than
+two labels of either kind nothing can be learned: every score is then the
+smoothed share of toxic labels (0 without any), and ``without_toxic`` keeps
+every document; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,7 +131,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, most: in
     """Different labelled documents (doc_id, text, toxic): ``most`` at most, first by hash."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.where(usable).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    # Of rows with one id, the text of least hash.
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 class Toxicity:
@@ -182,11 +185,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents below the threshold, columns unchanged."""
+    """The documents below the threshold, columns unchanged; all of them where the labels teach nothing."""
     names = docs.columns
     model = train(labelled_sample(docs, labels, F.lit(True)))
     if model.trees is None:
-        return docs if model.constant < threshold else docs.limit(0)
+        return docs
     whole = docs.select(F.col("text").cast("string").alias("_text"), F.struct(*names).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
