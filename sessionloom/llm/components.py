@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import stored
+from sessionloom.llm.common import dropped, stored
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,11 +13,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round is two aggregations and two joins over the edges; it stops when
     a round changes nothing.  Every round's edges are written to the shared
-    folder, so a lost executor costs one round at most.  Null ends and loops
+    folder, so a lost executor costs one round at most; those of the round before are deleted.  Null ends and loops
     are left out; nodes without an edge do not appear.
     """
     e = edges.where("a is not null and b is not null and a <> b")
-    e = stored(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    over: list[str] = []
+    e = stored(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", over)
     mark = None
     for _ in range(most_rounds):
         # Large star: every larger neighbour of u is tied to the least of u and its neighbours.
@@ -27,7 +28,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Small star: u and its smaller neighbours are tied to the least of them.
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         tied = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = stored(tied.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, over = over, []
+        e = stored(tied.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", over)
+        dropped(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -31,8 +31,8 @@ from sessionloom.llm.components import components
 #: Generator polynomial of the [23,12,7] Golay code: x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-#: Rows of one key that are compared at once.
-BLOCK = 4096
+#: Parts in which the fingerprints of one component get its name.
+SALTS = 32
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -57,15 +57,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) per row; fp is the fingerprint as a signed long."""
+    """(doc_id, row, fp) per row; row is a hash of all its columns, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x) for x in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x) for x in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "row", "fp"])
 
     tune(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -177,28 +178,41 @@ def link_edges(rows: DataFrame, most: int = 4) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) per row.  ``most`` is four or less: the keys are built for that."""
+def linked(prints: DataFrame, most: int = 4) -> DataFrame:
+    """Stored prints(doc_id, row, fp) -> (doc_id, row, fp, root, component_id), root being one fingerprint of each component.  ``most`` is four or less: the keys are built for that."""
     if not 0 <= most <= 4:
         raise ValueError("the Golay keys meet links of at most four bits")
-    prints = stored(fingerprints(docs, doc_id, text), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rows = keyed(distinct.select("fp")).repartition("key").sortWithinPartitions("key")
     roots = components(link_edges(rows, most))
-    label = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = label.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    label = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    # A fingerprint without links names itself.  One component may hold a large part of the others, so these meet their name in SALTS parts.
+    of_many = label.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    names = of_many.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    single = label.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    named = single.union(of_many.join(names, ["root", "salt"]).select("fp", "root", "component_id"))
+    return prints.join(named, "fp").select("doc_id", "row", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id) per row."""
+    return linked(stored(fingerprints(docs, doc_id, text), "fingerprints"), most).drop("row", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their component, each once, columns unchanged."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    again = out.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.xxhash64(*out.columns)).alias("_first")).where("_n > 1")
-    single = out.join(again, out["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
-    more = out.join(again.select(F.col("doc_id").alias("_d"), "_first"), out["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(*out.columns) == F.col("_first")))
-    return single.unionByName(more.select(*docs.columns).dropDuplicates())
+    """One row of each component, columns unchanged: that of the least id (null comes last), then of the least hash."""
+    prints = linked(stored(fingerprints(docs), "fingerprints"))
+    of_row = prints.groupBy("root", "doc_id", "row").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")
+    kept = of_row.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row"), F.col("first.n").alias("_times"))
+    kept = stored(kept, "kept")
+    rows = docs.withColumn("_hash", F.xxhash64(*docs.columns))
+
+    def those(k: DataFrame) -> DataFrame:
+        return rows.join(k, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left_semi").select(*docs.columns)
+
+    again = kept.where("_times > 1")  # the same row several times
+    return those(kept) if again.isEmpty() else those(kept.where("_times = 1")).unionByName(those(again).dropDuplicates())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
