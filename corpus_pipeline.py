@@ -24,8 +24,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that occur elsewhere go."""
-    return suffix_dedup.cleaned(docs)
+    """Bytes of strings as long as a passage of 51 words (256 bytes) that occur elsewhere go."""
+    return suffix_dedup.cleaned(docs, suffix_dedup.PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ suffixes:
 1. Anchors.  In each window the ``GRAM``-byte string of least hash is its
    anchor (the first of equals), so equal windows have equal anchors at equal
    offsets.  An anchor owns a run of window starts; the bytes that these
-   windows span are its context.  There is about one anchor in 170 bytes.
+   windows span are its context.  There is about one anchor in
+   half of ``length`` bytes.
 2. Counting.  An anchor whose string occurs once is settled (nothing goes); so
    is one whose whole context occurs twice (all its windows go).  A context
    that one text holds many times is one row.  Only hashes are shuffled.
@@ -39,10 +40,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import stored, table, tune
+from sessionloom.llm.common import dropped, stored, table, tune
 
 LENGTH = 400
-GRAM = 64
+#: Bytes that any passage of over 50 words has, about (51 words of four letters and a space).
+PASSAGE = 256
+GRAM = 32
 #: Different contexts of one anchor string that one task sorts.
 GROUP = 4096
 #: Depth to which multikey quicksort goes before the blind tries take over.
@@ -196,7 +199,7 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW, known: int = 0) -
     return out
 
 
-def repeated(contexts: list[tuple[bytes, bytes, int, int]], length: int) -> list[list[tuple[int, int]]]:
+def repeated(contexts: list[tuple[bytes, bytes, int, int]], length: int, gram: int = GRAM) -> list[list[tuple[int, int]]]:
     """Contexts (left bytes reversed, right bytes, least and largest offset) -> intervals of repeated offsets.
 
     A window at offset o begins o bytes before the anchor.  Along the trie of
@@ -205,7 +208,7 @@ def repeated(contexts: list[tuple[bytes, bytes, int, int]], length: int) -> list
     common right part, and the windows between the two ends are repeated.
     """
     rights = [c[1] for c in contexts]
-    known = GRAM if len({r[:GRAM] for r in rights}) == 1 else 0
+    known = gram if len({r[:gram] for r in rights}) == 1 else 0
     order = deep_shallow(rights, known=known)
     shared = [common_prefix(rights[a], rights[b]) for a, b in zip(order, order[1:])]
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
@@ -246,49 +249,58 @@ def merged(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _digest(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+def _digest(data: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(data, seed) - (1 << 63)
 
 
-def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, text) -> (doc, pos, first, last, n, gram, context): hashes only.
+def gram_of(gram: int, length: int) -> int:
+    """Bytes of an anchor string: as asked, or what suits short windows."""
+    return max(8, min(gram, length // 2))
+
+
+def anchor_rows(texts: DataFrame, lengths: tuple[int, ...], gram: int) -> DataFrame:
+    """(doc, text) -> (doc, pos, first, last, n, length, gram, context): hashes only.
 
     A context that a text holds n times is one row, for its first place.  All
     its windows repeat; they come as rows without gram, whose first and last
-    are the ends of a run of window starts.
+    are the ends of a run of window starts.  The lengths do not meet: each is
+    the seed of its own hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 200):
-                doc, cols = [], [[], [], [], [], [], []]
+                doc, cols = [], [[], [], [], [], [], [], []]
                 for key, text in zip(b.column(0)[k : k + 200].to_pylist(), b.column(1)[k : k + 200].to_pylist()):
                     data = text.encode("utf-8", "surrogatepass")
-                    p, a, z = (x.tolist() for x in anchors(data, length, gram))
-                    times: dict[bytes, list[int]] = {}
-                    for i, (x, y) in enumerate(zip(a, z)):
-                        times.setdefault(xxhash.xxh3_128_digest(data[x : y + length]), []).append(i)
-                    one = [at[0] for at in times.values()]
-                    runs = merged([(a[i], z[i]) for at in times.values() if len(at) > 1 for i in at])
-                    doc += [key] * (len(one) + len(runs))
-                    none = [None] * len(runs)
-                    cols[0] += [p[i] for i in one] + none
-                    cols[1] += [a[i] for i in one] + [x for x, _ in runs]
-                    cols[2] += [z[i] for i in one] + [y - 1 for _, y in runs]
-                    cols[3] += [len(at) for at in times.values()] + none
-                    cols[4] += [_digest(data[p[i] : p[i] + gram]) for i in one] + none
-                    cols[5] += [*times, *none]
+                    for length in lengths:
+                        g = gram_of(gram, length)
+                        p, a, z = (x.tolist() for x in anchors(data, length, g))
+                        times: dict[bytes, list[int]] = {}
+                        for i, (x, y) in enumerate(zip(a, z)):
+                            times.setdefault(xxhash.xxh3_128_digest(data[x : y + length], length), []).append(i)
+                        one = [at[0] for at in times.values()]
+                        runs = merged([(a[i], z[i]) for at in times.values() if len(at) > 1 for i in at])
+                        doc += [key] * (len(one) + len(runs))
+                        none = [None] * len(runs)
+                        cols[0] += [p[i] for i in one] + none
+                        cols[1] += [a[i] for i in one] + [x for x, _ in runs]
+                        cols[2] += [z[i] for i in one] + [y - 1 for _, y in runs]
+                        cols[3] += [len(at) for at in times.values()] + none
+                        cols[4] += [length] * (len(one) + len(runs))
+                        cols[5] += [_digest(data[p[i] : p[i] + g], length) for i in one] + none
+                        cols[6] += [*times, *none]
                 if doc:
-                    kinds = (*[pa.int32()] * 4, pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc", "pos", "first", "last", "n", "gram", "context"])
+                    kinds = (*[pa.int32()] * 5, pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc", "pos", "first", "last", "n", "length", "gram", "context"])
 
-    return texts.mapInArrow(run, "doc binary, pos int, first int, last int, n int, gram long, context binary")
+    return texts.mapInArrow(run, "doc binary, pos int, first int, last int, n int, length int, gram long, context binary")
 
 
-def context_rows(todo: DataFrame, texts: DataFrame, ids: DataFrame, length: int) -> DataFrame:
-    """todo(gram, kinds, doc, pos, first, last) with the bytes of each context, read from one copy of its text."""
-    lists = todo.groupBy("doc").agg(F.collect_list(F.struct("gram", "kinds", "pos", "first", "last")).alias("at")).join(ids.select("doc", F.col("id").alias("_id")), "doc")
-    names = ("gram", "kinds", "pos", "first", "last")
+def context_rows(todo: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """todo(gram, kinds, length, doc, pos, first, last) with the bytes of each context, read from one copy of its text."""
+    names = ("gram", "kinds", "length", "pos", "first", "last")
+    lists = todo.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("at")).join(ids.select("doc", F.col("id").alias("_id")), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,130 +309,145 @@ def context_rows(todo: DataFrame, texts: DataFrame, ids: DataFrame, length: int)
                 for k in range(0, len(at), 5000):
                     part = at[k : k + 5000]
                     cols = [pa.array([x[n] for x in part], pa.int64() if n in ("gram", "kinds") else pa.int32()) for n in names]
-                    held = pa.array([data[x["first"] : x["last"] + length] for x in part], pa.binary())
-                    yield pa.RecordBatch.from_arrays([cols[0], cols[1], pa.array([doc] * len(part), pa.binary()), *cols[2:], held], ["gram", "kinds", "doc", *names[2:], "bytes"])
+                    held = pa.array([data[x["first"] : x["last"] + x["length"]] for x in part], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*cols[:3], pa.array([doc] * len(part), pa.binary()), *cols[3:], held], [*names[:3], "doc", *names[3:], "bytes"])
 
     # A text that occurs several times is read once: from the row with the least id.
     read = texts.join(lists, "doc").where(F.col("id").eqNullSafe(F.col("_id"))).select("doc", "text", "at")
-    return read.mapInArrow(run, "gram long, kinds long, doc binary, pos int, first int, last int, bytes binary")
+    return read.mapInArrow(run, "gram long, kinds long, length int, doc binary, pos int, first int, last int, bytes binary")
+
+
+STARTS = "doc binary, length int, low int, high int"
 
 
-STARTS = "doc binary, low int, high int"
+def start_rows(rows: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int32()) for c in cols[1:])], ["doc", "length", "low", "high"])
 
 
-def sorted_groups(rows: DataFrame, length: int) -> DataFrame:
-    """Context rows dealt and sorted by gram -> (doc, low, high): runs of repeated window starts."""
+def sorted_groups(rows: DataFrame, gram: int) -> DataFrame:
+    """Context rows dealt and sorted by gram -> (doc, length, low, high): runs of repeated window starts."""
 
-    def one(group: list[tuple]) -> list[tuple[bytes, int, int]]:
+    def one(group: list[tuple]) -> list[tuple[bytes, int, int, int]]:
         if len(group) < 2:
             return []
-        contexts = []
-        for _, _, pos, first, last, data in group:
+        contexts, length = [], group[0][1]
+        for _, _, _, pos, first, last, data in group:
             contexts.append((data[: pos - first][::-1], data[pos - first :], pos - last, pos - first))
-        found = repeated(contexts, length)
-        return [(g[1], g[2] - b + 1, g[2] - a) for g, spans in zip(group, found) for a, b in merged(spans)]
+        found = repeated(contexts, length, gram_of(gram, length))
+        return [(g[2], length, g[3] - b + 1, g[3] - a) for g, spans in zip(group, found) for a, b in merged(spans)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        out: list[tuple[bytes, int, int]] = []
-
-        def batch() -> pa.RecordBatch:
-            cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["doc", "low", "high"])
-
+        out: list[tuple[bytes, int, int, int]] = []
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if group and group[0][0] != row[0]:
+                if group and group[0][:2] != row[:2]:
                     out += one(group)
                     group = []
                 group.append(row)
             if len(out) > 20_000:
-                yield batch()
+                yield start_rows(out)
                 out.clear()
         out += one(group)
         if out:
-            yield batch()
+            yield start_rows(out)
 
     return rows.mapInArrow(run, STARTS)
 
 
-def counted_windows(rows: DataFrame, length: int) -> DataFrame:
+def counted_windows(rows: DataFrame) -> DataFrame:
     """For oversize groups: every window is hashed and counted by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 200):
-                doc, start, digest = [], [], []
-                for _, key, _, first, last, data in zip(*(c.to_pylist() for c in b.slice(k, 200).columns)):
+                doc, lengths, start, digest = [], [], [], []
+                for _, length, key, _, first, last, data in zip(*(c.to_pylist() for c in b.slice(k, 200).columns)):
                     doc += [key] * (last - first + 1)
+                    lengths += [length] * (last - first + 1)
                     start += range(first, last + 1)
-                    digest += [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(last - first + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.binary()), pa.array(start, pa.int32()), pa.array(digest, pa.binary())], ["doc", "start", "window"])
+                    digest += [xxhash.xxh3_128_digest(data[i : i + length], length) for i in range(last - first + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.binary()), pa.array(lengths, pa.int32()), pa.array(start, pa.int32()), pa.array(digest, pa.binary())], ["doc", "length", "start", "window"])
 
-    windows = rows.mapInArrow(run, "doc binary, start int, window binary")
+    windows = rows.mapInArrow(run, "doc binary, length int, start int, window binary")
     twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    return windows.join(twice, "window", "left_semi").select("doc", F.col("start").alias("low"), F.col("start").alias("high"))
+    return windows.join(twice, "window", "left_semi").select("doc", "length", F.col("start").alias("low"), F.col("start").alias("high"))
 
 
-def repeated_starts(texts: DataFrame, ids: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """texts(id, doc, text) -> (doc, low, high): runs of window starts that repeat.
+def repeated_starts(texts: DataFrame, ids: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """texts(id, doc, text) -> (doc, length, low, high): runs of window starts that repeat, for each length.
 
     ``ids`` has one row (doc, n, id, bytes) for each different text.  The windows of
     copies are found to repeat like any other; only one copy is read for its bytes.
     """
     tune(texts.sparkSession)
-    gram = max(8, min(gram, length // 2))
-    rows = stored(anchor_rows(texts.select("doc", "text"), length, gram), "anchors")
-    found, inside = rows.where("gram is not null"), rows.where("gram is null").select("doc", F.col("first").alias("low"), F.col("last").alias("high"))
-    same = found.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "pos", "first", "last")).alias("one"))
-    by_gram = same.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open"))
+    over: list[str] = []
+    rows = stored(anchor_rows(texts.select("doc", "text"), lengths, gram), "anchors", over)
+    span = [F.col("first").alias("low"), F.col("last").alias("high")]
+    found, inside = rows.where("gram is not null"), rows.where("gram is null").select("doc", "length", *span)
+    same = found.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "length", "pos", "first", "last")).alias("one"))
+    by_gram = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open"))
+    todo = stored(same.join(by_gram.where("kinds > 1 and open > 0").select("gram", "kinds"), "gram").select("gram", "kinds", "one.*"), "todo", over)
+    contexts = stored(context_rows(todo, texts, ids), "contexts", over)
+    few = contexts.where(F.col("kinds") <= group).drop("kinds").repartition("gram").sortWithinPartitions("gram", "length")
+    many = contexts.where(F.col("kinds") > group).drop("kinds")
+    open_ = stored(sorted_groups(few, gram).union(counted_windows(many)), "open", over)
     twice = same.where("n > 1").select("gram", "context")
-    settled = found.join(twice, ["gram", "context"], "left_semi").select("doc", F.col("first").alias("low"), F.col("last").alias("high"))
-    todo = same.join(by_gram.where("kinds > 1 and open > 0").select("gram", "kinds"), "gram").select("gram", "kinds", "one.*")
-    rows = stored(context_rows(todo, texts, ids, length), "contexts")
-    few = rows.where(F.col("kinds") <= group).drop("kinds").repartition("gram").sortWithinPartitions("gram")
-    many = rows.where(F.col("kinds") > group).drop("kinds")
-    return settled.union(inside).union(sorted_groups(few, length)).union(counted_windows(many, length)).distinct()
+    settled = found.join(twice, ["gram", "context"], "left_semi").select("doc", "length", *span)
+    starts = stored(settled.union(inside).union(open_).distinct(), "starts")
+    dropped(over)
+    return starts
 
 
-def runs_of(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs + ``_text`` (never null) and ``_runs``: array of covered byte runs (low, high), unordered; null if none."""
+def runs_of(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs + ``_text`` (never null) and ``_runs``: array of covered byte runs (length, low, high), unordered; null if none."""
     names = docs.columns
     d = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     d = d.withColumn("_doc", F.substring(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)), 1, 16))
-    texts = d.where(F.octet_length("_text") >= length).select(F.col(doc_id).alias("id"), F.col("_doc").alias("doc"), F.col("_text").alias("text"))
+    texts = d.where(F.octet_length("_text") >= min(lengths)).select(F.col(doc_id).alias("id"), F.col("_doc").alias("doc"), F.col("_text").alias("text"))
     ids = texts.groupBy("doc").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min(F.octet_length("text")).alias("bytes"))
-    whole = ids.where("n > 1").select("doc", F.lit(0).alias("low"), (F.col("bytes") - length).alias("high"))
-    starts = repeated_starts(texts, ids, length).join(whole.select("doc"), "doc", "left_anti").union(whole)
-    runs = starts.groupBy("doc").agg(F.collect_list(F.struct("low", (F.col("high") + (length - 1)).alias("high"))).alias("_runs"))
+    each = F.explode(F.array(*map(F.lit, lengths)))
+    whole = ids.where("n > 1").select("doc", each.alias("length"), "bytes").where("bytes >= length").select("doc", "length", F.lit(0).alias("low"), (F.col("bytes") - F.col("length")).alias("high"))
+    starts = repeated_starts(texts, ids, lengths).join(whole.select("doc", "length"), ["doc", "length"], "left_anti").select("doc", "length", "low", "high").union(whole)
+    runs = starts.groupBy("doc").agg(F.collect_list(F.struct("length", "low", (F.col("high") + F.col("length") - 1).alias("high"))).alias("_runs"))
     return d.join(runs, d["_doc"] == runs["doc"], "left").select(*[d[c] for c in names], "_text", "_runs")
 
 
-def cut(data: bytes, runs) -> tuple[bytes, int]:
-    """What stays of the bytes, and how many runs went."""
-    spans = merged([(x["low"], x["high"]) for x in runs or ()])
+def covered(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """The maximal runs of one length, half-open."""
+    return merged([(x["low"], x["high"]) for x in runs or () if x["length"] == length])
+
+
+def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What stays of the bytes."""
     out, at = [], 0
     for a, b in spans:
         out.append(data[at:a])
         at = b
-    return b"".join([*out, data[at:]]), len(spans)
+    return b"".join([*out, data[at:]])
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: n_bytes, n_removed, n_spans, kept_sha256."""
+def removed(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """One row per document: n_bytes, n_removed, n_spans, kept_sha256; with ``passage`` also
+    n_passage, the bytes that strings of that many bytes would remove."""
+    lengths = (length,) if passage is None else (length, passage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [[], [], [], []]
+            rows = [[], [], [], [], []]
             for text, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
-                left, n = cut(data, runs)
-                for c, v in zip(rows, (len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest())):
+                spans = covered(runs, length)
+                left = cut(data, spans)
+                n = sum(y - x for x, y in covered(runs, lengths[-1]))
+                for c, v in zip(rows, (len(data), len(data) - len(left), len(spans), n, hashlib.sha256(left).hexdigest())):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(rows[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passage", "kept_sha256"])
 
-    d = runs_of(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), length).select("doc_id", "_text", "_runs")
-    return d.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    d = runs_of(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), lengths).select("doc_id", "_text", "_runs")
+    out = d.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, n_passage long, kept_sha256 string")
+    return out if passage is not None else out.drop("n_passage")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -431,9 +458,9 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     @F.udf("string", useArrow=True)
     def kept(text, runs):
-        return cut(text.encode("utf-8", "surrogatepass"), runs)[0].decode("utf-8", "ignore")
+        return cut(text.encode("utf-8", "surrogatepass"), covered(runs, length)).decode("utf-8", "ignore")
 
-    d = runs_of(docs, length)
+    d = runs_of(docs, (length,))
     out = d.withColumn("text", F.when(F.col("_runs").isNotNull(), kept("_text", "_runs")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_runs").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -441,4 +468,4 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(table(spark, sf_dir, "documents"))
+    return removed(table(spark, sf_dir, "documents"), passage=PASSAGE)

@@ -11,7 +11,7 @@ import pytest
 from conftest import SCHEMA, prose
 from test_ten_operators import brute_fingerprint, brute_removed, grouped
 
-from sessionloom.llm import bpe
+from sessionloom.llm import bpe, suffix_dedup
 
 pipeline = pytest.importorskip("corpus_pipeline")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,13 +47,14 @@ def brute(rows):
     group = grouped(ids, [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
     rows = [r for r in rows if group[r[0]] == r[0]]
     data = [r[1].encode() for r in rows]
-    count = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
+    length = suffix_dedup.PASSAGE
+    count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     texts = {}
     for r, d in zip(rows, data):
         gone = np.zeros(len(d), bool)
-        for i in range(len(d) - 399):
-            if count[d[i : i + 400]] > 1:
-                gone[i : i + 400] = True
+        for i in range(len(d) - length + 1):
+            if count[d[i : i + length]] > 1:
+                gone[i : i + length] = True
         texts[r[0]] = bytes(np.frombuffer(d, np.uint8)[~gone]).decode("utf-8", "ignore")
     size = {i: len(WORD.findall(x)) for i, x in texts.items()}
     source = {r[0]: r[3] for r in rows}

@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 import pytest
 import xxhash
 
@@ -157,10 +160,46 @@ def test_url_rules(spark):
     assert (got[1]["host"], got[1]["path"], got[5]["host"], got[9]["path"]) == ("www.example.com", "/en/5", "", "")
 
 
-def test_url_model_tells_hosts_apart(spark):
-    pages = spark.createDataFrame([(1, "http://casino-win.example.org/fr/1"), (2, "http://museum.example.org/fr/1")], "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(pages, url_filter.labelled_urls(spark)).collect()}
-    assert got == {1: "block", 2: "allow"}
+def brute_url(url):
+    """Host, path and the longest rule, taken apart by hand."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url[url.index("://") + 3 :]
+    end = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host, rest = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
+    path = rest[: min([rest.index(c) for c in "?#" if c in rest], default=len(rest))]
+    fits = [r for r in url_filter.RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+    return host, path, best and best[0] + best[1], best and best[2]
+
+
+def test_url_rules_like_brute_force(spark):
+    """Odd urls, null and repeated ids, a very long one, and extra columns named like the operator's own."""
+    rng = random.Random(8)
+    bits = ["http", "://", "www.", "example.com", "Example.COM", "net", ".net", "com", "/", "/en/", "/es/", "/fr/", "?", "#", "a", "É", ".", "x=1"]
+    urls = ["http://" * (k % 3) + "".join(rng.choices(bits, k=rng.randrange(9))) for k in range(400)] + [None, "", "http://a.net/es/" + "y" * 100_000]
+    rows = [(k if k % 7 else None, u, "x", "y", "z") for k, u in enumerate(urls)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, score string, _url string")
+    got = url_filter.url_filter(pages, url_filter.labelled_urls(spark))
+    assert as_set(got, "page_id", "host", "path", "rule") == Counter((r[0], *brute_url(r[1])[:3]) for r in rows)
+    for r in got.collect():
+        want = next(v for h, p, _, v in map(brute_url, urls) if (h, p) == (r["host"], r["path"]))
+        assert r["verdict"] == (want or ("block" if r["score"] >= url_filter.THRESHOLD else "allow"))
+
+
+def test_url_model_on_held_out_hosts():
+    rows = []
+    for url, label in url_filter.labelled_rows():
+        rows.append((*brute_url(url)[:2], label))
+    late = [r for r in rows if zlib.crc32(r[0].encode()) % 4 == 0]
+    w = url_filter.fit([r for r in rows if zlib.crc32(r[0].encode()) % 4])
+    block = []
+    for h, p, label in late:
+        g = url_filter.grams(h, p)
+        block.append((1 / (1 + math.exp(-(w[0] + w[g[g > 0]].sum() / math.sqrt(len(g))))) >= url_filter.THRESHOLD, label))
+    caught = sum(b and label for b, label in block)
+    assert len(late) > 150 and caught >= 0.75 * sum(label for _, label in block)
+    assert caught >= 0.97 * sum(b for b, _ in block)
 
 
 # -- suffix-array dedup
@@ -183,9 +222,12 @@ def brute_removed(texts, length):
 
 @pytest.mark.parametrize("length,group", [(400, 4096), (150, 4096), (150, 1)])
 def test_suffix_dedup(docs, rows, length, group, monkeypatch):
-    monkeypatch.setattr(suffix_dedup.repeated_starts, "__defaults__", (suffix_dedup.LENGTH, suffix_dedup.GRAM, group))
+    monkeypatch.setattr(suffix_dedup.repeated_starts, "__defaults__", ((suffix_dedup.LENGTH,), suffix_dedup.GRAM, group))
+    texts = [r[1] for r in rows]
     got = as_set(suffix_dedup.removed(docs, length), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == Counter((r[0], *x) for r, x in zip(rows, brute_removed([r[1] for r in rows], length)))
+    assert got == Counter((r[0], *x) for r, x in zip(rows, brute_removed(texts, length)))
+    both = as_set(suffix_dedup.removed(docs, length, passage=60), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage")
+    assert both == Counter((r[0], *x, y[1]) for r, x, y in zip(rows, brute_removed(texts, length), brute_removed(texts, 60)))
 
 
 def test_suffix_dedup_of_periodic_texts(spark):
@@ -255,7 +297,7 @@ def test_training_order(spark, docs, rows, tmp_path):
     parts = defaultdict(list)
     for r in got:
         parts[r["doc_id"]].append((r["part"], bytes(r["ids"])))
-    want = {r[0]: training_order.hashed_words(r[1]).tobytes() for r in rows}
+    want = {r[0]: training_order.byte_ids([r[1]])[0].tobytes() for r in rows}
     seen = Counter(r[0] for r in rows)
     for doc, p in parts.items():
         assert b"".join(x for _, x in sorted(p)[:: seen[doc]]) == want[doc]
@@ -297,16 +339,80 @@ def test_media(spark, docs, rows, tmp_path, monkeypatch):
     assert media.from_png(media.to_png(b"x" * 384)) == b"x" * 384
 
 
-def test_media_damaged_member_is_given_out_with_its_error(spark, docs, tmp_path):
+@pytest.fixture
+def ten_members(spark, tmp_path):
+    """Ten members in one archive: its path, the archive, the index, and what was read from it whole."""
     path = f"file://{tmp_path}/m"
-    media.write_media(docs.coalesce(1), path)
-    n = media.read_media(spark, path).count()
+    texts = [f"text {i} " * (40 * i + 1) for i in range(10)]
+    media.write_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path)
     archive = next((tmp_path / "m").glob("archive-*.bin"))
-    data = bytearray(archive.read_bytes())
-    data[media.MEMBER.size + 20] ^= 1
-    archive.write_bytes(data)
-    rows = media.read_media(spark, path).collect()
-    assert len(rows) == n and [r["offset"] for r in rows if r["error"]] == [0]
+    return path, archive, archive.with_name(archive.name + ".index"), {r["doc_id"]: r for r in media.read_media(spark, path).collect()}
+
+
+def damaged(file, at):
+    data = bytearray(file.read_bytes())
+    data[at] ^= 0x5A
+    file.write_bytes(data)
+
+
+@pytest.mark.parametrize("what", ["payload", "mark", "length", "checksum", "index", "index and header"])
+def test_media_loses_no_member_beside_a_damaged_one(spark, ten_members, what, monkeypatch):
+    path, archive, index, whole = ten_members
+    assert len(whole) == 10 and not any(r["error"] for r in whole.values())
+    start = whole[3]["offset"]
+    if "index" not in what:
+        damaged(archive, start + {"payload": media.ENTRY.size + 20, "mark": 0, "length": 8, "checksum": media.ENTRY.size - 1}[what])
+    else:
+        damaged(index, 3 * media.ENTRY.size + 8)
+    if what == "index and header":
+        damaged(archive, start + 8)
+    got = media.read_media(spark, path).collect()
+    lost = {"payload": 3, "index and header": None}.get(what, ())
+    assert Counter(r["doc_id"] for r in got) == Counter({k: 1 for k in whole if k != 3} | {None if what == "index and header" else 3: 1})
+    for r in got:
+        bad = lost != () and r["doc_id"] == lost
+        assert bool(r["error"]) == bad and (r["media"] is None if bad else r["media"] == whole[r["doc_id"]]["media"])
+
+
+def test_media_ranges_take_each_member_once(spark, ten_members, monkeypatch):
+    path, archive, _, whole = ten_members
+    for size, block in ((50, 1), (700, 300)):
+        monkeypatch.setattr(media, "RANGE", size)
+        monkeypatch.setattr(media, "BLOCK", block)
+        again = path + str(size)
+        writer = media.ArchiveWriter(again)
+        rows = pa.RecordBatch.from_pylist([{"doc_id": k, "n_bytes": r["n_bytes"], "media": bytes(r["media"])} for k, r in whole.items()])
+        writer.commit([writer.write(iter([rows]))])
+        reader = media.ArchiveReader(again)
+        parts = reader.partitions()
+        assert len(parts) > 2
+        got = [x for p in parts for b in reader.read(p) for x in b.to_pylist()]
+        assert [(x["doc_id"], x["media"], x["error"]) for x in got] == [(k, bytes(r["media"]), None) for k, r in whole.items()]
+
+
+def test_media_member_is_retried_alone(ten_members, monkeypatch):
+    """A block that can't be read costs no member."""
+    path, _, _, whole = ten_members
+    reader, real = media.ArchiveReader(path), pyarrow.fs.FileSystem.from_uri(path)[0]
+
+    class Flaky:
+        def __init__(self):
+            self.calls = 0
+
+        def open_input_stream(self, p):
+            return real.open_input_stream(p)
+
+        def open_input_file(self, p):
+            self.calls += 1
+            if self.calls % 3 == 0:
+                raise OSError("gone for a moment")
+            return real.open_input_file(p)
+
+    flaky = Flaky()
+    [p] = reader.partitions()
+    members = list(reader.members(flaky, p))
+    rows = [r for k in range(0, 10, 2) for r in reader.payloads(flaky, p.path, members[k : k + 2])]
+    assert [(r[0], r[3], r[4]) for r in rows] == [(k, bytes(r["media"]), None) for k, r in whole.items()]
 
 
 # -- SimHash
@@ -375,7 +481,17 @@ def links_of(links):
 # -- BPE
 
 
-def test_bpe_like_tiktoken(docs, rows):
+def test_keep_one_keeps_a_row_of_every_component(spark):
+    """Ids that are null, or the same for different texts, cost no component its row."""
+    rng = np.random.default_rng(11)
+    a, b, c, d = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, b), (1, a), (7, c), (7, d), (7, d), (7, d), (8, d), (None, "x"), (None, "x"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, simhash.keep_one(docs).collect()))
+    assert got == Counter([(1, a), (None, b), (7, c), (7, d), (None, "x"), (5, None)])
+
+
+def test_bpe_like_tiktoken(docs, rows, monkeypatch):
     import public_tokenizers
     import tiktoken
 
@@ -388,7 +504,15 @@ def test_bpe_like_tiktoken(docs, rows):
     assert as_set(bpe.round_trip(docs, path, pattern), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
     c = bpe.codec(path, pattern)
     for t in ("don't  stop\n\n ", "a\x1cb\x85c\xa0d", "² ³½ ٣ 你好, мир!", "ǅ'LL’ll", "  　x", "<|endoftext|>"):
-        assert np.frombuffer(next(c.encode([t])), "<u4").tolist() == own.encode_ordinary(t)
+        assert next(c.encode([t])).tolist() == own.encode_ordinary(t)
+    rng = random.Random(3)
+    bits = ["a", "bé", "'s", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\r", "\xa0", "\u2003", "\x1c", "\x00", "\x01", "7", ".", "!", "the", "漢", "\U0001f600"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(8000)]
+    for t, ids in zip(texts, c.encode(texts)):
+        assert ids.tolist() == own.encode_ordinary(t) and c.decode(ids) == t.encode()
+    c.forget()
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    assert [x.tolist() for x in c.encode(texts[:500])] == [own.encode_ordinary(t) for t in texts[:500]]
 
 
 # -- toxicity
@@ -422,6 +546,16 @@ def test_toxicity_without_both_kinds(spark):
     none = toxicity.train(toxicity.labelled_sample(docs, spark.createDataFrame([], "doc_id long, toxic int"), toxicity.F.lit(True)))
     assert {r["score"] for r in toxicity.score_documents(docs, none).collect()} == {0.0}
     assert toxicity.without_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 2
+    for kinds in ((1, 1), (0, 1), (1, None)):  # nothing to learn from: no document goes
+        labels = spark.createDataFrame(list(enumerate(kinds, 1)), "doc_id long, toxic int")
+        assert toxicity.without_toxic(docs, labels).count() == 2, kinds
+
+
+def test_toxicity_sample_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    one = [sorted(map(tuple, toxicity.labelled_sample(d, labels, toxicity.F.lit(True)).collect())) for d in (docs, docs.orderBy("text"), docs.repartition(3, "text"))]
+    assert len(one[0]) == 2 and one[0] == one[1] == one[2]
 
 
 # -- all
@@ -429,7 +563,7 @@ def test_toxicity_without_both_kinds(spark):
 
 @pytest.fixture(scope="session")
 def every(spark):
-    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
     path, pattern = bpe.default_vocabulary()
 
     def train_and_score(d):
