@@ -33,6 +33,59 @@ REJECTION = (
     r"that['’]?s\s+wrong", r"that['’]?s\s+not\s+(?:right|correct|what)", r"not\s+what\s+i\s+(?:wanted|asked|meant)", r"wrong", r"undo", r"revert", r"rollback", r"roll\s+back",
     r"i\s+(?:said|meant|asked)", r"not\s+correct", r"no,?\s+actually", r"fix\s+(?:this|that|it)", r"try\s+again",
 )
+# Phrases of an agent's states, by label.
+STATES = (
+    ("agent_admission", ADMISSION),
+    ("agent_uncertainty", (
+        r"i\s+think", r"(?:it\s+)?might\s+be", r"(?:it\s+)?could\s+be", r"maybe", r"perhaps", r"probably", r"possibly", r"i['’]?m\s+not\s+(?:sure|certain)", r"i\s+suppose",
+        r"i\s+guess", r"i\s+believe", r"if\s+i\s+recall",
+    )),
+    ("agent_overconfidence", (
+        r"definitely", r"certainly", r"undoubtedly", r"without\s+a\s+doubt", r"i['’]?m\s+(?:certain|sure)", r"i\s+am\s+(?:certain|sure)", r"100%\s+(?:sure|confident|certain)",
+        r"it\s+must\s+be", r"guaranteed", r"(?:obviously|evidently)",
+    )),
+    ("agent_self_reflection", (
+        r"on\s+reflection", r"looking\s+back", r"my\s+previous\s+attempt", r"failed\s+because", r"in\s+the\s+next\s+(?:trial|attempt|time)", r"i\s+(?:now\s+)?realize\s+that",
+        r"i\s+misunderstood", r"i\s+did\s+not\s+take\s+into\s+account", r"i\s+need\s+to\s+reconsider",
+    )),
+    ("agent_self_critique", (
+        r"let\s+me\s+verify", r"let\s+me\s+double[-\s]?check", r"checking\s+my\s+work", r"the\s+answer\s+is\s+not\s+reasonable", r"this\s+could\s+be\s+improved",
+        r"a\s+better\s+(?:approach|solution)", r"let\s+me\s+reconsider",
+    )),
+    ("agent_assumption", (
+        r"i['’]?ll\s+assume", r"i\s+(?:would\s+)?assume", r"assuming\s+that", r"i['’]?m\s+guessing", r"presumably", r"to\s+the\s+best\s+of\s+my\s+knowledge",
+        r"as\s+far\s+as\s+i['’]?m?\s+aware",
+    )),
+    ("agent_stuck", (
+        r"i['’]?m\s+(?:not\s+able|unable)\s+to", r"i\s+can['’]?t\s+figure\s+(?:this\s+)?out", r"i\s+keep\s+failing", r"i['’]?m\s+stuck", r"i\s+cannot\s+(?:solve|determine)",
+        r"i['’]?ve\s+tried\s+(?:multiple|several)",
+    )),
+)
+# Messages of guards that did their work, and headers of rules that were shown; neither is a failure.
+GUARDS = (
+    r"\bPreToolUse:[A-Za-z]+\s+(?:hook\s+)?(?:denied|blocked)\b", r"\bHook\s+PreToolUse:[A-Za-z]+\s+denied\b", r"\bhhdev-preflight\b", r"\bAP-010\s+(?:block|preflight)\b",
+    r"\bretry-guard\b.*\bblock(?:ed|ing)?\b", r"\[retry-guard\]\s+BLOCK", r"\bdocker-down-gate\b", r"\bbatch-guard\b.*\bblock(?:ed|ing)?\b", r"\bcascade-shield\b.*\bblock(?:ed|ing)?\b",
+    r"\[claudemd-cap\]\s+BLOCK", r"\[done-before-gate\]", r"\bPreToolUse:[A-Za-z]+\s+hook\s+error\b",
+)
+HEADERS = (r"ZENO\s+RETRY-LOOP\s+RULE", r"HOOK-BYPASS\s+RULE", r"DBT/CUBE\s+SOURCE\s+BINDING", r"CONFIG\.TOML\s+BINDING\s+\+\s+HH_WORKTREE_MODE")
+# Idioms that pass by a check; words that begin a correction; words of a failed output, of an undo and of praise.
+BYPASSES = r"(\|\|\s*true|\|\|\s*exit\s+0|--no-verify|--force\b|--no-deps|skip-checks|ignore-scripts|\.skip\(|@pytest\.mark\.skip|\bxfail\b|--strict=false)"
+PREFIXES = ("no,", "actually,", "instead,", "wait,", "stop,")
+FAILED = r"\b(Error|Exception|FAILED|Permission denied|not found|No such file)\b"
+TAKEN_BACK = r"\b(undo|revert|rollback|go back|restore|put it back|that.s wrong)\b"
+PRAISE = r"\b(thanks|perfect|awesome|great|nice|good|done|yes|ok|lgtm|ship it)\b"
+# Fixed values: "stop" as a complaint, and alone on a line.
+STOPS = (r"\bstop\s+(?:doing|it|this|that|changing|trying)\b|(?:^|\s)stop[,!.]", r"^stop[!.]?\s*$")
+# What a content filter objects to, and stack traces.
+FILTERS = (
+    r'IMPORTANT:[^"]{10,}?\.', r"(?s)<system-reminder>.*?</system-reminder>", r"(?s)<system>.*?</system>", r"(?s)<user-prompt-submit-hook>.*?</user-prompt-submit-hook>",
+    r"(?s)<tool_use_error>.*?</tool_use_error>", r"(?s)<[a-z_-]+>.*?</[a-z_-]+>", r"[A-Za-z0-9+/]{50,}={0,2}", r"(?:0x)?[0-9a-fA-F]{32,}", r'"role"\s*:\s*"(?:system|user|assistant)"',
+)
+TRACES = (
+    r'File ".*?", line \d+, in .*?(?:\\n|$)', r"(?s)Traceback \(most recent call last\):.*?(?=\\n[A-Z])", r"(?s)During handling of the above exception.*?(?=\\n[A-Z]|$)",
+    r"/home/[a-z]+/[^\s\"']{20,}", r"at (?:Object\.|Module\.|Function\.)[^\n]{10,}", r"litellm\.[a-zA-Z.]+Error:.*?(?=\\n|$)",
+)
+# Secrets, and how an error text loses its ids.
 SECRETS = (
     r"sk-[a-zA-Z0-9_\-]{20,}", r"AKIA[A-Z0-9]{16}", r"Bearer [a-zA-Z0-9._\-]+", r"""(?i)(password|passwd|pwd)\s*[=:]\s*["']?[^\s"']{4,}""",
     r"""(?i)(api[_-]?key)\s*[=:]\s*["']?[^\s"']{8,}""", r"""(?i)(secret|token)\s*[=:]\s*["']?[^\s"']{8,}""", r"ghp_[a-zA-Z0-9]{20,}", r"gho_[a-zA-Z0-9]{20,}",
@@ -74,10 +127,28 @@ def hits_sql(text: str, words: tuple[str, ...]) -> str:
 
 def sentiment(text: Column) -> Column:
     """(positive - negative) / max(positive + negative, 1)."""
-    p, n = hits(text, POSITIVE), hits(text, NEGATIVE)
+    p, n = hits(text, POSITIVE), negatives(text)
     return (p - n) / F.greatest(p + n, F.lit(1))
 
 
+def negatives(text: Column) -> Column:
+    """Negative words, and "stop" as a complaint."""
+    return hits(text, NEGATIVE) + F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?im){STOPS[0]}"))
+
+
+def negatives_sql(text: str) -> str:
+    return f"({hits_sql(text, NEGATIVE)} + len(regexp_extract_all(coalesce({text}, ''), '(?im){STOPS[0]}')))"
+
+
+def escalated(text: Column) -> Column:
+    """A phrase of acute frustration, or "stop" alone on a line."""
+    return any_of(text, ESCALATION) | F.coalesce(text.rlike(f"(?im){STOPS[1]}"), F.lit(False))
+
+
+def escalated_sql(text: str) -> str:
+    return f"({any_of_sql(text, ESCALATION)} OR coalesce(regexp_matches({text}, '(?im){STOPS[1]}'), false))"
+
+
 def normalised(text: Column) -> Column:
     """An error text without its ids, times, paths and numbers; first 500 characters."""
     out = F.substring(F.coalesce(text, F.lit("")), 1, 500)
@@ -93,18 +164,25 @@ def normalised_sql(text: str) -> str:
     return f"lower(trim({out}))"
 
 
-def scrubbed(text: Column) -> Column:
-    out = text
-    for pattern in SECRETS:
-        out = F.regexp_replace(out, pattern, "[REDACTED]")
-    return out
+def scrubbed(text: Column, traces: bool = False) -> Column:
+    """Secrets as [REDACTED], what a filter objects to as [FILTERED]; with ``traces`` stack traces too.  Only texts that hold any are rewritten."""
+    for patterns, by in _scrubs(traces):
+        out = text
+        for pattern in patterns:
+            out = F.regexp_replace(out, pattern, by)
+        text = F.when(text.rlike("|".join(f"(?:{p})" for p in patterns)), out).otherwise(text)
+    return text
+
+
+def _scrubs(traces: bool) -> list[tuple[tuple[str, ...], str]]:
+    return [(SECRETS, "[REDACTED]"), (FILTERS, "[FILTERED]"), *([(TRACES, "[STACK_TRACE]")] if traces else [])]
 
 
 def scrubbed_sql(text: str) -> str:
-    out = text
-    for pattern in SECRETS:
-        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '[REDACTED]', 'g')"
-    return out
+    for patterns, by in _scrubs(False):
+        for pattern in patterns:
+            text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return text
 
 
 def short_hash(text: Column, n: int = 16) -> Column:

@@ -38,10 +38,8 @@ def admissions(messages: DataFrame) -> DataFrame:
 
 
 def labels(texts: DataFrame, text: str) -> DataFrame:
-    """Zero or more state labels per row."""
-    c = F.col(text)
-    named = (("admission", t.ADMISSION), ("correction", t.CORRECTION), ("undo", t.UNDO), ("escalation", t.ESCALATION), ("confirmation", t.CONFIRMATION), ("gratitude", t.GRATITUDE))
-    return texts.withColumn("label", F.explode(F.array_compact(F.array(*[F.when(t.any_of(c, p), n) for n, p in named]))))
+    """Zero or more labels of the agent's state per row."""
+    return texts.withColumn("label", F.explode(F.array_compact(F.array(*[F.when(t.any_of(F.col(text), p), n) for n, p in t.STATES]))))
 
 
 def sentiments(messages: DataFrame) -> DataFrame:
@@ -53,7 +51,7 @@ def frustration(messages: DataFrame) -> DataFrame:
     """User messages at the end of three negative ones in a row, or with an escalation phrase."""
     m = messages.where("role = 'user'").withColumn("score", t.sentiment(F.col("content")))
     three = (F.col("score") < 0) & (F.lag("score", 1).over(by_idx()) < 0) & (F.lag("score", 2).over(by_idx()) < 0)
-    return m.withColumn("streak", F.coalesce(three, F.lit(False))).withColumn("escalated", t.any_of(F.col("content"), t.ESCALATION))
+    return m.withColumn("streak", F.coalesce(three, F.lit(False))).withColumn("escalated", t.escalated(F.col("content")))
 
 
 def positives(messages: DataFrame) -> DataFrame:
@@ -63,7 +61,7 @@ def positives(messages: DataFrame) -> DataFrame:
     prior = F.coalesce(F.max(F.col("role") == "assistant").over(by_idx().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     kind = (
         F.when(t.any_of(c, t.CONFIRMATION), "confirmation").when(t.any_of(c, t.GRATITUDE), "gratitude")
-        .when(F.col("_prior") & (words < 20) & (t.hits(c, t.POSITIVE) > 0) & (t.hits(c, t.NEGATIVE) == 0), "implicit_approval")
+        .when(F.col("_prior") & (words < 20) & (t.hits(c, t.POSITIVE) > 0) & (t.negatives(c) == 0), "implicit_approval")
     )
     return messages.withColumn("_prior", prior).where("role = 'user'").withColumn("kind", kind).drop("_prior")
 

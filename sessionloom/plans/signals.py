@@ -4,12 +4,11 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text as t
 from sessionloom.operators import signals as g
-from sessionloom.sources.bind import DIALOGUE, STREAM, dialogue, table, tool_stream
+from sessionloom.sources.bind import DIALOGUE, STREAM, TALK, dialogue, table, talk, tool_stream
 
 W = "(PARTITION BY session_id ORDER BY ts, id)"
 WI = "(PARTITION BY session_id ORDER BY idx"
-PN = f"{t.hits_sql('content', t.POSITIVE)} AS p, {t.hits_sql('content', t.NEGATIVE)} AS n"
-NAMED = (("admission", t.ADMISSION), ("correction", t.CORRECTION), ("undo", t.UNDO), ("escalation", t.ESCALATION), ("confirmation", t.CONFIRMATION), ("gratitude", t.GRATITUDE))
+PN = f"{t.hits_sql('content', t.POSITIVE)} AS p, {t.negatives_sql('content')} AS n"
 
 
 def _corpus(s, d):
@@ -18,32 +17,32 @@ def _corpus(s, d):
 
 QUERIES = {
     "correction_messages": (
-        lambda s, d: g.corrections(dialogue(s, d)).select("session_id", "idx"),
-        f"WITH {DIALOGUE} SELECT session_id, idx FROM m WHERE role IN ('user', 'human') AND ({t.any_of_sql('content', t.CORRECTION)} OR regexp_matches(content, '(?i)(^|\\s)no,'))",
+        lambda s, d: g.corrections(talk(s, d)).select("session_id", "idx"),
+        f"WITH {TALK} SELECT session_id, idx FROM m WHERE role IN ('user', 'human') AND ({t.any_of_sql('content', t.CORRECTION)} OR regexp_matches(content, '(?i)(^|\\s)no,'))",
     ),
     "undo_messages": (
-        lambda s, d: g.undos(dialogue(s, d)).select("session_id", "idx"),
-        f"WITH {DIALOGUE}, c AS (SELECT session_id, idx, role, regexp_replace(content, '(?i)git\\s+push', '', 'g') AS content FROM m) SELECT session_id, idx FROM c WHERE role IN ('user', 'human') AND {t.any_of_sql('content', t.UNDO)}",
+        lambda s, d: g.undos(talk(s, d)).select("session_id", "idx"),
+        f"WITH {TALK}, c AS (SELECT session_id, idx, role, regexp_replace(content, '(?i)git\\s+push', '', 'g') AS content FROM m) SELECT session_id, idx FROM c WHERE role IN ('user', 'human') AND {t.any_of_sql('content', t.UNDO)}",
     ),
     "admission_messages": (
-        lambda s, d: g.admissions(dialogue(s, d)).select("session_id", "idx", "snippet"),
-        f"WITH {DIALOGUE} SELECT session_id, idx, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS snippet FROM m WHERE role = 'assistant' AND {t.any_of_sql('content', t.ADMISSION)}",
+        lambda s, d: g.admissions(talk(s, d)).select("session_id", "idx", "snippet"),
+        f"WITH {TALK} SELECT session_id, idx, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS snippet FROM m WHERE role = 'assistant' AND {t.any_of_sql('content', t.ADMISSION)}",
     ),
     "agent_state_multilabel": (
-        lambda s, d: g.labels(_corpus(s, d), "content").groupBy("source", "label").agg(F.count("*").alias("n")),
-        "WITH l AS (" + " UNION ALL ".join(f"SELECT source, '{n}' AS label FROM documents WHERE {t.any_of_sql('text', p)}" for n, p in NAMED) + ") SELECT source, label, count(*) AS n FROM l GROUP BY 1, 2",
+        lambda s, d: g.labels(talk(s, d), "content").groupBy("role", "label").agg(F.count("*").alias("n")),
+        f"WITH {TALK}, l AS (" + " UNION ALL ".join(f"SELECT role, '{n}' AS label FROM m WHERE {t.any_of_sql('content', p)}" for n, p in t.STATES) + ") SELECT role, label, count(*) AS n FROM l GROUP BY 1, 2",
     ),
     "sentiment_scores": (
         lambda s, d: g.sentiments(_corpus(s, d)).select("doc_id", "score"),
-        f"WITH c AS (SELECT doc_id, {t.hits_sql('text', t.POSITIVE)} AS p, {t.hits_sql('text', t.NEGATIVE)} AS n FROM documents) SELECT doc_id, round((p - n)::DOUBLE / greatest(p + n, 1), 6) AS score FROM c",
+        f"WITH c AS (SELECT doc_id, {t.hits_sql('text', t.POSITIVE)} AS p, {t.negatives_sql('text')} AS n FROM documents) SELECT doc_id, round((p - n)::DOUBLE / greatest(p + n, 1), 6) AS score FROM c",
     ),
     "frustration_streak": (
-        lambda s, d: g.frustration(dialogue(s, d)).select("session_id", "idx", "streak", "escalated"),
-        f"WITH {DIALOGUE}, c AS (SELECT *, {PN} FROM m WHERE role = 'user'), x AS (SELECT *, (p - n)::DOUBLE / greatest(p + n, 1) AS sc FROM c) SELECT session_id, idx, coalesce(sc < 0 AND lag(sc, 1) OVER {WI}) < 0 AND lag(sc, 2) OVER {WI}) < 0, false) AS streak, {t.any_of_sql('content', t.ESCALATION)} AS escalated FROM x",
+        lambda s, d: g.frustration(talk(s, d)).select("session_id", "idx", "streak", "escalated"),
+        f"WITH {TALK}, c AS (SELECT *, {PN} FROM m WHERE role = 'user'), x AS (SELECT *, (p - n)::DOUBLE / greatest(p + n, 1) AS sc FROM c) SELECT session_id, idx, coalesce(sc < 0 AND lag(sc, 1) OVER {WI}) < 0 AND lag(sc, 2) OVER {WI}) < 0, false) AS streak, {t.escalated_sql('content')} AS escalated FROM x",
     ),
     "positive_signals": (
-        lambda s, d: g.positives(dialogue(s, d)).select("session_id", "idx", "kind"),
-        f"""WITH {DIALOGUE}, c AS (SELECT *, {PN}, coalesce(max(role = 'assistant') OVER {WI} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS prior FROM m)
+        lambda s, d: g.positives(talk(s, d)).select("session_id", "idx", "kind"),
+        f"""WITH {TALK}, c AS (SELECT *, {PN}, coalesce(max(role = 'assistant') OVER {WI} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS prior FROM m)
         SELECT session_id, idx, CASE WHEN {t.any_of_sql('content', t.CONFIRMATION)} THEN 'confirmation' WHEN {t.any_of_sql('content', t.GRATITUDE)} THEN 'gratitude'
         WHEN prior AND len(regexp_extract_all(content, '\\S+')) < 20 AND p > 0 AND n = 0 THEN 'implicit_approval' END AS kind FROM c WHERE role = 'user'""",
     ),
