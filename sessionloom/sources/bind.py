@@ -97,3 +97,21 @@ def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRACE = "t AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _trace(True).items()) + " FROM events)"
 TALK = f"m AS (SELECT conv_id AS session_id, turn AS idx, role, {_talk(True)} AS content FROM conversations)"
+
+LINES = (
+    "# Rules for tools", "", "- NEVER use `SELECT *` in a query", "```", "you must always keep this out", "```", "* Always give **absolute paths** to tools", "1. You must not use git push --force here",
+    "Some prose without an order", "<!-- must be kept -->", "- Do not edit generated files", "  - ALWAYS read the schema before a join", "- You must add type hints", "plain text about port numbers", "Must open port 5432 only from app.py",
+    "- never assert in tests without a message",
+)
+
+
+def _rule_text(sql: bool) -> str:
+    return "concat_ws(chr(10), " + ", ".join(_pick(LINES, f"(s_suppkey * {3 + i} + {i}) % {len(LINES)} + 1", sql) for i in range(8)) + ")"
+
+
+def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier as rule files: path, text."""
+    return table(spark, sf_dir, "supplier").selectExpr(f"concat('rules/', CAST(s_suppkey AS STRING), '.md') AS path", f"{_rule_text(False)} AS text")
+
+
+RULE_FILES = f"f AS (SELECT 'rules/' || s_suppkey || '.md' AS path, {_rule_text(True)} AS text FROM supplier)"
