@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sessionloom.plans import curation, datasets, flows, live, ranking, review, signals, stores, timeseries
+from sessionloom.plans import curation, datasets, distill, flows, live, lookup, mining, progress, ranking, review, rules, signals, stores, timeseries
 
-MODULES = (flows, signals, timeseries, ranking, datasets, curation, review, stores, live)
+MODULES = (flows, signals, timeseries, ranking, datasets, curation, review, stores, live, mining, distill, rules, lookup, progress)
 
 
 def queries() -> dict:
