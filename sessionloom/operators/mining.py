@@ -146,3 +146,32 @@ def facets(trace: DataFrame, mastery: DataFrame, area: DataFrame, mood: DataFram
     keys = trace.groupBy("session_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("key"))
     fresh = keys.join(cache, ["session_id", "key"], "left_anti")
     return fresh.join(mastery, "session_id", "left").join(area, "session_id", "left").join(mood, "session_id", "left")
+
+
+def passive_signals(calls: DataFrame, seconds: int = 30, back: int = 4) -> DataFrame:
+    """What the call that came next says of each: its message corrects, it does the same at once, or it tries another tool for the message of one of ``back`` calls.
+
+    calls(id, session_id, ts, tool_name, message).
+    """
+    w = by_time()
+    m = F.lower(F.trim(F.coalesce("message", F.lit(""))))
+    corrects = F.lit(False)
+    for p in t.PREFIXES:
+        corrects = corrects | F.startswith(m, F.lit(p))
+    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts"))
+    again = F.coalesce((F.lag("tool_name").over(w) == F.col("tool_name")) & (gap <= seconds * 1_000_000), F.lit(False))
+    other = F.lit(False)
+    for i in range(1, back + 1):
+        other = other | F.coalesce((F.lag("message", i).over(w) == F.col("message")) & (F.lag("tool_name", i).over(w) != F.col("tool_name")), F.lit(False))
+    d = calls.withColumn("_signal", F.when(corrects, "correction").when(again, "undo").when(other, "re_invocation"))
+    return d.withColumn("passive_signal", F.lead("_signal").over(w)).drop("_signal")
+
+
+def snapshots_of_sessions(trace: DataFrame, stored: DataFrame) -> DataFrame:
+    """Calls, errors and positive messages so far of each session that stored(session_id) does not hold yet."""
+    user = (F.col("role") == "user") & F.col("tool_name").isNull()
+    d = trace.groupBy("session_id").agg(
+        F.count_if(F.col("tool_name").isNotNull()).alias("tool_call_count"), F.count_if((F.coalesce("error", F.lit("")) != "") & ~guard_noise(F.col("error"))).alias("error_count"),
+        F.count_if(user & praised(F.col("content"))).alias("positive_signal_count"),
+    )
+    return d.join(stored.select("session_id"), "session_id", "left_anti")

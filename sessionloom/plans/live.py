@@ -12,6 +12,11 @@ QUERIES = {
         lambda s, d: live.finished(live.digest(live.live_filter(live.event_stream(s, d), ["view", "error"], "2024-01-05 00:00:00", "2024-01-20 00:00:00")), "complete", ["tool"]),
         f"WITH {STREAM} SELECT tool, count(*) AS n, count(*) FILTER (WHERE is_error) AS errors, max(ts) AS cursor FROM s WHERE tool IN ('view', 'error') AND ts > TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' GROUP BY 1",
     ),
+    "stream_finalised_sessions": (
+        lambda s, d: live.finished(live.finalised(live.event_stream(s, d)), "append", ["session_id", "start"]),
+        f"""WITH {STREAM}, i AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY session_id ORDER BY ts, id) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS f FROM s), j AS (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY ts, id) AS g FROM i)
+        SELECT session_id, min(ts) AS start, count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors FROM j GROUP BY session_id, g HAVING max(ts) + INTERVAL 12 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM s)) - INTERVAL 1 HOUR""",
+    ),
     "stream_session_state": (
         lambda s, d: live.finished(live.session_state(live.event_stream(s, d)), "update", ["session_id"]),
         f"""WITH {STREAM}, i AS (SELECT *, sum(CAST(NOT is_error AS INTEGER)) OVER (PARTITION BY session_id ORDER BY ts, id) AS g FROM s), r AS (SELECT session_id, g, count(*) FILTER (WHERE is_error) AS c FROM i GROUP BY 1, 2),

@@ -34,6 +34,11 @@ def _stream(s, d):
     return trace(s, d).where("tool_name is not null").select("session_id", F.col("tool_name").alias("tool"), (F.coalesce("error", F.lit("")) != "").alias("is_error"))
 
 
+def _said(s, d):
+    before = F.expr(f"last_value(CASE WHEN role = 'user' THEN content END) IGNORE NULLS OVER {W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    return trace(s, d).withColumn("message", before).where("tool_name is not null")
+
+
 def _facets(s, d):
     tr = trace(s, d)
     area = o.error_area(o.error_records(tr), "command_category").select(F.col("session_id").cast("long").alias("session_id"), "area")
@@ -72,6 +77,17 @@ QUERIES = {
         x AS (SELECT r.session_id, max(CASE WHEN n = last THEN content END) AS signal_text, bool_or(n = last AND good) AS g, max(CASE WHEN n < last AND coalesce(error, '') <> '' THEN n END) AS e, max(CASE WHEN n < last AND good THEN n END) AS p FROM r JOIN l ON l.session_id = r.session_id GROUP BY 1)
         SELECT session_id, signal_text FROM x WHERE g AND (e IS NULL OR p > e)""",
     ),
+    "passive_signals": (
+        lambda s, d: o.passive_signals(_said(s, d), 3 * 3600).select("id", "passive_signal"),
+        f"""WITH {TRACE}, a AS (SELECT *, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER {W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS message FROM t), c AS (SELECT * FROM a WHERE tool_name IS NOT NULL),
+        g AS (SELECT id, session_id, ts, CASE WHEN {' OR '.join(f"starts_with(lower(trim(coalesce(message, ''))), '{p}')" for p in t.PREFIXES)} THEN 'correction' WHEN lag(tool_name) OVER w = tool_name AND date_diff('microsecond', lag(ts) OVER w, ts) <= 10800000000 THEN 'undo'
+         WHEN {' OR '.join(f"coalesce(lag(message, {i}) OVER w = message AND lag(tool_name, {i}) OVER w <> tool_name, false)" for i in range(1, 5))} THEN 're_invocation' END AS sg FROM c WINDOW w AS (PARTITION BY session_id ORDER BY ts, id))
+        SELECT id, lead(sg) OVER {W}) AS passive_signal FROM g""",
+    ),
+    "session_snapshots": (
+        lambda s, d: o.snapshots_of_sessions(trace(s, d), trace(s, d).where("session_id % 3 = 0").select("session_id").distinct()),
+        f"WITH {TRACE} SELECT session_id, count(tool_name) AS tool_call_count, count(*) FILTER (WHERE coalesce(error, '') <> '' AND NOT {NOISE}) AS error_count, count(*) FILTER (WHERE role = 'user' AND {GOOD}) AS positive_signal_count FROM t WHERE session_id % 3 > 0 GROUP BY 1",
+    ),
     "facet_error_area": (
         lambda s, d: o.error_area(o.error_records(trace(s, d)), "command_category"),
         f"WITH {ERRORS}, a AS (SELECT session_id, command_category AS area, count(*) AS n, min({{'t': ts, 'i': id}}) AS f FROM e GROUP BY 1, 2) SELECT session_id, area, n FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, f) AS r FROM a) WHERE r = 1",

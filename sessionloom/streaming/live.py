@@ -6,6 +6,7 @@ their files.  Watermarks and event-time windows are additions of this build.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir; a temporary folder only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -54,22 +57,37 @@ def windowed(stream: DataFrame, late: str = "1 hour", width: str = "1 day") -> D
 
 
 STATE = "events long, errors long, streak long, longest long"
+#: How long the state of a session that says nothing more is kept.
+STATE_TTL_MS = 7 * 24 * 3600 * 1000
 
 
 def session_state(stream: DataFrame) -> DataFrame:
-    """Running counts of each session and its longest row of errors, kept as keyed state."""
+    """Running counts of each session and its longest row of errors, kept as keyed state; rows are in order within a micro-batch.
+
+    The state of a session is dropped once nothing has come for STATE_TTL_MS.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         events, errors, streak, longest = state.get if state.exists else (0, 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        for bad in rows["is_error"]:
-            events, errors = events + 1, errors + int(bad)
-            streak = streak + 1 if bad else 0
-            longest = max(longest, streak)
+        bad = pd.concat(list(batches)).sort_values(["ts", "id"])["is_error"].astype(int)
+        since = (bad == 0).cumsum()
+        row = (bad.groupby(since).cumsum() + (since == 0) * streak) * bad  # errors in a row, going on from those that stand
+        events, errors, streak, longest = events + len(bad), errors + int(bad.sum()), int(row.iloc[-1]), max(longest, int(row.max()))
         state.update((events, errors, streak, longest))
+        state.setTimeoutDuration(STATE_TTL_MS)
         yield pd.DataFrame({"session_id": [key[0]], "events": [events], "errors": [errors], "longest": [longest]})
 
-    return stream.groupBy("session_id").applyInPandasWithState(update, "session_id long, events long, errors long, longest long", STATE, "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("session_id").applyInPandasWithState(update, "session_id long, events long, errors long, longest long", STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def finalised(stream: DataFrame, late: str = "1 hour", gap: str = "12 hours") -> DataFrame:
+    """One row for each session that has ended: no call for ``gap``, closed by a watermark; given out once."""
+    d = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    d = d.groupBy("session_id", F.session_window("at", gap)).agg(F.count("*").alias("calls"), F.count_if("is_error").alias("errors"))
+    return d.select("session_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "calls", "errors")
 
 
 def finished(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
