@@ -61,10 +61,10 @@ STATE = "events long, errors long, streak long, longest long"
 STATE_TTL_MS = 7 * 24 * 3600 * 1000
 
 
-def session_state(stream: DataFrame) -> DataFrame:
+def session_state(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Running counts of each session and its longest row of errors, kept as keyed state; rows are in order within a micro-batch.
 
-    The state of a session is dropped once nothing has come for STATE_TTL_MS.
+    The state of a session is dropped once the watermark is STATE_TTL_MS past its last row.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,15 +72,17 @@ def session_state(stream: DataFrame) -> DataFrame:
             state.remove()
             return
         events, errors, streak, longest = state.get if state.exists else (0, 0, 0, 0)
-        bad = pd.concat(list(batches)).sort_values(["ts", "id"])["is_error"].astype(int)
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        bad = rows["is_error"].astype(int)
         since = (bad == 0).cumsum()
         row = (bad.groupby(since).cumsum() + (since == 0) * streak) * bad  # errors in a row, going on from those that stand
         events, errors, streak, longest = events + len(bad), errors + int(bad.sum()), int(row.iloc[-1]), max(longest, int(row.max()))
         state.update((events, errors, streak, longest))
-        state.setTimeoutDuration(STATE_TTL_MS)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["at"].max().timestamp() * 1000)) + STATE_TTL_MS)
         yield pd.DataFrame({"session_id": [key[0]], "events": [events], "errors": [errors], "longest": [longest]})
 
-    return stream.groupBy("session_id").applyInPandasWithState(update, "session_id long, events long, errors long, longest long", STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    return timed.groupBy("session_id").applyInPandasWithState(update, "session_id long, events long, errors long, longest long", STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def finalised(stream: DataFrame, late: str = "1 hour", gap: str = "12 hours") -> DataFrame:
