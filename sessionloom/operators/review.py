@@ -33,7 +33,9 @@ def linked_change(kinds: DataFrame, changes: DataFrame) -> DataFrame:
     changes(id, applied_at, rolled_back, text).
     """
     live = changes.where("not rolled_back").select("id", "applied_at", F.lower("text").alias("_t"))
-    hit = live.join(F.broadcast(kinds), F.contains(F.col("_t"), F.lower("kind")))
+    every = kinds.agg(F.collect_set("kind").alias("_kinds"))  # one row
+    named = F.filter("_kinds", lambda k: F.contains(F.col("_t"), F.lower(k)))
+    hit = live.crossJoin(F.broadcast(every)).select("id", "applied_at", F.explode(named).alias("kind"))
     return hit.groupBy("kind").agg(F.max_by("id", F.struct("applied_at", "id")).alias("change_id"), F.count("*").alias("changes"))
 
 

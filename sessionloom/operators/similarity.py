@@ -17,9 +17,11 @@ from sessionloom.functions import text as t
 def signature_groups(errors: DataFrame, least: int = 2) -> DataFrame:
     """Errors of equal signature: how many, of how many sessions, the top types, first and last id."""
     d = errors.withColumn("signature", t.short_hash(t.normalised(F.col("text"))))
-    kinds = d.groupBy("signature", "lang").agg(F.count("*").alias("n"))
+    # Both results below come from this one aggregation, whose exchange Spark uses again.
+    d = d.groupBy("signature", "lang", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    kinds = d.groupBy("signature", "lang").agg(F.sum("n").alias("n"))
     top = kinds.groupBy("signature").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "lang"))), lambda x: x["lang"]), 1, 3), ",").alias("top"))
-    out = d.groupBy("signature").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    out = d.groupBy("signature").agg(F.sum("n").alias("n"), F.count_distinct("source").alias("sources"), F.min("lo").alias("first_id"), F.max("hi").alias("last_id"))
     return out.where(F.col("n") >= least).join(top, "signature")
 
 

@@ -34,8 +34,13 @@ def adaptation_speed(stream: DataFrame, change: str, tool: str = "error") -> Dat
     hit = (F.col("tool") == tool).cast("long")
     before = stream.where(F.col("ts") < at).agg(F.avg(hit.cast("double")).alias("pre"))
     s = stream.groupBy("session_id").agg(F.min(F.when(F.col("ts") >= at, F.col("ts"))).alias("first"), F.sum(hit).alias("e"), F.count("*").alias("n")).where("first is not null")
-    w = Window.orderBy("first", "session_id")  # one row per session
-    s = s.select(F.row_number().over(w).alias("rank"), (F.sum("e").over(w) / F.sum("n").over(w)).alias("rate"))
+    # Prefix sums hour by hour, then within the hour: only one row an hour is in one window.
+    s = s.withColumn("hour", F.date_trunc("hour", "first"))
+    hours = s.groupBy("hour").agg(F.count("*").alias("c"), F.sum("e").alias("he"), F.sum("n").alias("hn"))
+    past = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    base = hours.select("hour", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c) for c in ("c", "he", "hn")])
+    w = Window.partitionBy("hour").orderBy("first", "session_id")
+    s = s.join(base, "hour").select((F.col("c") + F.row_number().over(w)).alias("rank"), ((F.col("he") + F.sum("e").over(w)) / (F.col("hn") + F.sum("n").over(w))).alias("rate"))
     s = s.crossJoin(F.broadcast(before))  # one row
     return s.agg(F.coalesce(F.min(F.when(F.col("rate") <= F.col("pre") / 2, F.col("rank"))), F.max("rank")).cast("long").alias("sessions"), F.round(F.max("pre"), 6).alias("pre_share"))
 
@@ -99,11 +104,26 @@ def emerged_and_died(flow_rows: DataFrame, at: str) -> DataFrame:
     return d.where("was <> is").select("sequence", F.when(F.col("is"), "emerged").otherwise("died").alias("change"))
 
 
+def exact_median(values: DataFrame, value: str, name: str, accuracy: int = 1_000_000) -> DataFrame:
+    """One row (name, rows): the exact median and the number of values.
+
+    Two approximate percentiles close about the half bound where it lies; only the values between them are put in order.
+    """
+    near = F.percentile_approx(value, F.array(F.lit(0.5 - 10 / accuracy), F.lit(0.5 + 10 / accuracy)), accuracy)
+    ends = values.agg(near.alias("_near"), F.count(value).alias("rows"))
+    d = values.select(F.col(value).alias("_x")).crossJoin(F.broadcast(ends)).where("_x is not null")
+    counts = d.where(F.col("_x") <= F.col("_near")[1]).groupBy(F.greatest("_x", F.col("_near")[0]).alias("_v"), (F.col("_x") < F.col("_near")[0]).alias("_low")).agg(F.count("*").alias("_n"), F.first("rows").alias("rows"))
+    upto = F.sum("_n").over(Window.orderBy(F.col("_low").desc(), "_v"))
+    ranked = counts.withColumn("_upto", upto).where("not _low")
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    return ranked.agg(((at(F.floor((F.col("rows") - 1) / 2)) + at(F.floor(F.col("rows") / 2))) / 2).alias(name), F.first("rows").alias("rows"))
+
+
 def mad_anomalies(values: DataFrame, key: str, value: str, limit: float = 3.0) -> DataFrame:
     """|x - median| / MAD over the limit, unscaled; with MAD zero any other value; nothing under three rows."""
-    m = values.agg(F.median(value).alias("median"), F.count("*").alias("rows"))
+    m = exact_median(values, value, "median")  # one row, like the next
     d = values.crossJoin(F.broadcast(m)).withColumn("off", F.abs(F.col(value) - F.col("median")))
-    mad = d.agg(F.median("off").alias("mad"))
+    mad = exact_median(d.select("off"), "off", "mad").select("mad")
     d = d.crossJoin(F.broadcast(mad))
     odd = F.when(F.col("mad") == 0, F.col("off") > 0).otherwise(F.col("off") / F.col("mad") > limit)
     return d.where(odd & (F.col("rows") >= 3)).select(key, F.round(value, 6).alias(value), F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
