@@ -382,20 +382,26 @@ def repeated_starts(texts: DataFrame, ids: DataFrame, lengths: tuple[int, ...] =
     copies are found to repeat like any other; only one copy is read for its bytes.
     """
     tune(texts.sparkSession)
+    old: list[str] = []
+    rows = stored(anchor_rows(texts.select("doc", "text"), lengths, gram), "anchors", old)
+    same = rows.where("gram is not null").groupBy("gram", "context").agg(F.sum("n").alias("total"))
+    by_gram = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("total") == 1, 1).otherwise(0)).alias("open"))
+    met = stored(same.join(by_gram, "gram").where("total > 1 or kinds > 1 and open > 0"), "met", old)
+    # From here on only what repeats, or may: contexts that occur twice, and those that share their anchor's string.
+    hits = rows.join(met, ["gram", "context"]).select(*rows.columns, "total", "kinds", "open")
+    inside = rows.where("gram is null").select("*", *[F.lit(None).cast("long").alias(n) for n in ("total", "kinds", "open")])
     over: list[str] = []
-    rows = stored(anchor_rows(texts.select("doc", "text"), lengths, gram), "anchors", over)
-    span = [F.col("first").alias("low"), F.col("last").alias("high")]
-    found, inside = rows.where("gram is not null"), rows.where("gram is null").select("doc", "length", *span)
-    same = found.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "length", "pos", "first", "last")).alias("one"))
-    by_gram = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open"))
-    todo = stored(same.join(by_gram.where("kinds > 1 and open > 0").select("gram", "kinds"), "gram").select("gram", "kinds", "one.*"), "todo", over)
-    contexts = stored(context_rows(todo, texts, ids), "contexts", over)
+    hits = stored(hits.unionByName(inside), "hits", over)
+    dropped(old)
+    places = F.struct("doc", "length", "pos", "first", "last")
+    todo = hits.where("kinds > 1 and open > 0").groupBy("gram", "context").agg(F.first("kinds").alias("kinds"), F.min(places).alias("one")).select("gram", "kinds", "one.*")
+    contexts = stored(context_rows(todo, texts, ids), "contexts", old)
     few = contexts.where(F.col("kinds") <= group).drop("kinds").repartition("gram").sortWithinPartitions("gram", "length")
     many = contexts.where(F.col("kinds") > group).drop("kinds")
     open_ = stored(sorted_groups(few, gram).union(counted_windows(many)), "open", over)
-    twice = same.where("n > 1").select("gram", "context")
-    settled = found.join(twice, ["gram", "context"], "left_semi").select("doc", "length", *span)
-    starts = stored(settled.union(inside).union(open_).distinct(), "starts")
+    dropped(old)
+    settled = hits.where("gram is null or total > 1").select("doc", "length", F.col("first").alias("low"), F.col("last").alias("high"))
+    starts = stored(settled.union(open_).distinct(), "starts")
     dropped(over)
     return starts
 
