@@ -32,7 +32,7 @@ from sessionloom.llm.components import components
 GOLAY = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Parts in which the fingerprints of one component get its name.
-SALTS = 32
+SALTS = 8
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
