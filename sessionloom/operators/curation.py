@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from sessionloom.operators.similarity import all_duplicate_pairs
+from sessionloom.operators.store import stored
+
 # Words and routes of the quality score.
 VERBS = ("run", "check", "verify", "add", "remove", "configure", "set", "use", "install", "create", "delete")
 ROUTES = {
@@ -257,21 +260,32 @@ def last_sessions(stream: DataFrame, key: str, n: int = 5) -> DataFrame:
 
 
 def diversity(items: DataFrame, group: str, least: float = 0.95) -> DataFrame:
-    """C20: items(id, group, score, vec): from the best score down, one that is near to a kept one goes.
+    """C20: items(id, group, score, vec): from the best score down, one that is near to a kept one of its group goes.
 
-    Order-dependent, so each group is an Arrow group of its own; groups are the items of one source row.
+    Near pairs are found block by block over all rows; then in rounds whoever has no undecided better neighbour is kept and its
+    neighbours go.  That is the order-dependent rule itself, whatever the size of a group.  Zero vectors are near to nothing.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        kept, rows = np.zeros((0, len(pdf["vec"].iloc[0])), np.float32), []
-        for k, v in enumerate(pdf["vec"]):
-            v = np.asarray(v, np.float32)
-            v = v / max(float(np.linalg.norm(v)), 1e-12)
-            if not len(kept) or (kept @ v).max() < least:
-                kept = np.vstack([kept, v])
-                rows.append(k)
-        return pdf.iloc[rows][["id", group, "score"]]
-
-    kind = dict(items.dtypes)
-    return items.select("id", group, "score", "vec").groupBy(group).applyInPandas(run, f"id long, {group} {kind[group]}, score double")
+    rank = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
+    own = F.xxhash64(F.col(group).isNull(), F.col(group)).alias("_g")
+    rows = items.select("id", group, "score", own, rank.alias("rank"), F.col("vec").cast("array<float>").alias("vec"))
+    zero = ~F.exists("vec", lambda x: x != 0)
+    # Of equal vectors of a group all but the best go.
+    best = rows.where(~zero).groupBy("_g", "vec").agg(F.min_by(F.struct("id", group, "score", "rank"), "rank").alias("b"))
+    best = stored(best.select("b.*", "_g", "vec"), "best")
+    near = stored(all_duplicate_pairs(best, least), "near")
+    others = near.where("equal").select(F.col("a").alias("rep"), F.col("b").alias("id"))
+    who = others.union(best.join(others, "id", "left_anti").select(F.col("id").alias("rep"), "id")).join(best.select("id", "_g", "rank"), "id")
+    one, two = (who.select(F.col("rep").alias(k), "_g", F.struct("rank", "id").alias(f"w{k}")) for k in ("a", "b"))
+    met = near.where("not equal").select("a", "b").join(one, "a").join(two, ["b", "_g"])
+    pairs = met.select(F.least("wa", "wb").getField("id").alias("hi"), F.greatest("wa", "wb").getField("id").alias("lo"))
+    edges = stored(pairs.where("hi <> lo"), "edges")
+    open_ = stored(edges.select(F.col("hi").alias("id")).union(edges.select(F.col("lo").alias("id"))).distinct(), "open")
+    gone = stored(open_.limit(0), "gone")
+    while not open_.isEmpty():
+        live = edges.join(open_.withColumnRenamed("id", "hi"), "hi", "left_semi").join(open_.withColumnRenamed("id", "lo"), "lo", "left_semi")
+        kept = stored(open_.join(live.select(F.col("lo").alias("id")).distinct(), "id", "left_anti"), "kept")
+        lost = stored(live.join(kept.withColumnRenamed("id", "hi"), "hi", "left_semi").select(F.col("lo").alias("id")).distinct(), "lost")
+        gone = stored(gone.union(lost), "gone")
+        open_ = stored(open_.join(kept.union(lost), "id", "left_anti"), "open")
+    names = ["id", group, "score"]
+    return best.join(gone, "id", "left_anti").select(*names).union(rows.where(zero).select(*names))

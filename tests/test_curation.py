@@ -3,6 +3,7 @@
 import difflib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import curation as o
@@ -70,6 +71,24 @@ def test_diversity_keeps_the_best(spark):
     assert sorted(r["id"] for r in o.diversity(d, "g").collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("least", [0.6, 0.9])
+def test_diversity_like_the_sequential_rule(spark, least):
+    """Equal vectors within and across groups, ties of scores, null groups and zero vectors."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 4)).astype(np.float32)
+    rows = [(i, (None, "g", "h")[i % 3], float(round(rng.random(), 1)), [float(x) for x in base[rng.integers(40)] * (i % 17 > 0)]) for i in range(300)]
+    want = []
+    for g in (None, "g", "h"):
+        kept = []
+        for i, _, score, v in sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0])):
+            v = np.array(v) / max(np.linalg.norm(v), 1e-12)
+            if not any(v @ k >= least for k in kept):
+                kept.append(v)
+                want.append((i, g, score))
+    got = o.diversity(spark.createDataFrame(rows, "id long, g string, score double, vec array<double>"), "g", least).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert o.rule_blocks(none).count() == o.snippets(none, "source", 3).count() == o.registry(none, "text", "doc_id").count() == 0
