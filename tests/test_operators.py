@@ -126,7 +126,7 @@ def test_handles_and_subagents(spark):
 
 def test_state_labels(spark):
     d = spark.createDataFrame([(1, "I was wrong, thank you, rollback"), (2, "plain"), (3, None)], "id long, text string")
-    assert sorted((r["id"], r["label"]) for r in signals.labels(d, "text").collect()) == [(1, "admission"), (1, "gratitude"), (1, "undo")]
+    assert sorted((r["id"], r["label"]) for r in signals.labels(d, "text").collect()) == [(1, "agent_admission")]
 
 
 def test_duplicate_pairs_cross_labels(spark, monkeypatch):
