@@ -94,7 +94,7 @@ def replay(stream: DataFrame, predicate: str, history: int = 5) -> DataFrame:
 
 
 def winning_path(stream: DataFrame) -> DataFrame:
-    """Calls that neither failed nor repeat the one before, numbered, with their phase."""
+    """Calls that neither failed nor repeat the one before, numbered, with their phase; operators/distill.py goes by outputs, undos and inputs."""
     kept = stream.where("not is_error")
     kept = kept.withColumn("_again", F.coalesce((F.lag("tool").over(by_time()) == F.col("tool")) & (F.lag("k").over(by_time()) == F.col("k")), F.lit(False))).where("not _again").drop("_again")
     n = F.row_number().over(by_time())

@@ -96,7 +96,7 @@ def reinvoked(stream: DataFrame, same: str = "k", other: str = "tool", back: int
 
 
 def approvals(stream: DataFrame, response: str, rejected: str = "k % 3 = 0") -> DataFrame:
-    """Each call with the next response row of its session; none means approved; rates by tool."""
+    """Each call with the next response row of its session, rejected by an expression; none means approved; rates by tool.  mining.approvals_by_response reads the response."""
     after = by_time().rowsBetween(1, Window.unboundedFollowing)
     d = stream.withColumn("_no", F.first(F.when(F.col("tool") == response, F.expr(rejected)), True).over(after)).where(F.col("tool") != response)
     d = d.groupBy("tool").agg(F.count_if(~F.coalesce("_no", F.lit(False))).alias("approved"), F.count_if("_no").alias("rejected"))

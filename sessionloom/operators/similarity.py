@@ -32,14 +32,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
-def cosine_topk(vectors: DataFrame, query: DataFrame, k: int, least: float) -> DataFrame:
-    """Q15: the k nearest to each query vector, then those over the threshold.  Queries are a stated, small set."""
-    d = vectors.crossJoin(query.select(F.col("id").alias("query_id"), F.col("vec").alias("_q"))).where("id <> query_id")
-    d = d.withColumn("score", cosine(F.col("vec"), F.col("_q")))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return d.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") >= least)).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
-
-
 def duplicate_pairs(items: DataFrame, block: str, least: float) -> DataFrame:
     """Pairs of one block at ``least`` similarity or more; the block bounds what meets."""
     a, b = items.alias("a"), items.alias("b")
@@ -125,6 +117,57 @@ def all_duplicate_pairs(items: DataFrame, least: float) -> DataFrame:
     return near.unionByName(same)
 
 
+def _sound(items: DataFrame) -> DataFrame:
+    """items(id, vec) without null vectors and those that hold nulls or NaN."""
+    rows = items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
+    return rows.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)))
+
+
+def _packed(rows: DataFrame, blocks: int, side: str) -> DataFrame:
+    """rows(id, vec) as arrays, one row for each block and number of dimensions."""
+    d = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.size("vec").alias("dim"), "id", F.lit(1).cast("long").alias("copies"), "vec")
+    d = d.repartition("block").sortWithinPartitions("block", "dim").mapInArrow(_blocks, "block long, dim int, ids binary, copies binary, vecs binary")
+    return d.select("block", "dim", F.col("ids").alias(f"ids_{side}"), F.col("vecs").alias(f"vecs_{side}"))
+
+
+def _block_topk(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                (iq, vq), (iv, vv) = ((np.frombuffer(r[f"ids_{s}"], np.int64), np.frombuffer(r[f"vecs_{s}"], np.float32).reshape(-1, r["dim"]).astype(np.float64)) for s in "qv")
+                nq, nv = (np.sqrt(sum((v[:, d] * v[:, d] for d in range(r["dim"])), np.zeros(len(v)))) for v in (vq, vv))
+                nq, nv = np.where(nq > 0, nq, np.inf), np.where(nv > 0, nv, np.inf)  # zero vectors are at similarity 0
+                unit = vv / nv[:, None]
+                for at in range(0, len(iq), ROWS):
+                    near = (vq[at : at + ROWS] / nq[at : at + ROWS, None]) @ unit.T
+                    near[iq[at : at + ROWS, None] == iv] = -np.inf
+                    least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -2.0)
+                    x, y = np.nonzero(near >= np.maximum(least - 1e-9, -2.0)[:, None])
+                    score = sum((vq[at + x, d] * vv[y, d] for d in range(r["dim"])), np.zeros(len(x))) / (nq[at + x] * nv[y])
+                    order = np.lexsort((iv[y], -score, x))
+                    x, y, score = x[order], y[order], score[order]
+                    place = np.arange(len(x)) - np.searchsorted(x, x)
+                    best = place < k
+                    yield pa.RecordBatch.from_arrays([pa.array(iq[at + x[best]]), pa.array(iv[y[best]]), pa.array(score[best])], ["query_id", "id", "score"])
+
+    return run
+
+
+def cosine_topk(vectors: DataFrame, query: DataFrame, k: int, least: float) -> DataFrame:
+    """Q15: the k nearest to each query vector, then those over the threshold.
+
+    The stated set of queries meets all vectors in blocks, as arrays; each block gives its k best of each query, and only these are ranked.
+    Null vectors and those that hold nulls or NaN are left out; vectors of different lengths are not compared.
+    """
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    v, q = _sound(vectors), _sound(query)
+    blocks, asked = (max(1, -(-x.count() // BLOCK)) for x in (v, q))
+    every = _packed(q, asked, "q").drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = every.join(_packed(v, blocks, "v"), ["dim", "block"]).mapInArrow(_block_topk(k), "query_id long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return met.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("score") >= least)).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+
+
 def jaccard_pairs(items: DataFrame, least: float) -> DataFrame:
     """Pairs of different token sets at ``least`` or more, through the rarest-first prefix of each set.
 

@@ -153,3 +153,25 @@ def test_duplicate_pairs_cross_labels(spark, monkeypatch):
                 of[r["a"]].add(r["b"])
         pairs = {(min(x, y), max(x, y)) for r in got if not r["equal"] for x in of[r["a"]] for y in of[r["b"]]}
         assert pairs | {(x, y) for s in of.values() for x in s for y in s if x < y} == want
+
+
+def test_cosine_topk_in_blocks_of_any_size(spark, monkeypatch):
+    """Ties, zero, null and unequal vectors; the same result however the vectors are dealt."""
+    rng = np.random.default_rng(9)
+    v = np.round(rng.normal(size=(50, 6)), 1).astype(np.float32)
+    rows = [(i, [float(x) for x in v[i % 40]] if i % 13 else [0.0] * 6) for i in range(90)] + [(200, None), (201, [1.0]), (202, [float("nan")] * 6)]
+    d = spark.createDataFrame(rows, "id long, vec array<float>")
+    want = []
+    for q in range(0, 90, 10):
+        a = np.array(rows[q][1])
+        scored = []
+        for i, x in rows[:90]:
+            if i != q:
+                n = np.linalg.norm(a) * np.linalg.norm(x)
+                scored.append((-round(float(a @ np.array(x) / n), 9) if n else 0.0, i))
+        want += [(q, i, k) for k, (s, i) in enumerate(sorted(scored)[:5], 1) if -s >= 0.2]
+    for block, part in ((8192, 512), (7, 3)):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        monkeypatch.setattr(similarity, "ROWS", part)
+        got = similarity.cosine_topk(d, d.where("id % 10 = 0 and id < 90"), 5, 0.2).collect()
+        assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == sorted(want)
