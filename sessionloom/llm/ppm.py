@@ -24,6 +24,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -355,12 +356,11 @@ def train(texts: DataFrame, most_words: int = 1 << 18) -> dict:
     }
 
 
-#: What a Python worker has last made of a broadcast, by its name.
+#: What a Python worker has last made of a broadcast, by a name of the run.
 _PREPARED: dict[str, object] = {}
 
 
-def _prepared(sent, make):
-    name = f"{sent._path}"
+def _prepared(name: str, sent, make):
     if name not in _PREPARED:
         _PREPARED.clear()
         _PREPARED[name] = make(*sent.value)
@@ -424,10 +424,10 @@ def packs(docs: DataFrame, slices: int) -> DataFrame:
 
 def answers(asked: DataFrame, model: dict, slices: int) -> DataFrame:
     """asked(batch, slice, grams) -> + costs: the strings of each batch and slice with their code lengths."""
-    sent = asked.sparkSession.sparkContext.broadcast(model["pairs"])
+    sent, name = asked.sparkSession.sparkContext.broadcast(model["pairs"]), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short = _prepared(sent, short_levels)
+        short = _prepared(name, sent, short_levels)
         own, known, n, held = None, [], [], []
 
         def answered() -> Iterator[pa.RecordBatch]:
@@ -477,7 +477,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     tune(spark)
     total, types = model["total"], model["types"]
     room = total + 0.5 * (types + 1)
-    sent = spark.sparkContext.broadcast(model["frequent"])
+    sent, name = spark.sparkContext.broadcast(model["frequent"]), uuid.uuid4().hex
     every_word = model["least"] <= 1
     slices = max(1, -(-model["n_grams"] // SLICE))
 
@@ -485,7 +485,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         return dict(zip(keys, np.log10((n + 0.5) / room).tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _prepared(sent, frequent).get
+        get = _prepared(name, sent, frequent).get
         unseen = float(np.log10(0.5 / room))
         own, strings, costs, table_ = None, [], [], None
         for b in batches:
