@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,10 +75,11 @@ def stored(df: DataFrame, what: str = "table", over: list[str] | None = None, **
 
 
 def dropped(over: list[str]) -> None:
-    """Delete stored tables that nothing reads any more."""
+    """Delete stored tables that nothing reads any more; in a store that only Spark can reach they stay."""
     for path in over:
-        fs, folder = pyarrow.fs.FileSystem.from_uri(path)
-        fs.delete_dir(folder)
+        with suppress(OSError, ValueError):
+            fs, folder = pyarrow.fs.FileSystem.from_uri(path)
+            fs.delete_dir(folder)
     over.clear()
 
 
