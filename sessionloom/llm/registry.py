@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import bpe, media, mixing, ppm, quality_rules, simhash, suffix_dedup, toxicity, training_order, url_filter
+from sessionloom.llm import bpe, centroids, media, mixing, packing, ppm, quality_rules, simhash, spelling, suffix_dedup, toxicity, training_order, url_filter
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_simhash": simhash.query,
         "op9_byte_bpe": bpe.query,
         "op10_toxicity": toxicity.query,
+        "op11_centroids": centroids.query,
+        "op12_spelling": spelling.query,
+        "op13_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op5_source_mixing": mixing.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op5_source_mixing": mixing.ORACLE, "op11_centroids": centroids.ORACLE, "op12_spelling": spelling.ORACLE}
