@@ -71,6 +71,11 @@ HEADERS = (r"ZENO\s+RETRY-LOOP\s+RULE", r"HOOK-BYPASS\s+RULE", r"DBT/CUBE\s+SOUR
 # Idioms that pass by a check; words that begin a correction; words of a failed output, of an undo and of praise.
 BYPASSES = r"(\|\|\s*true|\|\|\s*exit\s+0|--no-verify|--force\b|--no-deps|skip-checks|ignore-scripts|\.skip\(|@pytest\.mark\.skip|\bxfail\b|--strict=false)"
 PREFIXES = ("no,", "actually,", "instead,", "wait,", "stop,")
+# What a prompt takes back, anywhere in it; how a prompt begins that corrects.
+UNDOING = ("undo", "revert", "rollback", "roll back", "go back", "restore", "put it back", "change it back")
+CORRECTING = (
+    "no,", "no ", "actually,", "actually ", "instead,", "instead ", "wait,", "wait ", "stop,", "stop ", "that's wrong", "that is wrong", "not what i", "don't do", "do not do", "undo ", "revert ",
+)
 FAILED = r"\b(Error|Exception|FAILED|Permission denied|not found|No such file)\b"
 TAKEN_BACK = r"\b(undo|revert|rollback|go back|restore|put it back|that.s wrong)\b"
 PRAISE = r"\b(thanks|perfect|awesome|great|nice|good|done|yes|ok|lgtm|ship it)\b"
@@ -111,6 +116,13 @@ def any_of_sql(text: str, phrases: tuple[str, ...]) -> str:
     return f"coalesce(regexp_matches({text}, '{pattern}'), false)"
 
 
+def starts_with_any(text: Column, starts: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in starts:
+        out = out | F.startswith(text, F.lit(p))
+    return out
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"([{LETTERS}]+)"), 1)
 

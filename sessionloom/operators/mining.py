@@ -154,10 +154,7 @@ def passive_signals(calls: DataFrame, seconds: int = 30, back: int = 4) -> DataF
     calls(id, session_id, ts, tool_name, message).
     """
     w = by_time()
-    m = F.lower(F.trim(F.coalesce("message", F.lit(""))))
-    corrects = F.lit(False)
-    for p in t.PREFIXES:
-        corrects = corrects | F.startswith(m, F.lit(p))
+    corrects = t.starts_with_any(F.lower(F.trim(F.coalesce("message", F.lit("")))), t.PREFIXES)
     gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts"))
     again = F.coalesce((F.lag("tool_name").over(w) == F.col("tool_name")) & (gap <= seconds * 1_000_000), F.lit(False))
     other = F.lit(False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -25,6 +25,15 @@ def corrections(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("role").isin("user", "human") & hit)
 
 
+def acting(text: Column) -> Column:
+    """L8: "undo" or "correction" where a prompt asks for one, else null; undoing words go first."""
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    undoing = F.lit(False)
+    for word in t.UNDOING:
+        undoing = undoing | F.contains(low, F.lit(word))
+    return F.when(undoing, "undo").when(t.starts_with_any(low, t.CORRECTING), "correction")
+
+
 def undos(messages: DataFrame) -> DataFrame:
     """User messages that take something back; "git push" is deleted before the test."""
     text = F.regexp_replace("content", r"(?i)git\s+push", "")

@@ -82,7 +82,7 @@ def _trace(sql: bool) -> dict[str, str]:
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a session trace: user messages, and tool calls with input, output and error."""
-    return table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in _trace(False).items()])
+    return table(spark, sf_dir, "events").selectExpr(*TRACE_COLUMNS)
 
 
 def _talk(sql: bool) -> str:
@@ -92,9 +92,11 @@ def _talk(sql: bool) -> str:
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as messages that hold phrases: session_id, idx, role, content."""
-    return table(spark, sf_dir, "conversations").selectExpr("conv_id AS session_id", "turn AS idx", "role", f"{_talk(False)} AS content")
+    return table(spark, sf_dir, "conversations").selectExpr(*TALK_COLUMNS)
 
 
+TRACE_COLUMNS = [f"{e} AS {n}" for n, e in _trace(False).items()]
+TALK_COLUMNS = ["conv_id AS session_id", "turn AS idx", "role", f"{_talk(False)} AS content"]
 TRACE = "t AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _trace(True).items()) + " FROM events)"
 TALK = f"m AS (SELECT conv_id AS session_id, turn AS idx, role, {_talk(True)} AS content FROM conversations)"
 

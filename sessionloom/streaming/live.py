@@ -1,20 +1,19 @@
-"""Live operators: file streams, digests and per-session state.
+"""Live operators: table streams, digests and windows.
 
-The file source sees new files, not bytes added to old ones; producers roll
-their files.  Watermarks and event-time windows are additions of this build.
+The sources of tables see new files; ``sources.tail`` sees bytes added to old
+ones.  Watermarks and event-time windows are additions of this build.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sessionloom.operators.store import shared_dir
+from sessionloom.sources.bind import TALK_COLUMNS, TRACE_COLUMNS
+from sessionloom.streaming.state import STORE
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -25,6 +24,22 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("tool"), "ts", F.col("value").alias("amount"), (F.col("event_type") == "error").alias("is_error"))
 
 
+def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
+
+
+def trace_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of session traces."""
+    return _table_stream(spark, sf_dir, "events").selectExpr(*TRACE_COLUMNS)
+
+
+def talk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations table as a stream of messages, a minute apart."""
+    d = _table_stream(spark, sf_dir, "conversations").selectExpr(*TALK_COLUMNS)
+    return d.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + 60 * F.col("idx")))
+
+
 def live_filter(stream: DataFrame, tools: list[str] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
     """L3: tools, ``since`` exclusive, ``until`` inclusive; the same for batches and streams."""
     if tools is not None:
@@ -45,35 +60,6 @@ def windowed(stream: DataFrame, late: str = "1 hour", width: str = "1 day") -> D
     return d.groupBy(F.window("at", width), "tool").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "tool", "n")
 
 
-STATE = "events long, errors long, streak long, longest long"
-#: How long the state of a session that says nothing more is kept.
-STATE_TTL_MS = 7 * 24 * 3600 * 1000
-
-
-def session_state(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Running counts of each session and its longest row of errors, kept as keyed state; rows are in order within a micro-batch.
-
-    The state of a session is dropped once the watermark is STATE_TTL_MS past its last row.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        events, errors, streak, longest = state.get if state.exists else (0, 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        bad = rows["is_error"].astype(int)
-        since = (bad == 0).cumsum()
-        row = (bad.groupby(since).cumsum() + (since == 0) * streak) * bad  # errors in a row, going on from those that stand
-        events, errors, streak, longest = events + len(bad), errors + int(bad.sum()), int(row.iloc[-1]), max(longest, int(row.max()))
-        state.update((events, errors, streak, longest))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["at"].max().timestamp() * 1000)) + STATE_TTL_MS)
-        yield pd.DataFrame({"session_id": [key[0]], "events": [events], "errors": [errors], "longest": [longest]})
-
-    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return timed.groupBy("session_id").applyInPandasWithState(update, "session_id long, events long, errors long, longest long", STATE, "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def finalised(stream: DataFrame, late: str = "1 hour", gap: str = "12 hours") -> DataFrame:
     """One row for each session that has ended: no call for ``gap``, closed by a watermark; given out once."""
     d = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
@@ -89,7 +75,12 @@ def finished(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     def write(df: DataFrame, epoch: int) -> None:
         df.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start()
+    store, before = STORE[0], spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
     q.awaitTermination()
     out = spark.read.parquet(f"{at}/out").drop("epoch")
     others = [c for c in out.columns if c not in (*keys, "_epoch")]
