@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,9 +130,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"([{LETTERS}]+)"), 1)
 
 
+def _by_first_letter(words: tuple[str, ...]) -> str:
+    """An alternation of words, tried by their first letter."""
+    letters = sorted({w[0] for w in words})
+    return "|".join(f"{x}(?:{'|'.join(w[1:] for w in words if w[0] == x)})" for x in letters)
+
+
+def listed_words(text: Column, words: tuple[str, ...]) -> Column:
+    """The words of the text that are in the list, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![{LETTERS}])(?:{_by_first_letter(words)})(?![{LETTERS}])"), 0)
+
+
 def hits(text: Column, words: tuple[str, ...]) -> Column:
     """Number of words of the text that are in the list."""
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![{LETTERS}])(?:{'|'.join(words)})(?![{LETTERS}])"))
+    return F.size(listed_words(text, words))
 
 
 def hits_sql(text: str, words: tuple[str, ...]) -> str:
@@ -139,13 +153,25 @@ def hits_sql(text: str, words: tuple[str, ...]) -> str:
 
 def sentiment(text: Column) -> Column:
     """(positive - negative) / max(positive + negative, 1)."""
-    p, n = hits(text, POSITIVE), negatives(text)
-    return (p - n) / F.greatest(p + n, F.lit(1))
+    count = lambda found: F.aggregate(found, F.struct(F.lit(0).alias("p"), F.lit(0).alias("n")), lambda s, w: F.struct((s["p"] + w.isin(*POSITIVE).cast("int")).alias("p"), (s["n"] + w.isin(*NEGATIVE).cast("int")).alias("n")))
+    score = lambda s, stops: (s["p"] - s["n"] - stops) / F.greatest(s["p"] + s["n"] + stops, F.lit(1))
+    return once(count(listed_words(text, POSITIVE + NEGATIVE)), lambda s: score(s, _stops(text)))
+
+
+def _stops(text: Column) -> Column:
+    """How often "stop" is a complaint."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.contains(F.lower(text), F.lit("stop")), F.regexp_count(text, F.lit(f"(?im){STOPS[0]}"))).otherwise(0)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def negatives(text: Column) -> Column:
     """Negative words, and "stop" as a complaint."""
-    return hits(text, NEGATIVE) + F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?im){STOPS[0]}"))
+    return hits(text, NEGATIVE) + _stops(text)
 
 
 def negatives_sql(text: str) -> str:
@@ -177,15 +203,53 @@ def normalised_sql(text: str) -> str:
 
 
 def scrubbed(text: Column, traces: bool = False) -> Column:
-    """Secrets as [REDACTED], what a filter objects to as [FILTERED]; with ``traces`` stack traces too.  Only texts that hold any are rewritten."""
+    """Secrets as [REDACTED], what a filter objects to as [FILTERED]; with ``traces`` stack traces too.
+
+    The patterns are tried in order, each on what the one before has left, and only where the text holds what the pattern can't do without.
+    """
     for patterns, by in _scrubs(traces):
-        out = text
-        for pattern in patterns:
-            out = F.regexp_replace(out, pattern, by)
-        text = F.when(text.rlike("|".join(f"(?:{p})" for p in patterns)), out).otherwise(text)
+        for needed, some in groupby(patterns, _needed):
+            text = once(text, _replaced(needed, tuple(some), by))
     return text
 
 
+def _replaced(needed: tuple[str, ...], patterns: tuple[str, ...], by: str) -> Callable[[Column], Column]:
+    def use(x: Column) -> Column:
+        out = x
+        for p in patterns:
+            out = F.regexp_replace(out, p, by)
+        return F.when(_holds(x, needed), out).otherwise(x)
+
+    return use
+
+
+#: What a text must hold for a pattern to be found in it, by how the pattern begins.
+_NEEDS = (
+    ("sk-", "sk-"), ("AKIA", "AKIA"), ("Bearer", "Bearer "), ("ghp_", "ghp_"), ("gho_", "gho_"), ("-----BEGIN", "-----BEGIN "), ("eyJ", "eyJ"), ("IMPORTANT:", "IMPORTANT:"), ("(?s)<", "</"),
+    ('"role"', '"role"'), ("File ", 'File "'), ("(?s)Traceback", "Traceback (most"), ("(?s)During", "During handling"), ("/home/", "/home/"), ("at (?:", "at "), ("litellm", "litellm."),
+)
+#: The letters of long runs: what is 32 of the narrower kind is so of this one.
+_RUN = "[A-Za-z0-9+/]"
+
+
+def _needed(pattern: str) -> tuple[str, ...]:
+    """Literals of which the text must hold one, in lower case for a pattern without case; none for a pattern that is a long run."""
+    if pattern.startswith("(?i)("):
+        return ("lower", *pattern[5 : pattern.index(")")].replace("[_-]?key", "").split("|"))
+    return next(((literal,) for beginning, literal in _NEEDS if pattern.startswith(beginning)), ())
+
+
+def _holds(text: Column, needed: tuple[str, ...]) -> Column:
+    if not needed:
+        return text.rlike(f"(?<!{_RUN}){_RUN}{{32}}")
+    low, literals = needed[0] == "lower", needed[len(needed) > 1 :]
+    where = F.lower(text) if low else text
+    out = F.contains(where, F.lit(literals[0]))
+    for x in literals[1:]:
+        out = out | F.contains(where, F.lit(x))
+    return out
+
+
 def _scrubs(traces: bool) -> list[tuple[tuple[str, ...], str]]:
     return [(SECRETS, "[REDACTED]"), (FILTERS, "[FILTERED]"), *([(TRACES, "[STACK_TRACE]")] if traces else [])]
 

@@ -104,11 +104,18 @@ def emerged_and_died(flow_rows: DataFrame, at: str) -> DataFrame:
     return d.where("was <> is").select("sequence", F.when(F.col("is"), "emerged").otherwise("died").alias("change"))
 
 
-def exact_median(values: DataFrame, value: str, name: str, accuracy: int = 1_000_000) -> DataFrame:
+#: So many values one aggregation may hold.
+FEW = 1_000_000
+
+
+def exact_median(values: DataFrame, value: str, name: str, few: bool = False, accuracy: int = 1_000_000) -> DataFrame:
     """One row (name, rows): the exact median and the number of values.
 
-    Two approximate percentiles close about the half bound where it lies; only the values between them are put in order.
+    ``few`` says that there are FEW values at most, which one aggregation holds.  Else two approximate percentiles
+    close about the half bound where it lies, and only the values between them are put in order.
     """
+    if few:
+        return values.agg(F.percentile(value, F.lit(0.5)).alias(name), F.count(value).alias("rows"))
     near = F.percentile_approx(value, F.array(F.lit(0.5 - 10 / accuracy), F.lit(0.5 + 10 / accuracy)), accuracy)
     ends = values.agg(near.alias("_near"), F.count(value).alias("rows"))
     d = values.select(F.col(value).alias("_x")).crossJoin(F.broadcast(ends)).where("_x is not null")
@@ -121,9 +128,10 @@ def exact_median(values: DataFrame, value: str, name: str, accuracy: int = 1_000
 
 def mad_anomalies(values: DataFrame, key: str, value: str, limit: float = 3.0) -> DataFrame:
     """|x - median| / MAD over the limit, unscaled; with MAD zero any other value; nothing under three rows."""
-    m = exact_median(values, value, "median")  # one row, like the next
+    few = values.count() <= FEW
+    m = exact_median(values, value, "median", few)  # one row, like the next
     d = values.crossJoin(F.broadcast(m)).withColumn("off", F.abs(F.col(value) - F.col("median")))
-    mad = exact_median(d.select("off"), "off", "mad").select("mad")
+    mad = exact_median(d.select("off"), "off", "mad", few).select("mad")
     d = d.crossJoin(F.broadcast(mad))
     odd = F.when(F.col("mad") == 0, F.col("off") > 0).otherwise(F.col("off") / F.col("mad") > limit)
     return d.where(odd & (F.col("rows") >= 3)).select(key, F.round(value, 6).alias(value), F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
