@@ -187,14 +187,6 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.greatest(F.size(x), F.size(y))), F.lit(0.0))
 
 
-def hybrid(members: DataFrame, cluster: str, hit: Column, least: int = 2) -> DataFrame:
-    """C17: all members of the clusters that hold a hit; of every cluster, where fewer than ``least`` hold one."""
-    held = members.where(hit).select(cluster).distinct()
-    enough = held.agg((F.count("*") >= least).alias("_enough"))  # one row
-    d = members.join(held.withColumn("_held", F.lit(True)), cluster, "left").crossJoin(F.broadcast(enough))
-    return d.where(~F.col("_enough") | F.coalesce("_held", F.lit(False))).drop("_held", "_enough")
-
-
 def category(text: Column) -> Column:
     """The first of twelve categories whose words the error text holds, or "Other": rules in place of a language model."""
     out = F.lit("Other")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,6 +88,21 @@ def _block_pairs(least: float):
     return run
 
 
+def blocks_met(one: DataFrame, size: int) -> DataFrame:
+    """one(id, vec), with copies or without -> each pair of blocks of about ``size`` rows once, as arrays, by number of dimensions."""
+    if "copies" not in one.columns:
+        one = one.withColumn("copies", F.lit(1).cast("long"))
+    blocks = max(1, -(-one.count() // size))
+    packed = (
+        one.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.size("vec").alias("dim"), "id", "copies", "vec")
+        .repartition("block").sortWithinPartitions("block", "dim").mapInArrow(_blocks, "block long, dim int, ids binary, copies binary, vecs binary")
+    )
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("ids", "copies", "vecs")]
+    first = packed.select("dim", F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"), *side("a"))
+    second = packed.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), *side("b"))
+    return first.join(second, ["dim", "i", "j"])
+
+
 def all_duplicate_pairs(items: DataFrame, least: float) -> DataFrame:
     """C10 over all rows: items(id, vec) -> pairs of different vectors at ``least`` or more, and the copies of each.
 
@@ -103,15 +116,7 @@ def all_duplicate_pairs(items: DataFrame, least: float) -> DataFrame:
     sound = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)) & F.exists("vec", lambda x: x != 0)
     rows = items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).where(sound)
     one = rows.groupBy("vec").agg(F.min("id").alias("a"), F.count("*").alias("copies"))
-    blocks = max(1, -(-one.count() // BLOCK))
-    packed = (
-        one.select(F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("block"), F.size("vec").alias("dim"), F.col("a").alias("id"), "copies", "vec")
-        .repartition("block").sortWithinPartitions("block", "dim").mapInArrow(_blocks, "block long, dim int, ids binary, copies binary, vecs binary")
-    )
-    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("ids", "copies", "vecs")]
-    first = packed.select("dim", F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"), *side("a"))
-    second = packed.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), *side("b"))
-    met = first.join(second, ["dim", "i", "j"]).mapInArrow(_block_pairs(least), "a long, b long, copies_a long, copies_b long, score double")
+    met = blocks_met(one.select(F.col("a").alias("id"), "copies", "vec"), BLOCK).mapInArrow(_block_pairs(least), "a long, b long, copies_a long, copies_b long, score double")
     near = met.select("a", "b", "copies_a", "copies_b", F.round("score", 5).alias("score"), F.lit(False).alias("equal"))
     same = rows.join(one.where("copies > 1"), "vec").where("id <> a").select("a", F.col("id").alias("b"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"), F.lit(1.0).alias("score"), F.lit(True).alias("equal"))
     return near.unionByName(same)
@@ -213,32 +218,3 @@ def phrases(docs: DataFrame, group: str, stop: tuple[str, ...], k: int = 5) -> D
     d = parts[0].union(parts[1]).groupBy(group, "size", "phrase").agg(F.count("*").alias("n")).where("n >= 2")
     w = Window.partitionBy(group).orderBy(F.col("size").desc(), F.col("n").desc(), "phrase")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def greedy_clusters(vectors: DataFrame, block: str, threshold: float) -> DataFrame:
-    """In order of id each vector joins the best centroid at the threshold or begins a cluster.
-
-    The rule is sequential, so it runs within blocks, each an Arrow group of its own.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        sums, sizes, place = np.zeros((0, len(pdf["vec"].iloc[0])), np.float32), [], []
-        for v in pdf["vec"]:
-            v = np.asarray(v, np.float32)
-            if len(sums):
-                c = sums / np.array(sizes, np.float32)[:, None]
-                score = c @ v / np.maximum(np.linalg.norm(c, axis=1) * np.linalg.norm(v), 1e-12)
-                best = int(score.argmax())
-                if score[best] >= threshold:
-                    sums[best] += v
-                    sizes[best] += 1
-                    place.append(best)
-                    continue
-            place.append(len(sizes))
-            sizes.append(1)
-            sums = np.vstack([sums, v])
-        slug = [f"{pdf[block].iloc[0]}-" + hashlib.sha256(np.round(s / n, 4).astype(np.float32).tobytes()).hexdigest()[:10] for s, n in zip(sums, sizes)]
-        return pd.DataFrame({"id": pdf["id"], "cluster": place, "size": [sizes[p] for p in place], "slug": [slug[p] for p in place]})
-
-    return vectors.select("id", block, "vec").groupBy(block).applyInPandas(run, "id long, cluster long, size long, slug string")

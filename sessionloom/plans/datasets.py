@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text as t
 from sessionloom.operators import datasets as o
+from sessionloom.operators import leader
 from sessionloom.operators import similarity as c
 from sessionloom.sources.bind import DIALOGUE, STREAM, dialogue, table, tool_stream
 
@@ -52,7 +53,7 @@ QUERIES = {
         lambda s, d: _vectors(s, d).groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.round(F.avg(F.col("vec")[0].cast("double")), 5).alias("mean0")),
         f"WITH {V} SELECT label, count(*) AS n, min(id) AS first_id, max(id) AS last_id, round(avg(v[1]), 5) AS mean0 FROM v GROUP BY 1",
     ),
-    "greedy_clusters": (lambda s, d: c.greedy_clusters(_vectors(s, d), "label", 0.8), None),
+    "greedy_clusters": (lambda s, d: leader.leader_clusters(_vectors(s, d), 0.8), None),
     "jaccard_pairs": (
         lambda s, d: c.jaccard_pairs(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name")), 0.4),
         """WITH q AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', p_name, p_brand, p_type)), '[^a-z]+'), lambda x: x <> ''))) AS tok FROM part),

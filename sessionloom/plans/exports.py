@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as t
-from sessionloom.operators import mining
+from sessionloom.operators import leader, mining
 from sessionloom.operators import exports as o
 from sessionloom.plans.distill import JUDGED, SUMMARY
 from sessionloom.plans.mining import ERRORS
@@ -33,6 +33,26 @@ def _errors(s, d):
     return mining.error_records(trace(s, d))
 
 
+def _hits(s, d):
+    """Errors with a vector of their text and input, and whether the text holds a word."""
+    said = F.concat_ws(" ", "error_text", "tool_input")
+    return _errors(s, d).select("id", o.word_vector(said).alias("vec"), F.contains("error_text", F.lit("syntax")).alias("hit"))
+
+
+HITS = f"""{ERRORS}, v AS MATERIALIZED (SELECT id, list_transform(string_split('0123456789abcdef', ''), lambda x: len(list_filter(list_transform(regexp_extract_all(lower(concat_ws(' ', error_text, tool_input)), '[{t.LETTERS}]+'), lambda w: left(md5(w), 1)), lambda y: y = x))::DOUBLE) AS vec,
+ contains(error_text, 'syntax') AS hit FROM e)"""
+
+
+def _leaders(name, rows, threshold=0.85):
+    """SQL of the sequential rule, a row a step: (id, cluster)."""
+    dot = lambda a, b: f"list_sum(list_transform(range(1, 17), lambda z: {a}[z] * {b}[z]))"
+    return f"""{name}_x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS k FROM ({rows})),
+    {name} AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS cluster, []::STRUCT(s DOUBLE[], n BIGINT, f BIGINT)[] AS c
+     UNION ALL SELECT k, id, CASE WHEN m >= {threshold} THEN c[list_position(sims, m)].f ELSE id END,
+      CASE WHEN m >= {threshold} THEN list_transform(c, lambda y, i: CASE WHEN i = list_position(sims, m) THEN {{'s': list_transform(range(1, 17), lambda z: y.s[z] + vec[z]), 'n': y.n + 1, 'f': y.f}} ELSE y END) ELSE list_append(c, {{'s': vec, 'n': 1::BIGINT, 'f': id}}) END
+     FROM (SELECT *, list_max(sims) AS m FROM (SELECT x.k, x.id, x.vec, o.c, list_transform(o.c, lambda y: {dot('y.s', 'x.vec')} / (sqrt({dot('y.s', 'y.s')}) * sqrt({dot('x.vec', 'x.vec')}))) AS sims FROM {name} AS o JOIN {name}_x AS x ON x.k = o.k + 1)))"""
+
+
 def _truth(s, d):
     docs = table(s, d, "documents").select("doc_id", "lang", "source", F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 9).alias("lines"))
     j = F.to_json(F.transform("lines", lambda x: F.struct(x.alias("error_text"))))
@@ -133,8 +153,13 @@ QUERIES = {
         f"WITH {TALK}, n AS (SELECT *, lead(content) OVER (PARTITION BY session_id ORDER BY idx) AS nxt FROM m), x AS (SELECT session_id, idx, {TOK.format('content')} AS a, {TOK.format('nxt')} AS b FROM n WHERE nxt IS NOT NULL) SELECT session_id, idx, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)) END, 6) AS overlap FROM x",
     ),
     "hybrid_clusters": (
-        lambda s, d: o.hybrid(_errors(s, d).select("id", "command_category", "error_text"), "command_category", F.contains("error_text", F.lit("syntax"))).select("id", "command_category"),
-        f"WITH {ERRORS}, h AS (SELECT DISTINCT command_category AS c FROM e WHERE contains(error_text, 'syntax')) SELECT id, command_category FROM e WHERE (SELECT count(*) FROM h) < 2 OR command_category IN (SELECT c FROM h)",
+        lambda s, d: leader.hybrid(_hits(s, d)),
+        f"WITH RECURSIVE {HITS}, {_leaders('o', 'SELECT * FROM v WHERE hit')} SELECT id, CASE WHEN (SELECT count(*) FROM v WHERE hit) > 1 THEN cluster END AS cluster FROM o WHERE id IS NOT NULL",
+    ),
+    "recluster": (
+        lambda s, d: leader.reclustered(_hits(s, d)),
+        f"""WITH RECURSIVE {HITS}, {_leaders('o', 'SELECT * FROM v')}, k AS (SELECT DISTINCT cluster FROM o JOIN v USING (id) WHERE hit), {_leaders('q', 'SELECT v.* FROM v JOIN o USING (id) WHERE cluster IN (SELECT cluster FROM k)')}
+        SELECT id, cluster FROM q WHERE id IS NOT NULL""",
     ),
     "error_categories": (
         lambda s, d: (x := _errors(s, d).withColumn("category", o.category(F.col("error_text")))).select("id", "category", o.category_slug(F.when(F.col("id") % 3 == 0, "repeated_attempt").otherwise(F.col("error_type")), F.col("tool_name"), F.col("category"), "2024").alias("slug")),

@@ -83,14 +83,6 @@ def test_jaccard_pairs_equal_brute_force(spark):
     assert got == want
 
 
-def test_greedy_clusters_do_not_depend_on_row_order(spark):
-    rng = np.random.default_rng(9)
-    rows = [(i, "b", [float(x) for x in rng.normal(size=4)]) for i in range(40)]
-    one = similarity.greedy_clusters(spark.createDataFrame(rows, "id long, b string, vec array<float>"), "b", 0.7)
-    two = similarity.greedy_clusters(spark.createDataFrame(rows[::-1], "id long, b string, vec array<float>").repartition(3), "b", 0.7)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
-
-
 def test_rules_without_hits_are_compliant(spark):
     docs = spark.createDataFrame([(1, "never use force push"), (2, None)], "doc_id long, text string")
     rules = spark.createDataFrame([("r", ["force", "push"]), ("q", ["zebra", "push"])], "rule string, terms array<string>")
