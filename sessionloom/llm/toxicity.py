@@ -10,8 +10,9 @@ At most ``MOST_LABELLED`` labelled rows, first by a hash of the id, are used
 for fitting; everything is scored.
 
 Defined cases: null and blank texts have all features zero and get a score
-like any other; labels that are null or of no document are left out; repeated
-rows are scored each and fitted once; with fewer than
+like any other; a label above 0 is toxic and any other is not, of several
+labels of a document the largest counts; labels that are null or of no document
+are left out; repeated rows are scored each and fitted once; with fewer than
 two labels of either kind nothing can be learned: every score is then the
 smoothed share of toxic labels (0 without any), and ``without_toxic`` keeps
 every document; an empty table gives an empty result; extra columns are ignored.
@@ -31,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import crc_mod, stored, table, tune
+from sessionloom.llm.common import crc_mod, dropped, stored, table, tune
 
 MOST_LABELLED = 20_000
 #: Entries of the learned lexicon, and the least share of toxic documents that hold one.
@@ -129,7 +130,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], keep: str) -> Data
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, most: int = MOST_LABELLED) -> DataFrame:
     """Different labelled documents (doc_id, text, toxic): ``most`` at most, first by hash."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.where(usable).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     # Of rows with one id, the text of least hash.
@@ -155,13 +156,15 @@ class Toxicity:
 
 def train(sample: DataFrame) -> Toxicity:
     """sample(doc_id, text, toxic), of bounded size, -> the model."""
-    sample = stored(sample, "labelled")
+    over: list[str] = []
+    sample = stored(sample, "labelled", over)
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if min(toxic, clean) < 2:
+        dropped(over)
         return Toxicity({}, constant=(toxic + 0.5) / (toxic + clean + 1) if toxic else 0.0)
     lexicon = learn_lexicon(sample, toxic, clean)
-    rows = stored(with_features(sample.select("text", "doc_id", F.col("toxic").cast("double").alias("label")), lexicon, "doc_id long, label double"), "features")
+    rows = stored(with_features(sample.select("text", "doc_id", F.col("toxic").cast("double").alias("label")), lexicon, "doc_id long, label double"), "features", over)
     rows = rows.withColumn("features", array_to_vector("features"))
     fitted = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) != 0
     part, rest = rows.where(fitted), rows.where(~fitted)
@@ -169,7 +172,9 @@ def train(sample: DataFrame) -> Toxicity:
         part = rest = rows
     trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.2, maxBins=64, seed=11, subsamplingRate=1.0).fit(part)
     raw = trees.transform(rest).select("label", vector_to_array("probability")[1].alias("raw"))
-    return Toxicity(lexicon, trees, IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw))
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw)
+    dropped(over)
+    return Toxicity(lexicon, trees, calibration)
 
 
 def score_documents(docs: DataFrame, model: Toxicity) -> DataFrame:

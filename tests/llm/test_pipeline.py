@@ -100,3 +100,27 @@ def test_stages_keep_columns_and_bear_empty_tables(spark, tmp_path):
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_bear_odd_rows(spark, tmp_path):
+    """Null texts, ids, sources and labels, repeated rows and columns named like the operators' own: what each stage gives is stated."""
+    rng = random.Random(3)
+    body = [prose(rng, 120) for _ in range(6)]
+    rows = [(i, t, "en", f"s{i % 2}", 7) for i, t in enumerate(body)]
+    odd = [(10, None, "en", "s0", None), (11, "", "en", None, 0), (None, prose(rng, 90), "en", "s1", 7), rows[2], rows[2]]
+    extra = "size string, fp string, features string, score string, gram string, _size string, label string, root string"
+    docs = spark.createDataFrame([(*r, *["x"] * 8) for r in rows + odd], f"{SCHEMA}, {extra}")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, None), (1, 1, 0), (None, 0, 1), (3, 1, 2), (4, 1, -1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d, at = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in pipeline.STAGES:
+        d = stage(spark, d, str(tmp_path))
+        at[name] = d.collect()
+        if name != pipeline.STAGES[-1][0]:
+            assert d.columns == docs.columns, name
+    ids = lambda name: Counter(r["doc_id"] for r in at[name])
+    assert len(at["toxicity"]) == len(rows) + len(odd), "too few labels of a kind: every document stays"
+    assert ids("simhash_near_dedup") == Counter([*range(6), 10, None]), "repeated rows are one; the null text and the empty one have one fingerprint, the lesser id stays"
+    assert ids("suffix_array_dedup") == ids("simhash_near_dedup")
+    assert set(ids("source_mixing")) <= {*range(6), 10, None}, "a text without words is taken at its source's rate"
+    assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in at["byte_level_bpe"]) and len(at["byte_level_bpe"]) == len(at["source_mixing"])

@@ -551,6 +551,49 @@ def test_toxicity_without_both_kinds(spark):
         assert toxicity.without_toxic(docs, labels).count() == 2, kinds
 
 
+def test_toxicity_takes_any_label(spark):
+    """Above 0 is toxic; several labels, negative ones and nulls have a meaning."""
+    docs = spark.createDataFrame([(i, f"word{i} here") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 2), (1, -1), (2, None), (3, 0), (3, 7), (4, 0), (5, 1), (None, 1), (99, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.labelled_sample(docs, labels, toxicity.F.lit(True)).collect()}
+    assert got == {0: 1, 1: 0, 3: 1, 4: 0, 5: 1}
+    assert len(toxicity.score_documents(docs, toxicity.train(toxicity.labelled_sample(docs, labels, toxicity.F.lit(True)))).collect()) == 8
+
+
+def features_by_hand(text, lexicon):
+    """The fourteen features, written out word by word."""
+    raw = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    words = [w.strip(toxicity.STRIP).lower() for w in raw]
+    n = max(len(raw), 1)
+    weight = [max([lexicon.get(t, 0.0) for t in toxicity.terms(w)], default=0.0) for w in words]
+    hits = [i for i, x in enumerate(weight) if x > 0]
+    second = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    near = 0
+    for h in hits:
+        before, after = [s for s in second if s < h], [s for s in second if s >= h]
+        near += bool((before and h - before[-1] <= toxicity.NEAR) or (after and after[0] - h <= toxicity.NEAR))
+    return len(raw), n, weight, hits, near, second
+
+
+def test_toxicity_features_by_hand():
+    lexicon = {"grumpo": 2.0, "grum": 1.5, "blorf": 1.1}
+    rng = random.Random(8)
+    for _ in range(40):
+        text = " ".join(rng.choice(["you", "Grumpo!", "blorf", "grumble", "calm", "DU", "fine?", "x"]) for _ in range(rng.randint(0, 40)))
+        total, n, weight, hits, near, second = features_by_hand(text, lexicon)
+        got = toxicity.features(text, lexicon)
+        if not total:
+            assert not any(got)
+            continue
+        assert got[1] == max([weight[i] for i in hits], default=0.0)
+        assert got[2] == pytest.approx(sum(weight[i] for i in hits) / n)
+        assert got[3:5] == [len(hits), pytest.approx(len(hits) / n)]
+        assert got[6:9] == [pytest.approx(near / n), pytest.approx(near / max(len(hits), 1)), pytest.approx(len(second) / n)]
+        letters = [c for c in text if c.isalpha()]
+        assert got[9] == pytest.approx(sum(c.isupper() for c in letters) / max(len(letters), 1))
+        assert got[10] == pytest.approx(sum(c in "!?" for c in text) / n)
+
+
 def test_toxicity_sample_takes_one_text_of_an_id(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
