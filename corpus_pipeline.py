@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs.
+
+Defined cases, for every stage: an empty table gives an empty one; columns
+beyond those of documents stay as they are, whatever they are called; a null
+text counts as the empty one; a null id is an id of its own that comes last.
 """
 
 from __future__ import annotations
@@ -10,26 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, mixing, simhash, suffix_dedup, toxicity
-from sessionloom.llm.common import stored, table
+from sessionloom.llm.common import dropped, stored, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.3 or more go."""
+    """Documents scored 0.3 or more go.  Labels above 0 are toxic, others not, null ones none; too few of a kind: every document stays."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints, the one with the least id stays."""
+    """Of documents linked by fingerprints, the one with the least id stays; repeated rows are one; empty texts are linked to each other."""
     return simhash.keep_one(docs)
 
 
 def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings as long as a passage of 51 words (256 bytes) that occur elsewhere go."""
+    """Bytes of strings as long as a passage of 51 words (256 bytes) that occur elsewhere go; the document stays, even with nothing left."""
     return suffix_dedup.cleaned(docs, suffix_dedup.PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate says."""
+    """Each document as often as its source's rate says; a text without words too; the null source is a source."""
     return mixing.repeated(docs)
 
 
@@ -51,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; a stage's table is deleted when the next one is written, and the last one is the result."""
+    docs, over = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, over = over, []
+        docs = stored(stage(spark, docs, sf_dir), name, over)
+        dropped(before)
     return docs
