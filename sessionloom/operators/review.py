@@ -19,6 +19,38 @@ def forward_window(stream: DataFrame, anchor: Column, n: int) -> DataFrame:
     return stream.withColumn("following", F.collect_list("tool").over(w)).where(anchor).select("id", "session_id", F.array_join("following", ">").alias("following"))
 
 
+def located(anchors: DataFrame, rows: DataFrame) -> DataFrame:
+    """Q17: anchors(anchor_id, session_id, anchor_ts, tool_name) -> anchors with ``row_id``, that of their row among rows(session_id, id, ts, tool_name).
+
+    First a row of that instant and tool, then one of that instant, then the first one later; of several the least id, null without any.
+    Both sides are put in one order of time by session, so an anchor that falls between rows finds the next.
+    """
+    named = rows.groupBy("session_id", F.col("ts").alias("anchor_ts"), "tool_name").agg(F.min("id").alias("_same"))
+    both = anchors.select("session_id", F.col("anchor_ts").alias("ts"), F.lit(0).alias("_side"), "anchor_id", F.lit(None).cast("long").alias("id"), "tool_name").unionByName(
+        rows.select("session_id", "ts", F.lit(1).alias("_side"), F.lit(None).cast("long").alias("anchor_id"), F.col("id").cast("long").alias("id"), F.lit(None).cast("string").alias("tool_name"))
+    )
+    w = Window.partitionBy("session_id").orderBy("ts", "_side", "id", "anchor_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    next_ = both.withColumn("_next", F.first("id", True).over(w)).where("_side = 0").withColumnRenamed("ts", "anchor_ts")
+    return next_.join(named, ["session_id", "anchor_ts", "tool_name"], "left").select("anchor_id", "session_id", "anchor_ts", "tool_name", F.coalesce("_same", "_next").alias("row_id"))
+
+
+def turn_text(rows: DataFrame) -> Column:
+    """Q17: a turn as one line, a call with how it ended; null for a turn that says nothing."""
+    flat = lambda c, n: F.replace(F.substring(F.coalesce(c, F.lit("")), 1, n), F.lit("\n"), F.lit(" "))
+    result = F.coalesce(F.nullif(rows["output"], F.lit("")), rows["error"])
+    ended = F.when(F.coalesce(rows["error"], F.lit("")) == "", "OK").otherwise("ERR")
+    call = F.concat(F.lit("["), "role", F.lit("/"), "tool_name", F.lit("/"), ended, F.lit("] "), flat(rows["tool_input"], 160), F.lit(" → "), flat(result, 240))
+    said = flat(F.trim(rows["content"]), 280)
+    return F.when(F.coalesce(rows["tool_name"], F.lit("")) != "", call).when(said != "", F.concat(F.lit("["), F.coalesce("role", F.lit("?")), F.lit("] "), said))
+
+
+def located_windows(anchors: DataFrame, rows: DataFrame, n: int = 12, most: int = 2200) -> DataFrame:
+    """Q17: anchors with the text of the n turns after their row, ``most`` characters at most; "" where no row is found or nothing follows."""
+    w = Window.partitionBy("session_id").orderBy("ts", "id").rowsBetween(1, n)
+    text = rows.withColumn("_text", turn_text(rows)).select("session_id", F.col("id").alias("row_id"), F.substring(F.array_join(F.collect_list("_text").over(w), "\n"), 1, most).alias("following"))
+    return located(anchors, rows).join(text, ["session_id", "row_id"], "left").withColumn("following", F.coalesce("following", F.lit("")))
+
+
 def latest_of(rows: DataFrame, kind: str, n: int) -> DataFrame:
     """Q18: the latest n rows of each type with the type's count."""
     counts = rows.groupBy(kind).agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ Every operator takes its bounds or ``as_of`` as literals: none asks the clock.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -150,6 +152,30 @@ def weekly_trend(stream: DataFrame) -> DataFrame:
     return d.withColumn("arrow", F.when(F.col("n") > F.col("previous"), "up").when(F.col("n") < F.col("previous"), "down").otherwise("flat"))
 
 
+#: How a time is named by its day, week or month.
+BUCKETS: dict[str, Callable[[Column], Column]] = {"day": lambda ts: F.date_format(ts, "yyyy-MM-dd"), "week": week_of, "month": lambda ts: F.date_format(ts, "yyyy-MM")}
+
+
+def trend_table(stream: DataFrame, key: str, unit: str, last: int, top: int) -> tuple[DataFrame, list[str]]:
+    """The ``top`` keys by rows in the last ``last`` buckets that occur, a column for each bucket, oldest first; and the buckets.
+
+    (rank, key, buckets, total, delta, arrow): the newest bucket against the one before; both null with fewer than two.
+    Only the names of the buckets come to the driver.
+    """
+    counts = stream.groupBy(key, BUCKETS[unit](F.col("ts")).alias("bucket")).agg(F.count("*").alias("n")).where("bucket is not null")
+    names = sorted(r["bucket"] for r in counts.select("bucket").distinct().orderBy(F.col("bucket").desc()).limit(last).collect())
+    wide = counts.groupBy(key).pivot("bucket", names).agg(F.sum("n")) if names else counts.groupBy(key).agg(F.count("*").alias("_none"))
+    wide = wide.select(key, *[F.coalesce(F.col(f"`{b}`"), F.lit(0)).alias(b) for b in names])
+    total = F.lit(0).cast("long")
+    for b in names:
+        total = total + F.col(f"`{b}`")
+    delta = F.col(f"`{names[-1]}`") - F.col(f"`{names[-2]}`") if len(names) > 1 else F.lit(None).cast("long")
+    d = wide.withColumn("total", total).where("total > 0").withColumn("delta", delta)
+    d = d.withColumn("arrow", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").when(F.col("delta") == 0, "flat"))
+    first = d.orderBy(F.col("total").desc(), key).limit(top)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.col("total").desc(), key))), names
+
+
 def dense_daily(stream: DataFrame) -> DataFrame:
     """Counts on the whole grid of types and days, missing ones 0."""
     d = stream.groupBy("tool", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))

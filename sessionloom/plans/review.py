@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sessionloom.operators import review as o
-from sessionloom.sources.bind import DIALOGUE, STREAM, dialogue, table, tool_stream
+from sessionloom.sources.bind import DIALOGUE, STREAM, TRACE, dialogue, table, tool_stream, trace
 
 KINDS = ("idiot", "license", "password", "zebra")
 
@@ -13,6 +13,12 @@ def _linked(s, d):
     return o.linked_change(s.createDataFrame([(k,) for k in KINDS], "kind string"), changes)
 
 
+def _anchors(s, d):
+    """Error rows whose instants are off by up to an hour, some without a tool."""
+    ts = F.expr("ts - make_interval(0, 0, 0, 0, 0, 0, id % 3 * 1800)")
+    return trace(s, d).where("error is not null").select(F.col("id").alias("anchor_id"), "session_id", ts.alias("anchor_ts"), F.when(F.col("id") % 5 > 0, F.col("tool_name")).alias("tool_name"))
+
+
 def _sessions(s, d):
     return tool_stream(s, d).groupBy("session_id").agg(F.sum("k").alias("tokens"), F.sum("amount").alias("cost"), F.count_if("is_error").alias("errors"), (F.count_if(F.col("tool") == "view") / F.count("*")).alias("cache_ratio"))
 
@@ -34,6 +40,16 @@ QUERIES = {
         f"""WITH {STREAM}, w AS (SELECT id, session_id, is_error, lead(tool, 1) OVER q AS a, lead(tool, 2) OVER q AS b, lead(tool, 3) OVER q AS c FROM s WINDOW q AS (PARTITION BY session_id ORDER BY ts, id))
         SELECT id, session_id, concat_ws('>', a, b, c) AS following FROM w WHERE is_error""",
     ),
+    "located_windows": (
+        lambda s, d: o.located_windows(_anchors(s, d), trace(s, d), 4, 300).select("anchor_id", "session_id", "row_id", "following"),
+        f"""WITH {TRACE}, a AS (SELECT id AS anchor_id, session_id, ts - to_seconds(id % 3 * 1800) AS anchor_ts, CASE WHEN id % 5 > 0 THEN tool_name END AS tool_name FROM t WHERE error IS NOT NULL),
+        u AS (SELECT session_id, ts, min(id) AS id FROM t GROUP BY 1, 2), y AS (SELECT session_id, ts, tool_name, min(id) AS id FROM t GROUP BY 1, 2, 3),
+        l AS (SELECT a.anchor_id, a.session_id, coalesce(y.id, u.id) AS row_id FROM a ASOF LEFT JOIN u ON u.session_id = a.session_id AND u.ts >= a.anchor_ts LEFT JOIN y ON y.session_id = a.session_id AND y.ts = a.anchor_ts AND y.tool_name = a.tool_name),
+        x AS (SELECT *, CASE WHEN coalesce(tool_name, '') <> '' THEN '[' || role || '/' || tool_name || '/' || CASE WHEN coalesce(error, '') = '' THEN 'OK' ELSE 'ERR' END || '] ' || replace(left(coalesce(tool_input, ''), 160), chr(10), ' ') || ' → ' || replace(left(coalesce(nullif(output, ''), error, ''), 240), chr(10), ' ')
+         WHEN trim(coalesce(content, '')) <> '' THEN '[' || role || '] ' || replace(left(trim(content), 280), chr(10), ' ') END AS line FROM t),
+        w AS (SELECT session_id, id, left(array_to_string(list_filter(list(line) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), lambda z: z IS NOT NULL), chr(10)), 300) AS following FROM x)
+        SELECT anchor_id, l.session_id, row_id, coalesce(following, '') AS following FROM l LEFT JOIN w ON w.session_id = l.session_id AND w.id = row_id""",
+    ),
     "error_browse": (
         lambda s, d: o.latest_of(tool_stream(s, d).where("amount > 5"), "tool", 10).select("tool", "id", "rank", "n"),
         f"WITH {STREAM}, r AS (SELECT tool, id, row_number() OVER (PARTITION BY tool ORDER BY ts DESC, id DESC) AS rank, count(*) OVER (PARTITION BY tool) AS n FROM s WHERE amount > 5) SELECT * FROM r WHERE rank <= 10",

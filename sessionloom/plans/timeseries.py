@@ -15,6 +15,23 @@ def rules():
 
 RULES_SQL = "SELECT *, unnest(['a' || (k % 7), 'b' || (k % 5)]) AS rule FROM s"
 
+LAST, TOP = 5, 3
+
+
+def _trend(s, d, unit):
+    """Columns by age, b1 being the newest bucket, so that their names don't depend on the data."""
+    wide, names = o.trend_table(tool_stream(s, d), "tool", unit, LAST, TOP)
+    by_age = [F.col(f"`{names[-k]}`") if k <= len(names) else F.lit(0).cast("long") for k in range(1, LAST + 1)]
+    return wide.select("rank", "tool", *[c.alias(f"b{k}") for k, c in enumerate(by_age, 1)], "total", "delta", "arrow")
+
+
+def _trend_sql(form):
+    columns = ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE place = {k}), 0) AS BIGINT) AS b{k}" for k in range(1, LAST + 1))
+    return f"""WITH {STREAM}, a AS (SELECT tool, strftime(ts, '{form}') AS bucket, count(*) AS n FROM s GROUP BY 1, 2), k AS (SELECT bucket, row_number() OVER (ORDER BY bucket DESC) AS place FROM (SELECT DISTINCT bucket FROM a)),
+        p AS (SELECT tool, {columns}, CAST(sum(n) AS BIGINT) AS total FROM a JOIN k USING (bucket) WHERE place <= {LAST} GROUP BY 1), r AS (SELECT *, CASE WHEN (SELECT count(*) FROM k) > 1 THEN b1 - b2 END AS delta, CAST(row_number() OVER (ORDER BY total DESC, tool) AS INTEGER) AS rank FROM p)
+        SELECT *, CASE WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' WHEN delta = 0 THEN 'flat' END AS arrow FROM r WHERE rank <= {TOP}"""
+
+
 QUERIES = {
     "velocity_weekly_share": (
         lambda s, d: o.error_share(tool_stream(s, d)),
@@ -63,6 +80,7 @@ QUERIES = {
         lambda s, d: o.weekly_trend(tool_stream(s, d)),
         f"WITH {STREAM}, a AS (SELECT tool, strftime(ts, '%Y-W%W') AS week, count(*) AS n FROM s GROUP BY 1, 2), b AS (SELECT *, lag(n) OVER (PARTITION BY tool ORDER BY week) AS previous FROM a) SELECT *, CASE WHEN n > previous THEN 'up' WHEN n < previous THEN 'down' ELSE 'flat' END AS arrow FROM b",
     ),
+    **{f"trend_table_{unit}": (lambda s, d, unit=unit: _trend(s, d, unit), _trend_sql(form)) for unit, form in (("day", "%Y-%m-%d"), ("week", "%Y-W%W"), ("month", "%Y-%m"))},
     "daily_trend_dense": (
         lambda s, d: o.dense_daily(tool_stream(s, d)).withColumn("day", F.col("day").cast("string")),
         f"WITH {STREAM}, a AS (SELECT tool, ts::DATE AS day, count(*) AS n FROM s GROUP BY 1, 2), g AS (SELECT DISTINCT tool FROM a), r AS (SELECT unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM a) SELECT g.tool, CAST(r.day AS VARCHAR) AS day, coalesce(a.n, 0) AS n FROM g CROSS JOIN r LEFT JOIN a ON a.tool = g.tool AND a.day = r.day",
