@@ -36,15 +36,22 @@ def appended(store: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def correction_decay(errors: DataFrame, kind: str, applied: DataFrame, as_of: Column, days: int) -> DataFrame:
-    """For each kind with a rule, (rate before - rate now) / rate before, over windows of ``days`` days, ends included."""
+    """For each kind with a rule, (rate before - rate now) / rate before, over windows of ``days`` days, ends included.
+
+    Whole days of a window come from counts by day; only its first and last day meet rows, by an equi-join.
+    """
     span = F.make_dt_interval(F.lit(days))
-    before = (F.col("ts") >= F.col("since") - span) & (F.col("ts") <= F.col("since"))
-    now = (F.col("ts") >= as_of - span) & (F.col("ts") <= as_of)
-    d = errors.select("ts", F.col(kind).alias("own")).join(F.broadcast(applied), before | now)  # one row for each kind with a rule
+    window = lambda name, hi: F.struct(F.lit(name).alias("name"), (hi - span).alias("lo"), hi.alias("hi"))
+    windows = applied.select("kind", F.explode(F.array(window("before", F.col("since")), window("now", as_of.cast("timestamp_ntz")))).alias("w")).select("kind", "w.*")
+    rows = errors.select("ts", F.col(kind).alias("own"), F.to_date("ts").alias("day"))
+    first, last = F.to_date("lo"), F.to_date("hi")
+    inner = F.when(F.datediff(last, first) > 1, F.sequence(F.date_add(first, 1), F.date_sub(last, 1)))
+    whole = windows.withColumn("day", F.explode(inner)).join(rows.groupBy("day", "own").agg(F.count("*").alias("n")), "day").select("kind", "name", "own", "n")
+    edges = windows.withColumn("day", F.explode(F.array_distinct(F.array(first, last)))).join(rows, "day").where((F.col("ts") >= F.col("lo")) & (F.col("ts") <= F.col("hi")))
+    d = whole.union(edges.select("kind", "name", "own", F.lit(1).cast("long")))
+    total = lambda name, own: F.coalesce(F.sum(F.when((F.col("name") == name) & own, F.col("n"))), F.lit(0))
     same = F.col("own") == F.col("kind")
-    d = d.groupBy("kind").agg(
-        of("pre_rate", F.count_if(before & same), F.count_if(before)), of("rate", F.count_if(now & same), F.count_if(now)),
-    )
+    d = d.groupBy("kind").agg(of("pre_rate", total("before", same), total("before", F.lit(True))), of("rate", total("now", same), total("now", F.lit(True))))
     return d.withColumn("decay", F.coalesce(F.try_divide(F.col("pre_rate") - F.col("rate"), F.col("pre_rate")), F.lit(0.0)))
 
 

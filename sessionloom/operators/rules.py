@@ -66,9 +66,10 @@ def violations(rules: DataFrame, errors: DataFrame) -> DataFrame:
     words = rules.select("rule", "least", F.explode("words").alias("word"))
     by_word = tokens.join(words, "word").groupBy("rule", "id").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("rule", "id")
     parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.substring("text", i, F.lit(n)))
-    begun = e.select("id", "text", F.explode(F.array_distinct(F.concat(parts(2), parts(3)))).alias("head"))
     compounds = rules.select("rule", F.explode("compounds").alias("term")).withColumn("head", F.substring("term", 1, 3))
-    by_compound = begun.join(compounds, "head").where(F.contains("text", F.col("term"))).select("rule", "id")
+    heads = compounds.agg(F.collect_set("head").alias("_heads"))  # one row: the beginnings of the compounds in force
+    begun = e.crossJoin(F.broadcast(heads)).select("id", F.explode(F.array_intersect(F.concat(parts(2), parts(3)), F.col("_heads"))).alias("head"))
+    by_compound = begun.join(compounds, "head").select("id", "rule", "term").join(e, "id").where(F.contains("text", F.col("term"))).select("rule", "id")
     return by_word.union(by_compound).distinct()
 
 
