@@ -28,7 +28,7 @@ def _tailed(s, d):
 
 def _prompts(s, d):
     m = live.talk_stream(s, d).where("role = 'user'").withColumn("id", F.col("idx").cast("long"))
-    out = live.finished(state.prompt_state(m), "append", ["session_id", "id"])
+    out = live.finished(state.prompt_state(m), "append", ["session_id", "id"], keyed=True)
     mean = F.round(F.aggregate("recent", F.lit(0.0), lambda x, y: x + y) / F.size("recent"), 6)
     return out.select("session_id", F.col("id").alias("idx"), "corrections", "undos", "streak", F.size("recent").cast("long").alias("n_recent"), mean.alias("recent_mean"), "frustrated")
 
@@ -52,7 +52,7 @@ QUERIES = {
         SELECT session_id, min(ts) AS start, count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors FROM j GROUP BY session_id, g HAVING max(ts) + INTERVAL 12 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM s)) - INTERVAL 1 HOUR""",
     ),
     "stream_session_state": (
-        lambda s, d: live.finished(state.session_counts(live.event_stream(s, d)), "update", ["session_id"]),
+        lambda s, d: live.finished(state.session_counts(live.event_stream(s, d)), "update", ["session_id"], keyed=True),
         f"""WITH {STREAM}, i AS (SELECT *, sum(CAST(NOT is_error AS INTEGER)) OVER (PARTITION BY session_id ORDER BY ts, id) AS g FROM s), r AS (SELECT session_id, g, count(*) FILTER (WHERE is_error) AS c FROM i GROUP BY 1, 2),
         l AS (SELECT session_id, max(c) AS longest FROM r GROUP BY 1) SELECT s.session_id, count(*) AS events, count(*) FILTER (WHERE is_error) AS errors, min(longest) AS longest FROM s JOIN l ON l.session_id = s.session_id GROUP BY 1""",
     ),
@@ -71,11 +71,11 @@ QUERIES = {
         FROM k WINDOW w AS (PARTITION BY session_id ORDER BY idx), r AS (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
     ),
     "stream_passive_signals": (
-        lambda s, d: live.finished(state.call_signals(live.trace_stream(s, d), 3 * 3600), "append", ["session_id", "id"]).select("id", "passive_signal"),
+        lambda s, d: live.finished(state.call_signals(live.trace_stream(s, d), 3 * 3600), "append", ["session_id", "id"], keyed=True).select("id", "passive_signal"),
         f"SELECT * FROM ({mining.QUERIES['passive_signals'][1]}) WHERE passive_signal IS NOT NULL",
     ),
     "stream_search_feedback": (
-        lambda s, d: live.finished(state.search_feedback(live.event_stream(s, d), F.col("tool").isin("view", "click"), F.col("tool") == "view", F.col("is_error"), 6 * 3600), "append", ["session_id", "id"]),
+        lambda s, d: live.finished(state.search_feedback(live.event_stream(s, d), F.col("tool").isin("view", "click"), F.col("tool") == "view", F.col("is_error"), 6 * 3600), "append", ["session_id", "id"], keyed=True),
         curation.QUERIES["search_feedback"][1],
     ),
 }

@@ -67,8 +67,11 @@ def finalised(stream: DataFrame, late: str = "1 hour", gap: str = "12 hours") ->
     return d.select("session_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "calls", "errors")
 
 
-def finished(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
-    """Run over all that is there now and give the last row of each key; both sink and checkpoint stand in the shared folder."""
+def finished(stream: DataFrame, mode: str, keys: list[str], keyed: bool = False) -> DataFrame:
+    """Run over all that is there now and give the last row of each key; both sink and checkpoint stand in the shared folder.
+
+    ``keyed``: the stream has processors of ``state``, which need their own state store.
+    """
     spark = stream.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -76,11 +79,13 @@ def finished(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
         df.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
 
     store, before = STORE[0], spark.conf.get(STORE[0], None)
-    spark.conf.set(*STORE)
+    if keyed:
+        spark.conf.set(*STORE)
     try:
         q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(store, before) if before else spark.conf.unset(store)
+        if keyed:
+            spark.conf.set(store, before) if before else spark.conf.unset(store)
     q.awaitTermination()
     out = spark.read.parquet(f"{at}/out").drop("epoch")
     others = [c for c in out.columns if c not in (*keys, "_epoch")]
