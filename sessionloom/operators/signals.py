@@ -63,16 +63,19 @@ def frustration(messages: DataFrame) -> DataFrame:
     return m.withColumn("streak", F.coalesce(three, F.lit(False))).withColumn("escalated", t.escalated(F.col("content")))
 
 
+def positive_kind(content: Column, prior: Column) -> Column:
+    """Confirmation, gratitude, or implicit approval: under 20 words, positive and not negative, where ``prior`` holds."""
+    words = F.size(F.filter(F.split(F.trim(content), r"\s+"), lambda w: w != ""))
+    return (
+        F.when(t.any_of(content, t.CONFIRMATION), "confirmation").when(t.any_of(content, t.GRATITUDE), "gratitude")
+        .when(prior & (words < 20) & (t.hits(content, t.POSITIVE) > 0) & (t.negatives(content) == 0), "implicit_approval")
+    )
+
+
 def positives(messages: DataFrame) -> DataFrame:
-    """The first kind that fits each user message."""
-    c = F.col("content")
-    words = F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
+    """E13 over a dialogue: the first kind that fits each user message; approval asks for an assistant's message before."""
     prior = F.coalesce(F.max(F.col("role") == "assistant").over(by_idx().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    kind = (
-        F.when(t.any_of(c, t.CONFIRMATION), "confirmation").when(t.any_of(c, t.GRATITUDE), "gratitude")
-        .when(F.col("_prior") & (words < 20) & (t.hits(c, t.POSITIVE) > 0) & (t.negatives(c) == 0), "implicit_approval")
-    )
-    return messages.withColumn("_prior", prior).where("role = 'user'").withColumn("kind", kind).drop("_prior")
+    return messages.withColumn("_prior", prior).where("role = 'user'").withColumn("kind", positive_kind(F.col("content"), F.col("_prior"))).drop("_prior")
 
 
 def neighbours(messages: DataFrame) -> DataFrame:

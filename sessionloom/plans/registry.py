@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sessionloom.plans import curation, datasets, distill, exports, flows, live, lookup, mining, progress, ranking, review, rules, signals, stores, timeseries
+from sessionloom.plans import curation, datasets, distill, exports, flows, live, lookup, mining, progress, ranking, review, rules, selecting, signals, stores, timeseries
 
-MODULES = (flows, signals, timeseries, ranking, datasets, curation, review, stores, live, mining, distill, rules, lookup, progress, exports)
+MODULES = (flows, signals, timeseries, ranking, datasets, curation, review, stores, live, mining, distill, rules, lookup, progress, exports, selecting)
 
 
 def queries() -> dict:
