@@ -1,14 +1,18 @@
-"""Queries over curated records, promotions, clusters, flows, health, frictions and built datasets."""
+"""Queries over curated records, promotions, clusters, flows, health, frictions, built datasets and tables with keys."""
+
+import uuid
 
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as t
 from sessionloom.operators import exports, mining
 from sessionloom.operators import selecting as o
+from sessionloom.operators.store import shared_dir
 from sessionloom.plans.exports import FLOWS
 from sessionloom.plans.mining import ERRORS
 from sessionloom.plans.signals import PN
-from sessionloom.sources.bind import STREAM, TRACE, tool_stream, trace
+from sessionloom.sources.bind import STREAM, TRACE, table, tool_stream, trace
+from sessionloom.sources.keyed import KeyedTable
 
 W = "(PARTITION BY session_id ORDER BY ts, id"
 SINCE, HOURS_6 = "2024-01-08 00:00:00", 21600
@@ -53,6 +57,30 @@ def _examples(s, d):
     return o.examples(_bridge(s, d).where("error_id % 4 > 0"), trace(s, d).withColumnRenamed("error", "error_text"), old)
 
 
+def _keyed(s, *keys):
+    return KeyedTable(s, f"{shared_dir(s)}/keyed-{uuid.uuid4().hex}", keys)
+
+
+def _synced(s, d):
+    """Calls of two platforms put into one table: the early ones, then all, then all again."""
+    calls = tool_stream(s, d).select(F.concat(F.lit("p"), (F.col("session_id") % 3).cast("string")).alias("platform"), "session_id", F.date_trunc("day", "ts").alias("day"), "tool")
+    t = _keyed(s, "platform", "session_id", "day", "tool")
+    t.insert_new(calls.where(F.col("day") < F.to_timestamp(F.lit(SINCE))))
+    t.insert_new(calls)
+    t.insert_new(calls)
+    return t.read()
+
+
+def _labelled(s, d):
+    """Labels written, then some written anew and one for every third document that had none."""
+    labels = table(s, d, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    t = _keyed(s, "doc_id")
+    t.insert_new(labels.where("doc_id % 3 > 0"))
+    t.merge(labels.where("doc_id % 4 = 0").withColumn("label", F.concat("label", F.lit("+"))))
+    t.insert_new(labels)
+    return t.read()
+
+
 RECORDS = f"""{ERRORS}, r AS (SELECT e.* EXCLUDE (error_type), t.source_file, {PATTERN.format(text='VARCHAR').replace('id %', 'e.id %')} AS pattern_id, {KIND.replace('id %', 'e.id %')} AS error_type FROM e JOIN t ON t.id = e.id)"""
 POSITIVES = f"""p0 AS (SELECT *, {PN}, last_value(tool_name IGNORE NULLS) OVER {W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_tool,
  last_value(CASE WHEN role = 'assistant' THEN substr(content, 1, 200) END IGNORE NULLS) OVER {W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context_before FROM t),
@@ -118,4 +146,12 @@ QUERIES = {
         lambda s, d: o.example_counts(_examples(s, d)),
         f"WITH {BUILT} SELECT pattern_id, count(*) FILTER (WHERE label = 1) AS positive_count, count(*) FILTER (WHERE label = 0) AS negative_count, count(*) FILTER (WHERE fresh) AS fresh FROM y GROUP BY 1",
     ),
+    "telemetry_store": (
+        _synced,
+        f"WITH {STREAM} SELECT DISTINCT concat('p', CAST(session_id % 3 AS VARCHAR)) AS platform, session_id, date_trunc('day', ts) AS day, tool FROM s",
+    ),
+    "label_store": (
+        _labelled,
+        "SELECT DISTINCT doc_id, CAST(quality AS VARCHAR) || CASE WHEN doc_id % 4 = 0 THEN '+' ELSE '' END AS label FROM labels",
+    ),
 }
