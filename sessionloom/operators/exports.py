@@ -23,10 +23,13 @@ CATEGORIES = (
     ("RateLimited", r"rate limit|too many requests"), ("WrongArgument", r"unexpected keyword|invalid argument|should be a valid|expected"), ("ToolApiError", r"api error|status: \d{3}"), ("GenericExit", r"exit code|assertion|syntax error"),
     ("StartupNoise", r"starting up|deprecat"),
 )
+FIELD, VALUE = r"(\w+)\s+Input should be a valid (\w+)", r"Input should be a valid (\w+).*?input_value=([^\]]+)"
+TOKENS, SIZES = r"(\d+)\s*tokens?\)?\s*exceeds\s*maximum.*?(\d+)", r"(\d+(?:\.\d+)?(?:MB|KB|GB))\)\s*exceeds\s*maximum.*?(\d+(?:\.\d+)?(?:MB|KB|GB))"
+# Each name with the patterns and groups to try in turn, and a pattern whose text tells nothing of it.
 VARIABLES = (
-    ("wrong_param", r"(\w+)\s+[Uu]nexpected keyword argument", 1), ("field_name", r"(\w+)\s+Input should be a valid (\w+)", 1), ("expected_type", r"(\w+)\s+Input should be a valid (\w+)", 2),
-    ("actual_tokens", r"(\d+)\s*tokens?\)?\s*exceeds\s*maximum.*?(\d+)", 1), ("max_tokens", r"(\d+)\s*tokens?\)?\s*exceeds\s*maximum.*?(\d+)", 2),
-    ("http_status", r"Status:\s*(\d{3})", 1), ("wrong_id", r"[Cc]loud [Ii][Dd]:\s*([a-f0-9-]{20,})", 1), ("function_name", r"for call\[(\w+)\]", 1),
+    ("wrong_param", ((r"(\w+)\s+[Uu]nexpected keyword argument", 1), (r"[Uu]nexpected keyword argument.*?['\"]?(\w+)['\"]?", 1)), None), ("field_name", ((FIELD, 1),), None), ("expected_type", ((FIELD, 2), (VALUE, 1)), None), ("actual_value", ((VALUE, 2),), FIELD),
+    ("actual_tokens", ((TOKENS, 1),), None), ("max_tokens", ((TOKENS, 2),), None), ("actual_size", ((SIZES, 1),), None), ("max_size", ((SIZES, 2),), None), ("http_status", ((r"Status:\s*(\d{3})", 1),), None),
+    ("wrong_id", ((r"[Cc]loud [Ii][Dd]:\s*([a-f0-9-]{20,})", 1),), None), ("failed_target", ((r"Failed to fetch.*?for.*?:\s*(.+?)[\.\s]", 1),), None), ("function_name", ((r"for call\[(\w+)\]", 1),), None),
 )
 STRUGGLE = r"(?i)(Error|Exception|FAILED|exit code [1-9]|Permission denied|not found|No such file)"
 FILE = r"[/\w.-]+\.\w{1,6}"
@@ -160,9 +163,24 @@ def snapped(rows: DataFrame, raw: str, surfaces: tuple[str, ...] = SURFACES, def
 
 
 def variables(samples: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """What the error texts of each key tell of parameters, sizes, codes and names; the last text that tells it counts."""
-    out = [F.max_by(F.nullif(F.regexp_extract(text, p, g), F.lit("")), F.when(F.regexp_extract(text, p, g) != "", F.col(order))).alias(n) for n, p, g in VARIABLES]
-    return samples.groupBy(key).agg(*out)
+    """What the error texts of each key tell of parameters, values, sizes, codes and names; the last text that tells it counts.
+
+    Quotes around values and blanks around targets go; null texts tell nothing.
+    """
+
+    def told(patterns: tuple, unless: str | None) -> Column:
+        found = F.coalesce(*[F.nullif(F.trim(F.btrim(F.regexp_extract(text, p, g), F.lit("'\""))), F.lit("")) for p, g in patterns])
+        return F.when(~F.col(text).rlike(unless), found) if unless else found
+
+    d = samples.select("*", *[told(p, unless).alias(f"_{n}") for n, p, unless in VARIABLES])
+    return d.groupBy(key).agg(*[F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col(order))).alias(n) for n, _, _ in VARIABLES])
+
+
+def told_sql(text: str, patterns: tuple, unless: str | None) -> str:
+    """One name's value in a text, in SQL."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found = "coalesce(" + ", ".join(f"nullif(trim(trim(regexp_extract({text}, {quoted(p)}, {g}), {quoted(chr(39) + chr(34))})), '')" for p, g in patterns) + ")"
+    return f"CASE WHEN NOT regexp_matches({text}, {quoted(unless)}) THEN {found} END" if unless else found
 
 
 def dominant_term(members: DataFrame, cluster: str) -> DataFrame:

@@ -6,9 +6,10 @@ source_file; positive records have id, ts, source_file, kind and sentiment.  Nul
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as t
@@ -224,3 +225,94 @@ def examples(bridge: DataFrame, errors: DataFrame, existing: DataFrame | None =
 def example_counts(made: DataFrame) -> DataFrame:
     """What a built dataset says of itself."""
     return made.groupBy("pattern_id").agg(F.count_if(F.col("label") == 1).alias("positive_count"), F.count_if(F.col("label") == 0).alias("negative_count"), F.count_if("fresh").alias("fresh"))
+
+
+HOUR = 3600 * MICROS
+# Fixed value: words that a topic's words stand for besides themselves, as patterns.
+TOPICS = {
+    "dbt": ("dbt", r"profiles\.yml", "dbt_project", "models/", "target/", "seeds/"), "cube": ("cube", "cubejs", r"cube\.js", "schema/", r"\.yml"), "snowflake": ("snowflake", "snowsql"),
+    "superset": ("superset", "dataset", "chart"), "tableau": ("tableau", "twb", "tds", "workbook"), "prefect": ("prefect", "flow", "deployment", "work.pool"),
+}
+# Fixed value: where a rule against a kind of error goes.
+SURFACES = {"tool_failure": "claude_md_rule", "user_correction": "claude_md_rule", "agent_admission": "claude_md_rule", "repeated_attempt": "hook_config", "undo": "settings_config"}
+
+
+def topic_pattern(query: str) -> str:
+    """A pattern for any word of over two characters of a query, taken literally, or what it stands for; any text without such words."""
+    words = [w.lower() for w in query.split() if len(w) > 2]
+    parts = [p for w in words for p in (re.sub(r"([^\w\s])", r"\\\1", w, flags=re.ASCII), *TOPICS.get(w, ()))]
+    return f"(?i){'|'.join(parts)}" if parts else "(?s).*"
+
+
+def rule_reports(errors: DataFrame, days: int = 7) -> DataFrame:
+    """errors(ts, error_type, rules array) -> for each rule and kind of error, and for all kinds (null), how many came
+    in the ``days`` before the rule was first seen and from then on, with the rule's file as target and the rules seen beside it.
+
+    The first instant belongs to what comes after, as does the last one.  Whole
+    hours come from counts by hour; only rows of a window's three edge hours meet
+    the rule itself.  A null kind is the empty one; null instants and rules count
+    for nothing.  Beside it are rules of the same row in the window after.
+    """
+    e = errors.select(_micros().alias("at"), F.coalesce("error_type", F.lit("")).alias("error_type"), "rules").where("at is not null").withColumn("hour", F.floor(F.col("at") / HOUR))
+    sets = e.where("rules is not null").groupBy(F.array_sort(F.array_distinct(F.array_compact("rules"))).alias("rules")).agg(F.min("at").alias("at"))
+    each = sets.select("rules", "at", F.explode("rules").alias("rule_id"))
+    span = days * 24 * HOUR
+    seen = each.groupBy("rule_id").agg(F.min("at").alias("t0")).withColumns({"lo": F.col("t0") - span, "hi": F.col("t0") + span})
+    beside = each.join(seen.select("rule_id", "hi"), "rule_id").where("at <= hi").select("rule_id", F.explode("rules").alias("other")).where("other <> rule_id")
+    beside = beside.groupBy("rule_id").agg(F.array_sort(F.collect_set("other")).alias("related"))
+
+    hour = lambda c: F.floor(F.col(c) / HOUR)
+    hours = seen.withColumn("hour", F.explode(F.sequence(hour("lo"), hour("hi")))).withColumn("edge", F.col("hour").isin(hour("lo"), hour("t0"), hour("hi")))
+    whole = hours.where("not edge").join(e.groupBy("hour", "error_type").agg(F.count("*").alias("n")), "hour").select("rule_id", "error_type", (F.col("hour") < hour("t0")).alias("early"), "n")
+    near = hours.where("edge").join(e, "hour").where("at >= lo and at <= hi").select("rule_id", "error_type", (F.col("at") < F.col("t0")).alias("early"), F.lit(1).cast("long").alias("n"))
+    count = lambda early: F.coalesce(F.sum(F.when(F.col("early") == early, F.col("n"))), F.lit(0))
+    d = whole.unionByName(near).rollup("rule_id", "error_type").agg(count(True).alias("before"), count(False).alias("after")).where("rule_id is not null")
+    delta = 100.0 * F.try_divide(F.col("after") - F.col("before"), F.col("before"))
+    d = d.withColumn("delta_pct", F.round(delta, 4)).join(beside, "rule_id", "left")
+    n = F.col("after")
+    tier = F.when(n >= 100, "high").when(n >= 25, "medium").otherwise("low")
+    advice = F.when((n < 25) | F.col("delta_pct").isNull(), "more data").when(delta <= -20, "keep").when(delta >= 10, "review").otherwise("watch")
+    first = F.timestamp_micros("t0").cast("timestamp_ntz")
+    d = d.join(seen.select("rule_id", first.alias("first_seen")), "rule_id")
+    return d.select("rule_id", F.substring_index("rule_id", "#", 1).alias("target_surface"), "first_seen", "error_type", "before", "after", "delta_pct", tier.alias("tier"), advice.alias("advice"), F.coalesce("related", F.array().cast("array<string>")).alias("related"))
+
+
+def pattern_summaries(rows: DataFrame, key: str = "pattern_id", top: int = 5) -> DataFrame:
+    """For each pattern the span, its ``top`` tools, ``top`` messages and the surface that its most frequent kind goes to.
+
+    Messages are cut to 200 characters; of those whose first 80 are equal but for
+    case the first counts, in the order of (ts, id), null instants first.  Blank
+    messages and null tools are none; equally frequent tools and kinds in order of name.
+    """
+    place = F.struct(F.col("ts").isNotNull().alias("known"), "ts", "id")
+    text = F.trim(F.coalesce("error_text", F.lit("")))
+    d = rows.select(key, "ts", "tool_name", "error_type", "session_id", text.alias("text"), place.alias("at"))
+    out = d.groupBy(key).agg(F.count("*").alias("error_count"), F.count_distinct("session_id").alias("session_count"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
+
+    def listed(found: DataFrame, value: str, order: list[Column], name: str, n: int) -> DataFrame:
+        best = found.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= n)
+        values = F.transform(F.array_sort(F.collect_list(F.struct("_r", value))), lambda x: x[value])
+        return best.groupBy(F.col(key).alias("_k")).agg(values.alias(name))
+
+    often = lambda c: d.where(F.coalesce(c, F.lit("")) != "").groupBy(key, c).agg(F.count("*").alias("n"))
+    by_count = lambda c: [F.col("n").desc(), F.col(c)]
+    said = d.where("text <> ''").groupBy(key, F.lower(F.substring("text", 1, 80)).alias("_p")).agg(F.min("at").alias("at"), F.min_by(F.substring("text", 1, 200), "at").alias("text"))
+    for part in (
+        listed(often("tool_name"), "tool_name", by_count("tool_name"), "top_tools", top), listed(said, "text", [F.col("at")], "top_messages", top), listed(often("error_type"), "error_type", by_count("error_type"), "kinds", 1),
+    ):
+        out = out.join(part, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    surface = F.coalesce(F.create_map(*[F.lit(x) for pair in SURFACES.items() for x in pair])[F.get("kinds", 0)], F.lit("claude_md_rule"))
+    none = F.array().cast("array<string>")
+    return out.select(key, "error_count", "session_count", "earliest", "latest", F.coalesce("top_tools", none).alias("top_tools"), F.coalesce("top_messages", none).alias("top_messages"), surface.alias("surface"))
+
+
+def file_hashes(spark: SparkSession, path: str, glob: str = "*", most: int = 1 << 30) -> DataFrame:
+    """(path, sha) of every file: sha256 of the content up to ``most`` bytes, beyond that a mark of path and time of change.
+
+    The bound on the length reaches the source, which never opens longer files;
+    empty files, which it passes over, give no row.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    mark = F.concat(F.lit("__size_exceeded__"), F.substring(F.sha2(F.concat("path", (F.unix_millis("modificationTime") / 1000).cast("string")), 256), 1, 32))
+    small = files.where(F.col("length") <= most).select("path", F.sha2("content", 256).alias("sha"))
+    return small.unionByName(files.where(F.col("length") > most).select("path", mark.alias("sha")))

@@ -13,6 +13,7 @@ W = "(PARTITION BY session_id ORDER BY ts, id"
 ENDS = ", ".join(f"'{x}'" for x in o.ENDINGS)
 SAMPLES = (
     "group_id Unexpected keyword argument", "entity_types Input should be a valid list", "12000 tokens) exceeds maximum of 9000", "Status: 404 for x", "Cloud ID: 0123456789abcdef01234567", "1 error for call[search_nodes]", "nothing here",
+    "Unexpected keyword argument: limit", "- Input should be a valid number [type=x, input_value=many]", "(12.5MB) exceeds maximum allowed size of 10MB", "Failed to fetch page for user: host/page now",
 )
 RAW = ("Claude MD rule", "hook-config", "hook_confg", "settings", "MCP config", "nonsense", "", "agent profil", "skill update")
 
@@ -136,7 +137,7 @@ QUERIES = {
     ),
     "error_variables": (
         lambda s, d: o.variables(_samples(s, d), "session_id", "text", "at"),
-        f"WITH {TRACE}, x AS (SELECT session_id, ts, id, ([{', '.join(f'''{chr(39)}{x}{chr(39)}''' for x in SAMPLES)}])[id % {len(SAMPLES)} + 1] AS text FROM t) SELECT session_id, " + ", ".join(f"arg_max(nullif(regexp_extract(text, '{p}', {g}), ''), {{'t': ts, 'i': id}}) FILTER (WHERE regexp_extract(text, '{p}', {g}) <> '') AS {n}" for n, p, g in o.VARIABLES) + " FROM x GROUP BY 1",
+        f"WITH {TRACE}, x AS (SELECT session_id, ts, id, ([{', '.join(f'''{chr(39)}{x}{chr(39)}''' for x in SAMPLES)}])[id % {len(SAMPLES)} + 1] AS text FROM t) SELECT session_id, " + ", ".join(f"arg_max({o.told_sql('text', p, u)}, {{'t': ts, 'i': id}}) FILTER (WHERE {o.told_sql('text', p, u)} IS NOT NULL) AS {n}" for n, p, u in o.VARIABLES) + " FROM x GROUP BY 1",
     ),
     "cluster_terms": (
         lambda s, d: o.dominant_term(_members(s, d), "cluster"),

@@ -5,13 +5,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as t
-from sessionloom.operators import exports, mining
+from sessionloom.operators import datasets, exports, mining
 from sessionloom.operators import selecting as o
 from sessionloom.operators.store import shared_dir
 from sessionloom.plans.exports import FLOWS
 from sessionloom.plans.mining import ERRORS
 from sessionloom.plans.signals import PN
-from sessionloom.sources.bind import STREAM, TRACE, table, tool_stream, trace
+from sessionloom.sources.bind import STREAM, TALK, TRACE, table, talk, tool_stream, trace
 from sessionloom.sources.keyed import KeyedTable
 
 W = "(PARTITION BY session_id ORDER BY ts, id"
@@ -57,6 +57,15 @@ def _examples(s, d):
     return o.examples(_bridge(s, d).where("error_id % 4 > 0"), trace(s, d).withColumnRenamed("error", "error_text"), old)
 
 
+# The ids of the rules in force at an error: a tool's and a common one.
+RULES = ("concat('tools/', command_category, '.md#', CAST(k % 3 AS {text}))", "concat('core.md#', CAST(CAST(session_id AS BIGINT) % 4 AS {text}))")
+
+
+def _ruled(s, d):
+    both = ", ".join(RULES).format(text="STRING")
+    return _errors(s, d).withColumn("rules", F.expr(f"CASE WHEN id % 6 > 0 THEN array({both}) END"))
+
+
 def _keyed(s, *keys):
     return KeyedTable(s, f"{shared_dir(s)}/keyed-{uuid.uuid4().hex}", keys)
 
@@ -92,6 +101,13 @@ BUILT = f"""{TRACE}, b AS (SELECT concat(tool_name, '-', CAST(k % 11 AS VARCHAR)
  SELECT pattern_id, id, 1 AS label, 'kept' AS error_text, false AS fresh FROM b WHERE id % 9 = 0 UNION ALL SELECT pattern_id, id, CAST(coalesce(error, '') = '' AS INTEGER), coalesce(error, ''), true FROM b WHERE id % 4 > 0 AND id % 9 > 0),
  y AS (SELECT * FROM x WHERE pattern_id IN (SELECT pattern_id FROM x GROUP BY 1 HAVING count(*) >= 5))"""
 
+RULED = f"""{RECORDS}, w AS (SELECT r.id, r.ts, error_type, CASE WHEN r.id % 6 > 0 THEN [{', '.join(RULES).format(text='VARCHAR').replace('session_id', 'r.session_id')}] END AS rules FROM r JOIN t ON t.id = r.id),
+ u AS (SELECT id, ts, rules, unnest(rules) AS rule_id FROM w), f AS (SELECT rule_id, min(ts) AS t0 FROM u GROUP BY 1),
+ sb AS (SELECT rule_id, list_sort(list(DISTINCT other)) AS related FROM (SELECT u.rule_id, t0, ts, unnest(rules) AS other FROM u JOIN f ON f.rule_id = u.rule_id) WHERE other <> rule_id AND ts <= t0 + INTERVAL 7 DAY GROUP BY 1),
+ c AS (SELECT rule_id, t0, error_type, count(*) FILTER (WHERE ts < t0) AS before, count(*) FILTER (WHERE ts >= t0) AS after FROM w JOIN f ON ts >= t0 - INTERVAL 7 DAY AND ts <= t0 + INTERVAL 7 DAY GROUP BY GROUPING SETS ((rule_id, t0, error_type), (rule_id, t0))),
+ q AS (SELECT c.rule_id, string_split(c.rule_id, '#')[1] AS target_surface, t0 AS first_seen, error_type, before, after, round(100.0::DOUBLE * (after - before) / nullif(before, 0), 4) AS delta_pct, coalesce(related, []) AS related FROM c LEFT JOIN sb ON sb.rule_id = c.rule_id)"""
+TOPIC = o.topic_pattern("the path of cube")
+
 QUERIES = {
     "trace_positives": (
         lambda s, d: _positives(s, d).select("id", "kind", "context_before", "prior_tool"),
@@ -146,6 +162,25 @@ QUERIES = {
         lambda s, d: o.example_counts(_examples(s, d)),
         f"WITH {BUILT} SELECT pattern_id, count(*) FILTER (WHERE label = 1) AS positive_count, count(*) FILTER (WHERE label = 0) AS negative_count, count(*) FILTER (WHERE fresh) AS fresh FROM y GROUP BY 1",
     ),
+    "rule_reports": (
+        lambda s, d: o.rule_reports(_ruled(s, d)).withColumn("related", F.array_join("related", ",")),
+        f"""WITH {RULED} SELECT * REPLACE (array_to_string(related, ',') AS related), CASE WHEN after >= 100 THEN 'high' WHEN after >= 25 THEN 'medium' ELSE 'low' END AS tier,
+        CASE WHEN after < 25 OR before = 0 THEN 'more data' WHEN 100.0 * (after - before) / before <= -20 THEN 'keep' WHEN 100.0 * (after - before) / before >= 10 THEN 'review' ELSE 'watch' END AS advice FROM q""",
+    ),
+    "pattern_summaries": (
+        lambda s, d: o.pattern_summaries(_errors(s, d)).withColumns({c: F.array_join(c, "|") for c in ("top_tools", "top_messages")}),
+        f"""WITH {RECORDS}, g AS (SELECT pattern_id, count(*) AS error_count, count(DISTINCT session_id) AS session_count, min(ts) AS earliest, max(ts) AS latest FROM r GROUP BY 1),
+        tn AS (SELECT pattern_id, tool_name, row_number() OVER (PARTITION BY pattern_id ORDER BY count(*) DESC, tool_name) AS i FROM r WHERE tool_name <> '' GROUP BY 1, 2), kn AS (SELECT pattern_id, error_type, row_number() OVER (PARTITION BY pattern_id ORDER BY count(*) DESC, error_type) AS i FROM r WHERE error_type <> '' GROUP BY 1, 2),
+        mn AS (SELECT pattern_id, first(trim(error_text)[:200] ORDER BY ts, id) AS text, row_number() OVER (PARTITION BY pattern_id ORDER BY min(row(ts, id))) AS i FROM r WHERE trim(error_text) <> '' GROUP BY pattern_id, lower(trim(error_text)[:80])),
+        tl AS (SELECT pattern_id, string_agg(tool_name, '|' ORDER BY i) AS top_tools FROM tn WHERE i <= 5 GROUP BY 1), ml AS (SELECT pattern_id, string_agg(text, '|' ORDER BY i) AS top_messages FROM mn WHERE i <= 5 GROUP BY 1)
+        SELECT g.*, coalesce(top_tools, '') AS top_tools, coalesce(top_messages, '') AS top_messages, CASE error_type WHEN 'undo' THEN 'settings_config' WHEN 'repeated_attempt' THEN 'hook_config' ELSE 'claude_md_rule' END AS surface
+        FROM g LEFT JOIN tl ON tl.pattern_id IS NOT DISTINCT FROM g.pattern_id LEFT JOIN ml ON ml.pattern_id IS NOT DISTINCT FROM g.pattern_id LEFT JOIN kn ON kn.pattern_id IS NOT DISTINCT FROM g.pattern_id AND kn.i = 1""",
+    ),
+    "topic_messages": (
+        lambda s, d: datasets.topic_with_neighbours(talk(s, d), TOPIC).select("session_id", "idx", "step"),
+        f"""WITH {TALK}, h AS (SELECT session_id, idx, max(coalesce(regexp_matches(content, '{TOPIC}'), false)) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM m)
+        SELECT session_id, idx, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS step FROM h WHERE near""",
+    ),
     "telemetry_store": (
         _synced,
         f"WITH {STREAM} SELECT DISTINCT concat('p', CAST(session_id % 3 AS VARCHAR)) AS platform, session_id, date_trunc('day', ts) AS day, tool FROM s",

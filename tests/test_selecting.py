@@ -134,3 +134,67 @@ def test_examples_join_the_old_ones(spark):
     assert o.examples(bridge, errors).collect() == [] and len(o.examples(bridge, errors, least=4).collect()) == 4
     # What was built is there the second time: nothing is added.
     assert o.examples(bridge, errors, o.examples(bridge, errors, old)).where("fresh").collect() == []
+
+
+def test_rule_reports_equal_a_loop(spark):
+    r = random.Random(9)
+    hours = lambda n: T + timedelta(seconds=r.randrange(n * 3600))
+    rules = lambda ts: None if r.random() < 0.2 else [x for x, since in (("a.md#1", 40), ("b/c.md#2", 60), ("a.md#3", 90)) if ts >= T + timedelta(hours=since) and r.random() < 0.7]
+    e = [(ts, r.choice(["x", "y", None]), rules(ts)) for ts in (hours(130) for _ in range(400))] + [(None, "x", ["a.md#1"])]
+    t0 = {x: min(ts for ts, _, rs in e if ts and rs and x in rs) for x in ("a.md#1", "b/c.md#2", "a.md#3")}
+    day = timedelta(days=1)
+    e += [(at + d, "edge", None) for at in t0.values() for d in (day, -day, day + timedelta(microseconds=1), -day - timedelta(microseconds=1))]
+    got = {(x["rule_id"], x["error_type"]): (x["target_surface"], x["first_seen"], x["before"], x["after"], x["related"]) for x in o.rule_reports(spark.createDataFrame(e, "ts timestamp_ntz, error_type string, rules array<string>"), 1).collect()}
+    want = {}
+    for rule, at in t0.items():
+        near = [(ts, kind or "") for ts, kind, _ in e if ts and at - day <= ts <= at + day]
+        related = sorted({x for ts, _, rs in e if ts and rs and rule in rs and ts <= at + day for x in rs} - {rule})
+        for kind in {k for _, k in near} | {None}:
+            mine = [ts for ts, k in near if kind is None or k == kind]
+            want[rule, kind] = (rule.split("#")[0], at, sum(ts < at for ts in mine), sum(ts >= at for ts in mine), related)
+    assert got == want and any(x[4] for x in want.values())
+
+
+def test_rule_advice(spark):
+    rows = [(at(-60 * i - 1), "k", None) for i in range(40)] + [(at(60 * i), "k", ["r"]) for i in range(30)] + [(at(1), "few", None)]
+    got = {x["error_type"]: (x["delta_pct"], x["tier"], x["advice"]) for x in o.rule_reports(spark.createDataFrame(rows, "ts timestamp_ntz, error_type string, rules array<string>")).collect()}
+    assert got == {"k": (-25.0, "medium", "keep"), "few": (None, "low", "more data"), None: (-22.5, "medium", "keep")}
+    assert o.rule_reports(spark.createDataFrame([], "ts timestamp_ntz, error_type string, rules array<string>")).collect() == []
+
+
+def test_pattern_summaries(spark):
+    long = "x" * 80
+    e = [error(1, 5, "B", long + " one", session="t"), error(2, 4, "A", long.upper() + " two"), error(3, 9, "A", "  "), error(4, 6, None, " other ", kind="undo"), error(5, 7, "C", None, kind="undo"), error(6, None, "", "z" * 300, pattern=None, kind=None)]
+    got = {r["pattern_id"]: tuple(r)[1:] for r in o.pattern_summaries(spark.createDataFrame(e, ERROR)).collect()}
+    assert got == {"p-1": (5, 2, at(4), at(9), ["A", "B", "C"], [long.upper() + " two", "other"], "claude_md_rule"), None: (1, 1, None, None, [], ["z" * 200], "claude_md_rule")}
+    two = o.pattern_summaries(spark.createDataFrame([*e, error(7, 1, kind="undo"), error(8, 2, kind="undo")], ERROR), top=1).where("pattern_id = 'p-1'").first()
+    assert two["surface"] == "settings_config" and two["top_tools"] == ["A"] and two["top_messages"] == ["boom"]
+
+
+def test_topic_patterns(spark):
+    texts = spark.createDataFrame([("see PROFILES.YML",), ("profilesxyml",), ("a.b",), ("axb",), ("",), (None,)], "c string")
+    found = lambda q: [r["c"] for r in texts.where(texts.c.rlike(o.topic_pattern(q))).collect()]
+    assert found("the DBT") == ["see PROFILES.YML"] and found("a.b of") == ["a.b"] and found("a of") == ["see PROFILES.YML", "profilesxyml", "a.b", "axb", ""]
+
+
+def test_file_hashes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    for name, body in (("a.jsonl", b"one\n"), ("in/b.jsonl", b"two"), ("c.jsonl", b"x" * 100), ("d.txt", b"y"), ("empty.jsonl", b"")):
+        (tmp_path / name).write_bytes(body)
+    got = {r["path"].rsplit("/", 1)[1]: r["sha"] for r in o.file_hashes(spark, str(tmp_path), "*.jsonl", 99).collect()}
+    assert got.pop("c.jsonl").startswith("__size_exceeded__") and got == {"a.jsonl": hashlib.sha256(b"one\n").hexdigest(), "b.jsonl": hashlib.sha256(b"two").hexdigest()}
+
+
+def test_variables_of_error_texts(spark):
+    from sessionloom.operators import exports
+
+    texts = [
+        (1, "Unexpected keyword argument: 'limit'"), (2, "Input should be a valid number [type=x, input_value='many']"), (3, "(12.5MB) exceeds maximum allowed size of 10MB"), (4, "Failed to fetch page for user: host/page now"), (5, "1 tokens exceeds maximum 2"),
+        (6, "ids Input should be a valid list [input_value=kept out]"), (7, None), (8, "for call[find]"),
+    ]
+    told = lambda *n: {k: v for k, v in exports.variables(spark.createDataFrame([("k", *texts[i - 1]) for i in n], "key string, at long, text string"), "key", "text", "at").first().asDict().items() if v is not None}
+    assert told(1) == {"key": "k", "wrong_param": "limit"} and told(2) == {"key": "k", "expected_type": "number", "actual_value": "many"} and told(3) == {"key": "k", "actual_size": "12.5MB", "max_size": "10MB"}
+    assert told(4) == {"key": "k", "failed_target": "host/page"} and told(5, 7, 8) == {"key": "k", "actual_tokens": "1", "max_tokens": "2", "function_name": "find"}
+    assert told(2, 6) == {"key": "k", "field_name": "ids", "expected_type": "list", "actual_value": "many"}
