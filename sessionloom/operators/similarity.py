@@ -65,11 +65,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def sides(r: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, copies, vectors) of both sides of a pair of blocks."""
+    return ((np.frombuffer(r[f"ids_{k}"], np.int64), np.frombuffer(r[f"copies_{k}"], np.int64), np.frombuffer(r[f"vecs_{k}"], np.float32).reshape(-1, r["dim"]).astype(np.float64)) for k in "ab")
+
+
 def _block_pairs(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                (ia, na, va), (ib, nb, vb) = ((np.frombuffer(r[f"ids_{k}"], np.int64), np.frombuffer(r[f"copies_{k}"], np.int64), np.frombuffer(r[f"vecs_{k}"], np.float32).reshape(-1, r["dim"]).astype(np.float64)) for k in "ab")
+                (ia, na, va), (ib, nb, vb) = sides(r)
                 # sums run in order of place, as the SQL's do, so that rounded scores are equal
                 norm_a, norm_b = (np.sqrt(sum((v[:, k] * v[:, k] for k in range(r["dim"])), np.zeros(len(v)))) for v in (va, vb))
                 near_b = vb / norm_b[:, None]
@@ -122,7 +127,7 @@ def all_duplicate_pairs(items: DataFrame, least: float) -> DataFrame:
     return near.unionByName(same)
 
 
-def _sound(items: DataFrame) -> DataFrame:
+def sound_rows(items: DataFrame) -> DataFrame:
     """items(id, vec) without null vectors and those that hold nulls or NaN."""
     rows = items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
     return rows.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)))
@@ -165,7 +170,7 @@ def cosine_topk(vectors: DataFrame, query: DataFrame, k: int, least: float) -> D
     Null vectors and those that hold nulls or NaN are left out; vectors of different lengths are not compared.
     """
     vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    v, q = _sound(vectors), _sound(query)
+    v, q = sound_rows(vectors), sound_rows(query)
     blocks, asked = (max(1, -(-x.count() // BLOCK)) for x in (v, q))
     every = _packed(q, asked, "q").drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     met = every.join(_packed(v, blocks, "v"), ["dim", "block"]).mapInArrow(_block_topk(k), "query_id long, id long, score double")

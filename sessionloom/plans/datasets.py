@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text as t
 from sessionloom.operators import datasets as o
-from sessionloom.operators import leader
+from sessionloom.operators import leader, neighbours
 from sessionloom.operators import similarity as c
 from sessionloom.sources.bind import DIALOGUE, STREAM, dialogue, table, tool_stream
 
@@ -29,6 +29,13 @@ def _facts(s, d):
     return o.dataset_counts(table(s, d, "lineitem").select((F.col("l_partkey") % 97).alias("pattern_id"), F.col("l_orderkey").alias("error_id")).dropDuplicates(), facts)
 
 
+def _near_texts(s, d):
+    """Each document with its class of equal vectors and the number of documents that it is near to."""
+    docs = table(s, d, "documents")
+    linked = neighbours.linked_counts(neighbours.near_pairs(neighbours.text_vectors(docs, "doc_id", "text")))
+    return docs.select("doc_id").join(linked, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 QUERIES = {
     "signature_groups": (
         lambda s, d: c.signature_groups(table(s, d, "documents")),
@@ -49,6 +56,7 @@ QUERIES = {
         f"""WITH {V}, u AS (SELECT v, min(id) AS id, count(*) AS copies FROM v GROUP BY v) SELECT a.id AS a, b.id AS b, a.copies AS copies_a, b.copies AS copies_b, round({COS}, 5) AS score, false AS equal FROM u a JOIN u b ON a.id < b.id WHERE {COS} >= 0.3
         UNION ALL SELECT u.id, v.id, u.copies, u.copies, 1.0, true FROM v JOIN u ON u.v = v.v WHERE v.id <> u.id""",
     ),
+    "near_text_vectors": (_near_texts, None),
     "cluster_summary_by_label": (
         lambda s, d: _vectors(s, d).groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.round(F.avg(F.col("vec")[0].cast("double")), 5).alias("mean0")),
         f"WITH {V} SELECT label, count(*) AS n, min(id) AS first_id, max(id) AS last_id, round(avg(v[1]), 5) AS mean0 FROM v GROUP BY 1",
