@@ -50,35 +50,68 @@ def merged_text(a: Column, b: Column) -> Column:
 
 
 def _bag(text: str, width: int = 256) -> np.ndarray:
-    v = np.zeros(width, np.float32)
+    """Counts of a text's words by hash: whole numbers, so that their products are exact in any order."""
+    v = np.zeros(width)
     for w in text.lower().split():
         v[zlib.crc32(w.encode()) % width] += 1
-    n = np.linalg.norm(v)
-    return v / n if n else v
+    return v
+
+
+class _Best:
+    """For each block that is left the nearest later one; after a merge only rows that it touches are looked at again."""
+
+    def __init__(self, vectors: np.ndarray, rows: int = 512):
+        self.v, n = vectors, len(vectors)
+        self.length = np.sqrt((vectors * vectors).sum(axis=1))
+        self.score, self.at, self.left = np.full(n, -1.0), np.zeros(n, np.int64), np.ones(n, bool)
+        for low in range(0, n, rows):
+            near = self.near(slice(low, low + rows), slice(low, n))
+            near[np.tril_indices(len(near), 0, near.shape[1])] = -1.0
+            self.score[low : low + rows], self.at[low : low + rows] = near.max(axis=1), near.argmax(axis=1) + low
+
+    def near(self, rows: slice, others: slice) -> np.ndarray:
+        """Cosines; blocks that are gone are at -1, those without words at 0."""
+        by = self.length[rows, None] * self.length[others]
+        cosines = np.divide(self.v[rows] @ self.v[others].T, by, out=np.zeros_like(by), where=by > 0)
+        return np.where(self.left[others], cosines, -1.0)
+
+    def row(self, i: int) -> None:
+        later = self.near(slice(i, i + 1), slice(i + 1, len(self.v)))[0]
+        self.score[i], self.at[i] = (later.max(), later.argmax() + i + 1) if len(later) else (-1.0, i)
+
+    def merged(self, keep: int, drop: int, vector: np.ndarray) -> None:
+        self.v[keep], self.length[keep] = vector, np.sqrt((vector * vector).sum())
+        self.left[drop], self.score[drop] = False, -1.0
+        for i in np.flatnonzero(self.left & ((self.at == keep) | (self.at == drop))):
+            self.row(i)
+        self.row(keep)
+        now = self.near(slice(keep, keep + 1), slice(0, keep))[0]
+        better = (now > self.score[:keep]) | ((now == self.score[:keep]) & (keep < self.at[:keep]))
+        better &= self.left[:keep]
+        self.score[:keep][better], self.at[:keep][better] = now[better], keep
 
 
 def consolidated(blocks: DataFrame, file: str, least: float) -> DataFrame:
     """(file, id, text): the most similar pair at ``least`` or more is merged until none is left.
 
-    Sequential by definition, so each file is a group of its own; the vectors are
-    hashed word counts.  Ties: the first pair in the order of ids.
+    Sequential by definition, as a merged block may be nearer to others than its parts were, so each file is a group of its own: its texts
+    and 256 numbers for each of its blocks lie in one task, never its pairs.  The vectors are hashed word counts.  Ties: the first pair in the
+    order of ids.  Null texts are empty and near to none.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         ids, texts = list(pdf["id"]), [t or "" for t in pdf["text"]]
-        v = np.stack([_bag(t) for t in texts])
-        s = np.triu(v @ v.T, 1)
-        while len(ids) > 1 and s.max() >= least:
-            i, j = np.unravel_index(s.argmax(), s.shape)
+        best = _Best(np.stack([_bag(t) for t in texts]))
+        while best.score.max() >= least:
+            i = int(best.score.argmax())
+            j = int(best.at[i])
             keep, drop = (i, j) if len(texts[i]) >= len(texts[j]) else (j, i)
             have = set(texts[keep].split("\n"))
             texts[keep] = "\n".join([texts[keep], *(x for x in texts[drop].split("\n") if x.strip() and x not in have)])
-            v[keep] = _bag(texts[keep])
-            rest = [k for k in range(len(ids)) if k != drop]
-            ids, texts, v = [ids[k] for k in rest], [texts[k] for k in rest], v[rest]
-            s = np.triu(v @ v.T, 1)
-        return pd.DataFrame({file: [pdf[file].iloc[0]] * len(ids), "id": ids, "text": texts})
+            best.merged(keep, drop, _bag(texts[keep]))
+        left = np.flatnonzero(best.left)
+        return pd.DataFrame({file: [pdf[file].iloc[0]] * len(left), "id": [ids[k] for k in left], "text": [texts[k] for k in left]})
 
     kind = dict(blocks.dtypes)
     return blocks.select(file, "id", "text").groupBy(file).applyInPandas(run, f"{file} {kind[file]}, id long, text string")

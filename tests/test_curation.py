@@ -32,6 +32,30 @@ def test_consolidation_ends_without_near_pairs(spark):
     assert got == {("f", 2): "never push to main branch\nnever push to main", ("f", 3): "use small functions", ("g", 1): "alone", ("g", 2): ""}
 
 
+@pytest.mark.parametrize(("n", "least", "words"), [(60, 0.8, 5), (90, 0.5, 6), (700, 0.9, 4)])
+def test_consolidation_equals_the_whole_matrix_anew(spark, n, least, words):
+    rng = np.random.default_rng(n)
+    texts = [" ".join(rng.choice(list("abcdefghijkl"), words)) for _ in range(n)]
+    got = {r["id"]: r["text"] for r in o.consolidated(spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "f string, id long, text string"), "f", least).collect()}
+    left, merges = dict(enumerate(texts)), 0
+    bags = {i: o._bag(t) for i, t in left.items()}
+    while True:
+        ids = sorted(left)
+        v = np.stack([bags[i] for i in ids])
+        length = np.sqrt((v * v).sum(axis=1))
+        s = np.triu(v @ v.T / (length[:, None] * length), 1)
+        if s.max() < least:
+            break
+        a, b = (ids[k] for k in np.unravel_index(s.argmax(), s.shape))
+        keep, drop = (a, b) if len(left[a]) >= len(left[b]) else (b, a)
+        lines = left[keep].split("\n")
+        left[keep] = "\n".join([*lines, *(x for x in left[drop].split("\n") if x.strip() and x not in lines)])
+        bags[keep] = o._bag(left[keep])
+        del left[drop], bags[drop]
+        merges += 1
+    assert merges > 5 and got == left
+
+
 def test_drift_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [("".join(rng.choice(list("abc "), 12)), "".join(rng.choice(list("abc "), 12))) for _ in range(40)] + [(None, None), ("", "a"), ("same", "same")]
