@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from sessionloom.functions import tables
 from sessionloom.operators import review as o
+from sessionloom.plans import curation
 from sessionloom.sources.bind import DIALOGUE, STREAM, TRACE, dialogue, table, tool_stream, trace
 
 KINDS = ("idiot", "license", "password", "zebra")
@@ -28,12 +30,27 @@ def _seen(s, d):
     return o.unprocessed(docs, docs.where("lang = 'en'").select("path", F.sha2("content", 256).alias("sha"))).distinct()
 
 
+def _lateral(s, d, columns, call):
+    tables.register(s)
+    return s.sql(f"SELECT {columns} FROM {{docs}}, LATERAL {call}", docs=table(s, d, "documents"))
+
+
+CHUNKS = r"""WITH p AS (SELECT doc_id, generate_subscripts(a, 1) AS g, unnest(a) AS part FROM (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '(?m)^(#{1,6} )', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '') AS a FROM documents)),
+    c AS (SELECT doc_id, g, unnest(range(0, length(part), 500)) AS off, part FROM p), r AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, off) - 1 AS INTEGER) AS chunk, substr(part, off + 1, 500) AS body FROM c)
+    SELECT doc_id, chunk, md5(body) AS body_md5 FROM r WHERE trim(body) <> ''"""
+
 QUERIES = {
     "markdown_chunks": (
         lambda s, d: o.chunks(table(s, d, "documents"), "doc_id", "text").select("doc_id", "chunk", F.md5("body").alias("body_md5")),
-        r"""WITH p AS (SELECT doc_id, generate_subscripts(a, 1) AS g, unnest(a) AS part FROM (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '(?m)^(#{1,6} )', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '') AS a FROM documents)),
-        c AS (SELECT doc_id, g, unnest(range(0, length(part), 500)) AS off, part FROM p), r AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, off) - 1 AS INTEGER) AS chunk, substr(part, off + 1, 500) AS body FROM c)
-        SELECT doc_id, chunk, md5(body) AS body_md5 FROM r WHERE trim(body) <> ''""",
+        CHUNKS,
+    ),
+    "chunks_by_table_function": (
+        lambda s, d: _lateral(s, d, "doc_id, chunk, md5(body) AS body_md5", "text_chunks(text, 500)"),
+        CHUNKS,
+    ),
+    "blocks_by_table_function": (
+        lambda s, d: _lateral(s, d, "doc_id, start_line, n_lines, md5(block) AS block_md5", "text_blocks(text)"),
+        curation.QUERIES["rule_blocks"][1],
     ),
     "forward_window": (
         lambda s, d: o.forward_window(tool_stream(s, d), F.col("is_error"), 3),
