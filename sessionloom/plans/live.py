@@ -74,6 +74,12 @@ QUERIES = {
         lambda s, d: live.finished(state.call_signals(live.trace_stream(s, d), 3 * 3600), "append", ["session_id", "id"], keyed=True).select("id", "passive_signal"),
         f"SELECT * FROM ({mining.QUERIES['passive_signals'][1]}) WHERE passive_signal IS NOT NULL",
     ),
+    "stream_logged_calls": (
+        lambda s, d: live.finished(state.logged_calls(live.event_stream(s, d), 6 * 3600), "append", ["session_id", "id"], keyed=True),
+        f"""WITH RECURSIVE {STREAM}, n AS (SELECT id, session_id, tool, row_number() OVER (PARTITION BY session_id, tool ORDER BY ts, id) AS i,
+         1 + count(*) OVER (PARTITION BY session_id, tool ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '5 hours 59 minutes 59.999999 seconds' FOLLOWING) AS next FROM s),
+        k AS (SELECT * FROM n WHERE i = 1 UNION ALL SELECT n.* FROM k JOIN n ON n.session_id = k.session_id AND n.tool = k.tool AND n.i = k.next) SELECT session_id, id, tool FROM k""",
+    ),
     "stream_search_feedback": (
         lambda s, d: live.finished(state.search_feedback(live.event_stream(s, d), F.col("tool").isin("view", "click"), F.col("tool") == "view", F.col("is_error"), 6 * 3600), "append", ["session_id", "id"], keyed=True),
         curation.QUERIES["search_feedback"][1],

@@ -185,6 +185,38 @@ def search_feedback(stream: DataFrame, shell, search, feedback, seconds: int = 9
     return per_session(d, Searches(seconds, last), ["shell", "search", "feedback"], "id long, search_id long", late)
 
 
+class Logged(PerSession):
+    """Calls that are logged: none of the same tool was logged within the time before."""
+
+    out = ("id", "tool")
+
+    def __init__(self, micros: int):
+        self.micros = micros
+
+    def kept(self) -> list[tuple[str, str, bool]]:
+        return [("logged", "tool string, us long", False)]
+
+    def step(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+        (logged,) = self.states
+        last = dict(logged.get()) if logged.exists() else {}
+        for r in rows:
+            if r.tool is None or (r.tool in last and abs(r.us - last[r.tool]) < self.micros):
+                continue
+            last[r.tool] = max(r.us, last.get(r.tool, r.us))
+            yield r.id, r.tool
+        if last:
+            logged.put(list(last.items()))
+
+
+def logged_calls(stream: DataFrame, seconds: float = 1.0, late: str = "1 hour") -> DataFrame:
+    """stream(session_id, id, ts, tool) without calls that repeat a logged one of their session and tool in under ``seconds``.
+
+    A call that is left out keeps no later one out.  One that comes late is held against the newest logged call alone; rows without a
+    tool are left out.  The state has one instant for each tool of a session.
+    """
+    return per_session(stream, Logged(round(seconds * 1_000_000)), ["tool"], "id long, tool string", late)
+
+
 class Counts(PerSession):
     """Running counts of a session and its longest row of errors."""
 

@@ -114,3 +114,21 @@ def test_state_ends_with_the_session(spark, tmp_path):
     rows = [row(1, 0, 0), row(1, 1, None), row(2, 2, 9), row(2, 3, 10), row(2, 4, 10), row(1, 5, 11), row(2, 6, 11), row(1, 7, 1)]
     got = streamed(spark, tmp_path, rows, (2, 3, 4, 5, 6, 7), state.prompt_state)
     assert [(r["id"], r["streak"], r["frustrated"]) for r in got] == [(0, 1, False), (2, 1, False), (3, 2, False), (4, 3, True), (5, 1, False), (6, 4, False)]
+
+
+@pytest.mark.parametrize("cuts", [[], [150], [1, 2, 3, 90, 91, 200]])
+def test_repeated_calls_are_logged_once_across_batches(spark, tmp_path, ordered, cuts):
+    last, want = {}, []
+    for s, i, ts, _, tool, _, _ in ordered:
+        if tool and not ((s, tool) in last and ts - last[s, tool] < timedelta(seconds=700)):
+            last[s, tool] = ts
+            want.append({"session_id": s, "id": i, "tool": tool})
+    got = streamed(spark, tmp_path, ordered, cuts, lambda d: state.logged_calls(d.withColumnRenamed("tool_name", "tool"), 700))
+    assert got == want and 20 < len(want) < sum(r[4] is not None for r in ordered)
+
+
+def test_logged_within_a_second(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [(1, k, at + timedelta(milliseconds=ms), "assistant", tool, None, False) for k, (ms, tool) in enumerate([(0, "Bash"), (700, "Bash"), (999, "Bash"), (1000, "Bash"), (1400, "Read"), (1900, "Bash"), (2399, "Read"), (2400, None)])]
+    got = streamed(spark, tmp_path, rows, [2, 5], lambda d: state.logged_calls(d.withColumnRenamed("tool_name", "tool")))
+    assert [r["id"] for r in got] == [0, 3, 4]
