@@ -33,6 +33,7 @@ from sessionloom.operators.store import stored
 #: Rows of a cell to aim at, and rows of one that meet as one block.
 CELL, BLOCK = 1024, 8192
 PAIRS = "a long, b long, copies_a long, copies_b long, score double"
+COUNTS = "class_id long, n long"
 
 
 def banding(rows: int, least: float, recall: float, cell: int = CELL) -> tuple[int, int]:
@@ -72,28 +73,34 @@ def _cells(bits: int, bands: int, seed: int):
     return run
 
 
-def _met(least: float, bits: int, bands: int, seed: int):
-    """(cell, i, j, dim, two sides) -> pairs at ``least`` or more whose first common band is that of the cell."""
+def _hits(r: dict, least: float, bits: int, bands: int, seed: int) -> Iterator[tuple]:
+    """Places (x, y) in the two sides of a meeting that are at ``least`` or more and whose first common band is that of the cell, with their scores."""
+    (ia, _, va), (ib, _, vb) = sides(r)
+    band, same = r["cell"] >> bits, r["i"] == r["j"]
+    ca = _codes(va, bits, bands, seed)
+    cb = ca if same else _codes(vb, bits, bands, seed)
+    norm_a, norm_b = (np.sqrt((v * v).sum(axis=1)) for v in (va, vb))
+    unit = (vb / norm_b[:, None]).T
+    for low in range(0, len(ia), ROWS):
+        x, y = np.nonzero((va[low : low + ROWS] / norm_a[low : low + ROWS, None]) @ unit >= least - 1e-9)
+        x = x + low
+        new = ia[x] < ib[y] if same else np.ones(len(x), bool)
+        for earlier in range(band):
+            new &= ca[x, earlier] != cb[y, earlier]
+        x, y = x[new], y[new]
+        score = sum((va[x, d] * vb[y, d] for d in range(r["dim"])), np.zeros(len(x))) / (norm_a[x] * norm_b[y])
+        yield tuple(c[score >= least] for c in (x, y, score))
+
+
+def _pairs(*rule):
+    """(cell, i, j, dim, two sides) -> pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
-                (ia, na, va), (ib, nb, vb) = sides(r)
-                band, same = r["cell"] >> bits, r["i"] == r["j"]
-                ca = _codes(va, bits, bands, seed)
-                cb = ca if same else _codes(vb, bits, bands, seed)
-                norm_a, norm_b = (np.sqrt((v * v).sum(axis=1)) for v in (va, vb))
-                unit = (vb / norm_b[:, None]).T
-                for low in range(0, len(ia), ROWS):
-                    x, y = np.nonzero((va[low : low + ROWS] / norm_a[low : low + ROWS, None]) @ unit >= least - 1e-9)
-                    x = x + low
-                    new = ia[x] < ib[y] if same else np.ones(len(x), bool)
-                    for earlier in range(band):
-                        new &= ca[x, earlier] != cb[y, earlier]
-                    x, y = x[new], y[new]
-                    score = sum((va[x, d] * vb[y, d] for d in range(r["dim"])), np.zeros(len(x))) / (norm_a[x] * norm_b[y])
-                    x, y, score = (c[score >= least] for c in (x, y, score))
+                (ia, na, _), (ib, nb, _) = sides(r)
+                for x, y, score in _hits(r, *rule):
                     turn = ia[x] > ib[y]
                     columns = [np.where(turn, ib[y], ia[x]), np.where(turn, ia[x], ib[y]), np.where(turn, nb[y], na[x]), np.where(turn, na[x], nb[y]), score]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "copies_a", "copies_b", "score"])
@@ -101,17 +108,32 @@ def _met(least: float, bits: int, bands: int, seed: int):
     return run
 
 
+def _counts(*rule):
+    """(cell, i, j, dim, two sides) -> one row for each vector that the meeting links, with the rows it is linked to there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                (ia, na, _), (ib, nb, _) = sides(r)
+                la, lb = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
+                for x, y, _ in _hits(r, *rule):
+                    np.add.at(la, x, nb[y])
+                    np.add.at(lb, y, na[x])
+                ids, n = np.concatenate([ia, ib]), np.concatenate([la, lb])
+                yield pa.RecordBatch.from_arrays([pa.array(c[n > 0]) for c in (ids, n)], ["class_id", "n"])
+
+    return run
+
+
 def _packed(rows: DataFrame) -> DataFrame:
     """rows(block, id, copies, vec) -> one row of arrays for each block and number of dimensions."""
     d = rows.select("block", F.size("vec").alias("dim"), "id", "copies", "vec")
     return d.repartition("block").sortWithinPartitions("block", "dim").mapInArrow(_blocks, "block long, dim int, ids binary, copies binary, vecs binary")
 
 
-def near_pairs(items: DataFrame, least: float = 0.85, recall: float = 0.98, cell: int = CELL, seed: int = 11) -> DataFrame:
-    """C10 at scale: items(id, vec) -> (a, b, copies_a, copies_b, score, equal), each pair of different vectors at ``least`` found with probability ``recall``.
-
-    ``least`` lies over 0 and under 1.  A vector travels once for each band; their number grows with the rows to the power of about 0.28 at 0.85.
-    """
+def _meetings(items: DataFrame, least: float, recall: float, cell: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple]:
+    """Sound rows, different vectors with their copies, the blocks that meet, and the rule of a hit."""
     if not (0 < least < 1 and 0 < recall < 1):
         raise ValueError("least and recall lie between 0 and 1")
     items.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -133,24 +155,29 @@ def near_pairs(items: DataFrame, least: float = 0.85, recall: float = 0.98, cell
     large = _packed(dealt.withColumn("block", F.col("cell") * width + F.col("part"))).withColumn("cell", F.shiftright("block", 24)).withColumn("part", F.pmod("block", width)).join(full, "cell")
     first = large.select("cell", "dim", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), *two("a"))
     second = large.select("cell", "dim", F.explode(F.sequence(zero, "part")).alias("i"), F.col("part").alias("j"), *two("b"))
-    met = small.unionByName(first.join(second, ["cell", "dim", "i", "j"])).mapInArrow(_met(least, bits, bands, seed), PAIRS)
+    return rows, one, small.unionByName(first.join(second, ["cell", "dim", "i", "j"])), (least, bits, bands, seed)
+
 
-    near = met.withColumn("score", F.round("score", 5)).withColumn("equal", F.lit(False))
+def near_pairs(items: DataFrame, least: float = 0.85, recall: float = 0.98, cell: int = CELL, seed: int = 11) -> DataFrame:
+    """C10 at scale: items(id, vec) -> (a, b, copies_a, copies_b, score, equal), each pair of different vectors at ``least`` found with probability ``recall``.
+
+    ``least`` lies over 0 and under 1.  A vector travels once for each band; their number grows with the rows to the power of about 0.28 at 0.85.
+    """
+    rows, one, met, rule = _meetings(items, least, recall, cell, seed)
+    near = met.mapInArrow(_pairs(*rule), PAIRS).withColumn("score", F.round("score", 5)).withColumn("equal", F.lit(False))
     same = rows.join(one.where("copies > 1").select("vec", F.col("id").alias("a"), "copies"), "vec").where("id <> a")
     return near.unionByName(same.select("a", F.col("id").alias("b"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"), F.lit(1.0).alias("score"), F.lit(True).alias("equal")))
 
 
-def linked_counts(pairs: DataFrame) -> DataFrame:
-    """near_pairs' rows -> (id, class_id, links): each linked vector's least id, and how many rows it is linked to, those of its own class included.
+def near_links(items: DataFrame, least: float = 0.85, recall: float = 0.98, cell: int = CELL, seed: int = 11) -> DataFrame:
+    """C10 as counts: (id, class_id, links) of each sound row: the least id of its vector, and how many other rows are near or equal to it.
 
-    Ids without a link are in no row.
+    The links are those of ``near_pairs``; they are counted where they are found, so a group of near copies gives a row for each vector and cell, not its pairs.
     """
-    near = pairs.where("not equal")
-    ends = near.select(F.col("a").alias("class_id"), F.col("copies_b").alias("n"), F.col("copies_a").alias("own")).union(near.select("b", "copies_a", "copies_b"))
-    held = pairs.where("equal").select(F.col("a").alias("class_id"), F.lit(0).cast("long").alias("n"), F.col("copies_a").alias("own"))
-    classes = ends.union(held).groupBy("class_id").agg((F.sum("n") + F.max("own") - 1).alias("links"))
-    members = pairs.where("equal").select(F.col("a").alias("class_id"), F.col("b").alias("id")).union(classes.select("class_id", F.col("class_id").alias("id")))
-    return members.join(classes, "class_id").select("id", "class_id", "links")
+    rows, one, met, rule = _meetings(items, least, recall, cell, seed)
+    linked = met.mapInArrow(_counts(*rule), COUNTS).groupBy("class_id").agg(F.sum("n").alias("n"))
+    classes = one.join(linked, one["id"] == linked["class_id"], "left").select("vec", F.col("id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return rows.join(classes, "vec").select("id", "class_id", "links")
 
 
 def _signed(dims: int):

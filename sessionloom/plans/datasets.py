@@ -32,7 +32,7 @@ def _facts(s, d):
 def _near_texts(s, d):
     """Each document with its class of equal vectors and the number of documents that it is near to."""
     docs = table(s, d, "documents")
-    linked = neighbours.linked_counts(neighbours.near_pairs(neighbours.text_vectors(docs, "doc_id", "text")))
+    linked = neighbours.near_links(neighbours.text_vectors(docs, "doc_id", "text"))
     return docs.select("doc_id").join(linked, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 

@@ -64,7 +64,8 @@ def test_copies_and_odd_rows(spark):
     pairs = o.near_pairs(frame(spark, vectors), recall=0.9999)
     got = {(r["a"], r["b"], r["copies_a"], r["copies_b"], r["equal"]) for r in pairs.collect()}
     assert got == {(0, 1, 3, 1, False), (0, 2, 3, 3, True), (0, 10, 3, 3, True)}
-    assert {tuple(r) for r in o.linked_counts(pairs).collect()} == {(0, 0, 3), (2, 0, 3), (10, 0, 3), (1, 1, 3)}
+    links = {tuple(r) for r in o.near_links(frame(spark, vectors), recall=0.9999).collect()}
+    assert links == {(0, 0, 3), (2, 0, 3), (10, 0, 3), (1, 1, 3), (3, 3, 0), (8, 8, 0)}
     assert o.near_pairs(frame(spark, [])).collect() == []
     with pytest.raises(ValueError):
         o.near_pairs(frame(spark, vectors), 1.0)
@@ -76,6 +77,7 @@ def test_one_group_of_near_copies(spark, monkeypatch):
     rng = np.random.default_rng(7)
     vectors = [np.ones(32) + rng.normal(size=32) * 0.05 for _ in range(150)]
     assert o.near_pairs(frame(spark, vectors)).count() == 150 * 149 // 2
+    assert {r["links"] for r in o.near_links(frame(spark, vectors)).collect()} == {149}
 
 
 def test_text_vectors(spark):
