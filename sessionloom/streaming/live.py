@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sessionloom.operators.store import shared_dir
 from sessionloom.sources.bind import TALK_COLUMNS, TRACE_COLUMNS
@@ -18,15 +19,19 @@ from sessionloom.streaming.state import STORE
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def _files(spark: SparkSession, schema: str | StructType, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files: a stream takes a single file only by a pattern."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1, L2: the events table as a stream of tool calls."""
-    e = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
+    e = _files(spark, EVENTS, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("tool"), "ts", F.col("value").alias("amount"), (F.col("event_type") == "error").alias("is_error"))
 
 
 def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
+    return _files(spark, spark.read.parquet(f"{sf_dir}/{name}.parquet").schema, sf_dir, name)
 
 
 def trace_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
