@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as t
+from sessionloom.operators.store import stored
 
 
 def signature_groups(errors: DataFrame, least: int = 2) -> DataFrame:
@@ -30,27 +31,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
-def duplicate_pairs(items: DataFrame, block: str, least: float) -> DataFrame:
-    """Pairs of one block at ``least`` similarity or more; the block bounds what meets."""
-    a, b = items.alias("a"), items.alias("b")
-    d = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.id") < F.col("b.id"))).withColumn("score", cosine(F.col("a.vec"), F.col("b.vec")))
-    return d.where(F.col("score") >= least).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round("score", 5).alias("score"))
-
-
 #: Different vectors of a block, and rows of a block that are compared at once.
 BLOCK, ROWS = 8192, 512
+#: Rows of a part of a label, and pairs that are scored at once.
+PART, HITS = 4096, 1 << 19
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, dim, id, copies, vec) in order of block and dim -> one row for each block."""
+    """(keys, id, copies, vec) in order of the keys -> one row for each set of keys, the last of which is the number of dimensions."""
     own, ids, copies, vecs = None, [], [], []
 
     def row() -> pa.RecordBatch:
         data = [np.concatenate(x).tobytes() for x in (ids, copies, vecs)]
-        return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int64()), pa.array([own[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["block", "dim", "ids", "copies", "vecs"])
+        return pa.RecordBatch.from_arrays([*(pa.array([x], k) for x, k in zip(own, kinds)), *(pa.array([x], pa.binary()) for x in data)], [*names, "ids", "copies", "vecs"])
 
     for b in batches:
-        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        names, kinds = b.schema.names[:-3], b.schema.types[:-3]
+        keys = list(zip(*(b.column(k).to_pylist() for k in range(len(names)))))
         edges = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]] + [len(keys)]
         for low, high in zip(edges, edges[1:]):
             if keys[low] != own:
@@ -58,9 +55,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield row()
                 own, ids, copies, vecs = keys[low], [], [], []
             part = b.slice(low, high - low)
-            ids.append(part.column(2).to_numpy())
-            copies.append(part.column(3).to_numpy())
-            vecs.append(part.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float32))
+            ids.append(part.column("id").to_numpy())
+            copies.append(part.column("copies").to_numpy())
+            vecs.append(part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32))
     if own is not None:
         yield row()
 
@@ -108,6 +105,55 @@ def blocks_met(one: DataFrame, size: int) -> DataFrame:
     return first.join(second, ["dim", "i", "j"])
 
 
+def _labelled_pairs(least: float):
+    """Pairs of blocks of one label -> (a, b, score); copies are rows like others, and a score that is not a number counts as near, as it does in SQL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                (ia, _, va), (ib, _, vb) = sides(r)
+                # sums run in order of place, as the SQL's do, so that rounded scores are equal
+                norm_a, norm_b = (np.sqrt(sum((v[:, k] * v[:, k] for k in range(r["dim"])), np.zeros(len(v)))) for v in (va, vb))
+                with np.errstate(invalid="ignore", over="ignore"):
+                    unit_a, unit_b = va / norm_a[:, None], vb / norm_b[:, None]
+                    for k in range(0, len(ia), ROWS):
+                        x, y = np.nonzero(~(unit_a[k : k + ROWS] @ unit_b.T < least - 1e-9))
+                        x = x + k
+                        once = ia[x] < ib[y] if r["i"] == r["j"] else np.ones(len(x), bool)
+                        x, y = x[once], y[once]
+                        for at in range(0, len(x), HITS):
+                            p, q = x[at : at + HITS], y[at : at + HITS]
+                            score = sum((va[p, d] * vb[q, d] for d in range(r["dim"])), np.zeros(len(p))) / (norm_a[p] * norm_b[q])
+                            hit = ~(score < least)
+                            p, q, score = p[hit], q[hit], score[hit]
+                            turn = ia[p] > ib[q]
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.where(turn, ib[q], ia[p]), np.where(turn, ia[p], ib[q]), score)], ["a", "b", "score"])
+
+    return run
+
+
+def duplicate_pairs(items: DataFrame, block: str, least: float) -> DataFrame:
+    """Pairs of one block at ``least`` similarity or more; the block bounds what meets.
+
+    Rows of a block meet as arrays, some thousands at once, so that a block of any size falls
+    into many tasks.  Null and zero vectors and those that hold nulls are in no pair.
+    """
+    items.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    sound = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull()) & F.exists("vec", lambda x: x != 0)
+    rows = items.where(F.col(block).isNotNull()).select(F.col(block).alias("of"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).where(sound)
+    parts = rows.groupBy("of").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    numbered = stored(parts.select("of", "parts", F.monotonically_increasing_id().alias("own")), "blocks")
+    packed = (
+        rows.join(numbered, "of").select("own", "parts", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.size("vec").alias("dim"), "id", F.lit(1).cast("long").alias("copies"), "vec")
+        .repartition("own", "part").sortWithinPartitions("own", "parts", "part", "dim").mapInArrow(_blocks, "own long, parts long, part long, dim int, ids binary, copies binary, vecs binary")
+    )
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("ids", "copies", "vecs")]
+    first = packed.select("own", "dim", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), *side("a"))
+    second = packed.select("own", "dim", F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("i"), F.col("part").alias("j"), *side("b"))
+    met = first.join(second, ["own", "dim", "i", "j"]).mapInArrow(_labelled_pairs(least), "a long, b long, score double")
+    return met.select("a", "b", F.round("score", 5).alias("score"))
+
+
 def all_duplicate_pairs(items: DataFrame, least: float) -> DataFrame:
     """C10 over all rows: items(id, vec) -> pairs of different vectors at ``least`` or more, and the copies of each.
 
