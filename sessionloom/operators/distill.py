@@ -67,6 +67,15 @@ def steps(trace: DataFrame) -> DataFrame:
     return d.select("*", F.when(p < 0.3, "explore").when(p < 0.8, "implement").otherwise("verify").alias("phase"), preview.alias("preview")).drop("_total")
 
 
+def hundredths(x: Column) -> Column:
+    """x between 0 and 1 to two places by its exact binary value, half to even, as Python's round does; scaling the double first would move ties."""
+    exact, one = (x * float(1 << 60)).cast("long").cast("decimal(20,0)") * F.lit(100), F.lit(1 << 60).cast("decimal(20,0)")
+    rest = exact % one
+    whole = ((exact - rest) / one).cast("long")
+    half = F.lit(1 << 59).cast("decimal(20,0)")
+    return F.when((rest > half) | ((rest == half) & (whole % 2 == 1)), whole + 1).otherwise(whole) / 100
+
+
 def stats(trace: DataFrame) -> DataFrame:
     """One row per session: counts, the winning share, the goal and the outcome."""
     said = F.trim(F.when((F.col("role") == "user") & F.col("tool_name").isNull(), F.col("content")))
@@ -81,7 +90,7 @@ def stats(trace: DataFrame) -> DataFrame:
     won = steps(trace).groupBy("session_id").agg(F.count("*").alias("winning_steps"))
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
     d = whole.join(fates, "session_id", "left").join(won, "session_id", "left").select("session_id", "total_messages", "total_tool_calls", "user_goal", "final_outcome", *map(zero, ("failed_calls", "retries", "winning_steps")))
-    return d.withColumn("compression_ratio", F.bround(F.col("winning_steps") / F.greatest("total_tool_calls", F.lit(1)), 2))
+    return d.withColumn("compression_ratio", hundredths(F.col("winning_steps") / F.greatest("total_tool_calls", F.lit(1))))
 
 
 def playbooks(trace: DataFrame, title: str = "Session Playbook") -> DataFrame:
