@@ -109,7 +109,10 @@ def cohort_report(runs: DataFrame, errors: DataFrame, kind: str, suggestions: Da
     met = spread.join(e, "day").select("name", "kind", "pattern_id", inside.alias("i"), base.alias("b"))
     kinds = met.groupBy("name", "kind").agg(F.count_if("i").alias("i"), F.count_if("b").alias("b"))
     counts = kinds.groupBy("name").agg(F.sum("i").alias("errors"), F.sum("b").alias("base_errors"), F.count_if((F.col("i") > 0) & (F.col("b") == 0)).alias("new_kinds"))
-    scoped = met.where("i").select("name", "pattern_id").distinct().join(suggestions.select("suggestion_id", "pattern_id"), "pattern_id").groupBy("name").agg(F.count_distinct("suggestion_id").alias("suggestions"))
+    # Suggestions of the same patterns stand together, as one row with their number, so that no suggestion meets a window by itself.
+    alike = suggestions.where("suggestion_id is not null and pattern_id is not null").groupBy("suggestion_id").agg(F.array_sort(F.collect_set("pattern_id")).alias("patterns")).groupBy("patterns").agg(F.count("*").alias("suggestions"))
+    held = met.where("i").select("name", "pattern_id").distinct().join(alike.select("patterns", "suggestions", F.explode("patterns").alias("pattern_id")), "pattern_id")
+    scoped = held.select("name", "patterns", "suggestions").distinct().groupBy("name").agg(F.sum("suggestions").alias("suggestions"))
     hours = lambda a, b: F.timestamp_diff("SECOND", F.col(a), F.col(b)) / 3600
     rate = lambda n, a, b: F.coalesce(F.try_divide(F.col(n).cast("double"), hours(a, b)), F.lit(0.0))
     d = runs.join(counts, "name", "left").join(scoped, "name", "left").fillna(0, ["errors", "base_errors", "new_kinds", "suggestions"])
