@@ -191,8 +191,11 @@ def accumulated(existing: DataFrame, new: DataFrame, patterns: DataFrame, least:
 
     existing(pattern_id, id, label), new(id, tool, label), patterns(pattern_id, tool).
     """
-    fresh = new.join(patterns, "tool").select("pattern_id", "id", "label", F.lit(1).alias("_new"))
-    every = existing.select("pattern_id", "id", "label", F.lit(0).alias("_new")).unionByName(fresh)
+    old = existing.select("id", "label", F.lit(0).alias("_new"), F.col("pattern_id").alias("_own"), F.lit(None).cast(new.schema["tool"].dataType).alias("tool"))
+    fresh = new.select("id", "label", F.lit(1).alias("_new"), F.lit(None).cast(existing.schema["pattern_id"].dataType).alias("_own"), "tool")
+    # Rows are dealt by id before patterns multiply them, so that what a task groups doesn't grow with the file that it reads.
+    dealt = old.unionByName(fresh).repartition("id").join(patterns.select("tool", F.col("pattern_id").alias("_other")), "tool", "left")
+    every = dealt.where("_new = 0 or _other is not null").select(F.coalesce("_own", "_other").alias("pattern_id"), "id", "label", "_new")
     one = every.groupBy("pattern_id", "id").agg(F.min_by("label", "_new").alias("label"), F.min("_new").alias("_new"))
     d = one.groupBy("pattern_id").agg(F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"), F.count_if(F.col("_new") == 0).alias("kept"), F.count("*").alias("n"))
     return d.where((F.col("kept") > 0) | (F.col("n") >= least)).withColumn("created", F.col("kept") == 0)
