@@ -222,7 +222,8 @@ def category_slug(kind: Column, tool: Column, name: Column, cycle: str) -> Colum
 def word_vector(text: Column) -> Column:
     """Counts of words by the first hex digit of their md5: sixteen numbers, in place of a model that is not at hand."""
     digits = F.transform(t.tokens(text), lambda w: F.substring(F.md5(w), 1, 1))
-    return F.transform(F.array(*map(F.lit, "0123456789abcdef")), lambda d: F.size(F.filter(digits, lambda x: x == d)).cast("double"))
+    # As the one item of an array, so that words are hashed once and not for each of the numbers.
+    return F.transform(F.array(digits), lambda all_: F.transform(F.array(*map(F.lit, "0123456789abcdef")), lambda d: F.size(F.filter(all_, lambda x: x == d)).cast("double")))[0]
 
 
 def embedded(rows: DataFrame, text: str, cache: DataFrame, provider: Callable[[Column], Column] = word_vector) -> DataFrame:

@@ -32,6 +32,8 @@ from sessionloom.operators.store import stored
 
 #: Vectors of a block, and rows of one that are compared at once; what rounding may take from a cosine.
 BLOCK, ROWS, MARGIN = 4096, 512, 1e-6
+#: What single precision may take from a cosine for each dimension, and pairs that are scored at once.
+SINGLE, PAIRS = 2.0**-23, 1 << 18
 CLUSTERS = "id long, cluster long, size long, slug string"
 
 
@@ -42,15 +44,18 @@ def _forest(least: float):
         for batch in batches:
             for r in batch.to_pylist():
                 (ia, va), (ib, vb) = ((np.frombuffer(r[f"ids_{k}"], np.int64), np.frombuffer(r[f"vecs_{k}"], np.float32).reshape(-1, r["dim"]).astype(np.float64)) for k in "ab")
+                # Cosines in single precision find the near pairs, and those near the threshold are taken again in double.
                 ua, ub = (v / np.sqrt((v * v).sum(axis=1))[:, None] for v in (va, vb))
-                near = np.concatenate([ua[k : k + ROWS] @ ub.T >= least for k in range(0, len(ua), ROWS)])
+                fa, fb = ua.astype(np.float32), ub.T.astype(np.float32)
+                found = [np.nonzero(fa[k : k + ROWS] @ fb >= least - SINGLE * (r["dim"] + 4)) for k in range(0, len(fa), ROWS)]
+                x, y = np.concatenate([(p + n * ROWS).astype(np.int32) for n, (p, _) in enumerate(found)]), np.concatenate([q.astype(np.int32) for _, q in found])
+                near = np.concatenate([np.einsum("ij,ij->i", ua[x[k : k + PAIRS]], ub[y[k : k + PAIRS]]) >= least for k in range(0, len(x), PAIRS)] or [np.zeros(0, bool)])
+                x, y = x[near], y[near]
                 la, lb, before = ia.copy(), ib.copy(), -1
                 while (now := int(la.sum()) + int(lb.sum())) != before:
                     before = now
-                    for k in range(0, len(ia), ROWS):
-                        part = near[k : k + ROWS]
-                        la[k : k + ROWS] = np.minimum(la[k : k + ROWS], np.where(part, lb, np.iinfo(np.int64).max).min(axis=1))
-                        lb = np.minimum(lb, np.where(part, la[k : k + ROWS, None], np.iinfo(np.int64).max).min(axis=0))
+                    np.minimum.at(la, x, lb[y])
+                    np.minimum.at(lb, y, la[x])
                 ids, least_of = np.concatenate([ia, ib]), np.concatenate([la, lb])
                 linked = ids != least_of
                 yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(least_of[linked])], ["a", "b"])
@@ -150,6 +155,7 @@ def leader_clusters(vectors: DataFrame, threshold: float) -> DataFrame:
 
 def reclustered(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     """C17: rows(id, vec, hit) -> (id, cluster): clusters that hold a hit, their members clustered anew; with under two such members the hits alone, without a cluster."""
+    rows = stored(rows, "rows")  # vectors are computed once
     first = stored(leader_clusters(rows, threshold).join(rows.select("id", "hit"), "id"), "first")
     held = first.where("hit").select("cluster").distinct()
     members = stored(rows.select("id", "vec").join(first.join(held, "cluster", "left_semi").select("id"), "id", "left_semi"), "members")
