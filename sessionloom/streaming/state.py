@@ -14,10 +14,10 @@ session are left out.  A session's state is cleared once the watermark is
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,6 +35,7 @@ class PerSession(StatefulProcessor):
 
     #: Columns of the rows given out, after session_id.
     out: tuple[str, ...] = ()
+    take = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -44,21 +45,25 @@ class PerSession(StatefulProcessor):
         """(name, schema, one value or a list) of each state."""
         raise NotImplementedError
 
-    def step(self, rows: Iterator[tuple]) -> Iterator[tuple]:
-        """Rows of one session in order -> rows given out; reads and writes the states once."""
+    def step(self, rows: Iterator[tuple], known: bool) -> Iterator[tuple]:
+        """Rows of one session in order -> rows given out; reads the states of a known session and writes them once."""
         raise NotImplementedError
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows)).sort_values(["us", "id"], kind="stable")
-        d = d.astype(object).where(d.notna(), None)
-        got = list(self.step(d.itertuples(index=False)))
-        for timer in list(self.handle.listTimers()):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        known = self.states[0].exists()
+        self.take = self.take or namedtuple("Taken", rows[0].__fields__)._make
+        rows = sorted(map(self.take, rows), key=lambda r: (r.us, r.id is None, r.id or 0))
+        give = Row("session_id", *self.out)
+        for got in list(self.step(iter(rows), known)):
+            yield give(key[0], *got)
+        # A session has a timer if it has a state, and only then.
+        for timer in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(int(d["us"].max()) // 1000, timerValues.getCurrentWatermarkInMs()) + KEEP_MS)
-        if got:
-            yield pd.DataFrame(got, columns=self.out).assign(session_id=key[0])[["session_id", *self.out]]
+        if known or self.states[0].exists():
+            self.handle.registerTimer(max(rows[-1].us // 1000, timerValues.getCurrentWatermarkInMs()) + KEEP_MS)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         for s in self.states:
             s.clear()
         return iter([])
@@ -71,7 +76,7 @@ def per_session(stream: DataFrame, processor: PerSession, columns: list[str], ou
     """stream(session_id, id, ts, columns) through a processor; ``out`` is its schema after session_id."""
     d = stream.withColumn("at", F.col("ts").cast("timestamp")).where(F.col("at").isNotNull() & F.col("session_id").isNotNull()).withWatermark("at", late)
     d = d.select("session_id", "id", F.unix_micros("at").alias("us"), "at", *columns)
-    return d.groupBy("session_id").transformWithStateInPandas(processor, f"session_id long, {out}", mode, "EventTime")
+    return d.groupBy("session_id").transformWithState(processor, f"session_id long, {out}", mode, "EventTime")
 
 
 class Prompts(PerSession):
@@ -83,10 +88,10 @@ class Prompts(PerSession):
     def kept(self) -> list[tuple[str, str, bool]]:
         return [("counts", "corrections long, undos long, streak long, warned boolean", True), ("scores", "score double", False)]
 
-    def step(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+    def step(self, rows: Iterator[tuple], known: bool) -> Iterator[tuple]:
         counts, scores = self.states
-        corrections, undos, streak, warned = counts.get() if counts.exists() else (0, 0, 0, False)
-        recent = [x[0] for x in scores.get()] if scores.exists() else []
+        corrections, undos, streak, warned = counts.get() if known else (0, 0, 0, False)
+        recent = [x[0] for x in scores.get()] if known else []
         for r in rows:
             corrections, undos = corrections + (r.kind == "correction"), undos + (r.kind == "undo")
             recent = [*recent, float(r.score)][-self.RECENT :]
@@ -116,10 +121,10 @@ class Calls(PerSession):
     def kept(self) -> list[tuple[str, str, bool]]:
         return [("said", "message string, corrects boolean", True), ("calls", "id long, us long, tool string, message string", False)]
 
-    def step(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+    def step(self, rows: Iterator[tuple], known: bool) -> Iterator[tuple]:
         said, calls = self.states
-        message, corrects = said.get() if said.exists() else (None, False)
-        past = list(calls.get()) if calls.exists() else []
+        message, corrects = said.get() if known else (None, False)
+        past = list(calls.get()) if known and calls.exists() else []
         for r in rows:
             if r.tool_name is None:
                 if r.said is not None:
@@ -164,9 +169,9 @@ class Searches(PerSession):
     def kept(self) -> list[tuple[str, str, bool]]:
         return [("shell", "id long, us long, search boolean", False)]
 
-    def step(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+    def step(self, rows: Iterator[tuple], known: bool) -> Iterator[tuple]:
         (shell,) = self.states
-        past = list(shell.get()) if shell.exists() else []
+        past = list(shell.get()) if known else []
         for r in rows:
             if r.feedback:
                 newest = next(((i, us) for i, us, search in reversed(past) if search), None)
@@ -196,9 +201,9 @@ class Logged(PerSession):
     def kept(self) -> list[tuple[str, str, bool]]:
         return [("logged", "tool string, us long", False)]
 
-    def step(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+    def step(self, rows: Iterator[tuple], known: bool) -> Iterator[tuple]:
         (logged,) = self.states
-        last = dict(logged.get()) if logged.exists() else {}
+        last = dict(logged.get()) if known else {}
         for r in rows:
             if r.tool is None or (r.tool in last and abs(r.us - last[r.tool]) < self.micros):
                 continue
@@ -225,9 +230,9 @@ class Counts(PerSession):
     def kept(self) -> list[tuple[str, str, bool]]:
         return [("counts", "events long, errors long, streak long, longest long", True)]
 
-    def step(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+    def step(self, rows: Iterator[tuple], known: bool) -> Iterator[tuple]:
         (counts,) = self.states
-        events, errors, streak, longest = counts.get() if counts.exists() else (0, 0, 0, 0)
+        events, errors, streak, longest = counts.get() if known else (0, 0, 0, 0)
         for r in rows:
             streak = streak + 1 if r.is_error else 0
             events, errors, longest = events + 1, errors + bool(r.is_error), max(longest, streak)
