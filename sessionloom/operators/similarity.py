@@ -256,16 +256,3 @@ def refine(docs: DataFrame, fields: list[str], terms: list[str]) -> DataFrame:
         for w in terms:
             hit = hit | F.coalesce(F.lower(F.col(f)).contains(w.lower()), F.lit(False))
     return docs.where(hit)
-
-
-def phrases(docs: DataFrame, group: str, stop: tuple[str, ...], k: int = 5) -> DataFrame:
-    """K3: trigrams, then bigrams, of words that are not stop words, seen twice or more; the k most frequent of a group."""
-    d = docs.withColumn("_w", F.filter(t.tokens(F.col("text")), lambda w: (F.length(w) > 2) & ~w.isin(*stop)))
-    parts = []
-    for n in (3, 2):
-        at = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))  # noqa: B023
-        grams = F.when(F.size("_w") >= n, at)
-        parts.append(d.select(group, F.lit(n).alias("size"), F.explode(grams).alias("phrase")))
-    d = parts[0].union(parts[1]).groupBy(group, "size", "phrase").agg(F.count("*").alias("n")).where("n >= 2")
-    w = Window.partitionBy(group).orderBy(F.col("size").desc(), F.col("n").desc(), "phrase")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

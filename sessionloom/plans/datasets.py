@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text as t
 from sessionloom.operators import datasets as o
-from sessionloom.operators import leader, neighbours
+from sessionloom.operators import leader, neighbours, phrases
 from sessionloom.operators import similarity as c
 from sessionloom.sources.bind import DIALOGUE, STREAM, dialogue, table, tool_stream
 
@@ -77,7 +77,7 @@ QUERIES = {
         "SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless') OR contains(lower(text), 'src7') OR contains(lower(source), 'worthless') OR contains(lower(source), 'src7')",
     ),
     "phrase_mining": (
-        lambda s, d: c.phrases(table(s, d, "documents"), "lang", STOP),
+        lambda s, d: phrases.phrases(table(s, d, "documents"), "lang", STOP),
         f"""WITH d AS (SELECT lang, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[{t.LETTERS}]+'), lambda w: length(w) > 2 AND w NOT IN {STOP}) AS w FROM documents),
         g AS (SELECT lang, 3 AS size, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS phrase FROM d UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM d),
         a AS (SELECT lang, size, phrase, count(*) AS n FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY size DESC, n DESC, phrase) AS rank FROM a) SELECT * FROM r WHERE rank <= 5""",
