@@ -25,7 +25,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, combinations, islice
+from itertools import accumulate, chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ VOCABULARY, END, SEQUENCE = "word_bpe_49k.json", 1, 4096
 GROUP = 16_384
 #: Parts of texts, and their characters, that a worker remembers; characters of text that are encoded at once, or one text.
 REMEMBERED, REMEMBERED_CHARS, AT_ONCE = 400_000, 8 << 20, 1 << 22
+#: Words of letters alone that are encoded as one text.
+TOGETHER = 100
 PIECE = "piece_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -72,6 +74,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
         self.tokenizer.encode_special_tokens = True
+        pieces = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(pieces.values()) + 1, bool)
+        self.closes[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -82,16 +87,39 @@ class WordIds:
         if len(self.known) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
             new = [p for p in parts if p]
-        at = len(self.ends) - 1
-        for k in range(0, len(new), 20_000):
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False)]
-            for ids in encoded:
-                self.ids.extend(ids)
-            self.ends.extend(islice(accumulate(map(len, encoded), initial=self.ends[-1]), 1, None))
+        at, new = len(self.ends) - 1, self.words_first(new)
         self.known.update(zip(new, range(at, at + len(new))))
         self.chars += sum(map(len, new))
         return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
+    def add(self, ids: list[int], lengths: list[int]) -> None:
+        self.ids.extend(ids)
+        self.ends.extend(islice(accumulate(lengths, initial=self.ends[-1]), 1, None))
+
+    def words_first(self, parts: list[str]) -> list[str]:
+        """Adds the ids of parts and gives them in the order added: words of letters alone are encoded many at once.
+
+        A word is one pre-token, whose last id alone closes a word.  Where a text
+        of words has more of those than words, each is encoded by itself.
+        """
+        words, others, done = [], [], []
+        for p in parts:
+            (words if p.isalpha() else others).append(p)
+        for k in range(0, len(words), 20_000):
+            chunks = [words[j : j + TOGETHER] for j in range(k, min(k + 20_000, len(words)), TOGETHER)]
+            for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+                ids = e.ids
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(chunk):
+                    self.add(ids, np.diff(ends, prepend=0).tolist())
+                    done += chunk
+                else:
+                    others += chunk
+        for k in range(0, len(others), 20_000):
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(others[k : k + 20_000], add_special_tokens=False)]
+            self.add([*chain.from_iterable(encoded)], [*map(len, encoded)])
+        return done + others
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         at = 0
         while at < len(texts):
@@ -105,7 +133,7 @@ class WordIds:
     def _batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pa.array(texts, pa.large_string()), r"(\pL)([.,;:!?])", r"\1 \2"))
         flat = parts.flatten().dictionary_encode()
-        place = self.places(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
+        place = self.places(flat.dictionary.to_numpy(zero_copy_only=False).tolist())[flat.indices.to_numpy()]
         ends = np.frombuffer(self.ends, np.int64)
         start, length = ends[:-1], np.diff(ends)
         ids = gathered(np.frombuffer(self.ids, "<u4"), start, length, place)

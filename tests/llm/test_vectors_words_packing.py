@@ -191,6 +191,24 @@ def test_packing_ids_are_the_librarys(rows):
     assert [[*x.tolist(), 1] for x in own.encode(texts)] == library_ids(texts)
 
 
+def test_words_of_letters_are_encoded_together():
+    words = [f"{a}{b}{c}" for a in ("Wor", "tele", "gr", "ña") for b in ("ba", "ÉT", "mis", "ou", "x") for c in ("n", "ing", "ades", "", "zzz", "ß")]
+    odd = ["İzmir", "ΑΣ", "ﬁn", "\u0958", "abc'sd", "x1y"]  # letters that become more than one pre-token, or are none
+    own, sent = packing.WordIds(packing.VOCABULARY), []
+    tokenizer = own.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            sent.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    own.tokenizer = Counted()
+    assert [[*x.tolist(), 1] for x in own.encode([" ".join(words)])] == library_ids([" ".join(words)])
+    assert sum(sent) == -(-len(words) // packing.TOGETHER)
+    texts = [" ".join([*words[:7], x, "more" * k, x + "a"]) for k, x in enumerate(odd)]
+    assert [[*x.tolist(), 1] for x in own.encode(texts)] == library_ids(texts)
+
+
 def check_packing(got, want, most):
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     bins = defaultdict(list)
