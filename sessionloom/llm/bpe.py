@@ -116,8 +116,9 @@ class Codec:
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(ranks))
         self.split = splitter(pattern)
-        self.chars = {b: c for b, c in enumerate(byte_map())}
-        back = {c: b for b, c in self.chars.items()}
+        chars = byte_map()
+        self.chars, self.line_end = np.array([ord(c) for c in chars], "<u4"), chars[10]
+        back = {c: b for b, c in enumerate(chars)}
         self.by_place = sorted(ranks.values())
         self.in_order = self.by_place == [*range(len(ranks))]
         tokens = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(ranks))]
@@ -134,12 +135,21 @@ class Codec:
         self.known = {w: k for k, (w, _) in enumerate(words)}
         self.ids, self.ends = array("I", [i for _, i in words]), array("q", range(len(words) + 1))
 
+    def mapped(self, pieces: list[str]) -> list[str]:
+        """The pieces' bytes as printable characters; all at once, but for pieces that hold a line end."""
+        whole = "\n".join(pieces)
+        if whole.count("\n") >= len(pieces):
+            return [self._printed(p) for p in pieces]
+        return self._printed(whole).split(self.line_end)
+
+    def _printed(self, text: str) -> str:
+        return self.chars[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes().decode("utf-32-le")
+
     def merged(self, pieces: list[str]) -> list[list[int]]:
         """The ids of each pre-token, none of them a token."""
         if not pieces:
             return []
-        chars = self.chars
-        out = self.model.encode([p.encode("utf-8", "surrogatepass").decode("latin-1").translate(chars) for p in pieces], num_threads=1)
+        out = self.model.encode(self.mapped(pieces), num_threads=1)
         return out if self.in_order else [[self.by_place[i] for i in ids] for ids in out]
 
     def add(self, keys: list[str], ids: list[list[int]]) -> None:
@@ -215,7 +225,7 @@ class Codec:
                 out[i] = self.by_pattern(texts[i])
             return out
         flat = parts.flatten().dictionary_encode()
-        place = self.places(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
+        place = self.places(flat.dictionary.to_numpy(zero_copy_only=False).tolist())[flat.indices.to_numpy()]
         edges = parts.offsets.to_numpy()
         odd = np.concatenate([[0], np.cumsum(place < 0)])[edges]
         ends = np.frombuffer(self.ends, np.int64)

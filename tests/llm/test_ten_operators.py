@@ -290,6 +290,16 @@ def test_feistel_is_a_permutation():
     assert training_order.feistel(np.arange(1000), 1000, 7).tolist() != training_order.feistel(np.arange(1000), 1000, 8).tolist()
 
 
+def test_pieces_become_printable_all_at_once(monkeypatch):
+    c = bpe.codec(*bpe.default_vocabulary())
+    chars, calls, printed = bpe.byte_map(), [], bpe.Codec._printed
+    monkeypatch.setattr(bpe.Codec, "_printed", lambda self, x: calls.append(x) or printed(self, x))
+    for pieces, times in ((["a", " été", "日本", "\x00", "", "\ud800"], 1), (["a\nb", "", "c\n"], 3), (["\n"], 1), ([""], 1)):
+        calls.clear()
+        assert c.mapped(pieces) == ["".join(chars[b] for b in p.encode("utf-8", "surrogatepass")) for p in pieces]
+        assert len(calls) == times
+
+
 def test_training_order(spark, docs, rows, tmp_path):
     order = training_order.materialise(docs, f"file://{tmp_path}/a", seq_len=16, per_shard=50)
     got = training_order.read(spark, order).collect()
